@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.rounding import half_up
+
 # Display digits per indicator family.
 ROUND_DIGITS = {"rsi": 1, "macd": 4, "band": 2, "change": 2, "stats": 2}
 
@@ -63,5 +65,5 @@ def round_indicators(df: DataFrame) -> DataFrame:
            "bollinger_lower": "band", "bollinger_middle": "band", "change": "change",
            "change_pct": "change", "avg_price": "stats", "min_price": "stats",
            "max_price": "stats", "volatility": "stats", "trend": "stats"}
-    return df.select(*[F.round(F.col(c), ROUND_DIGITS[fam[c]]).alias(c) if c in fam else F.col(c)
+    return df.select(*[half_up(F.col(c), ROUND_DIGITS[fam[c]]).alias(c) if c in fam else F.col(c)
                        for c in df.columns])

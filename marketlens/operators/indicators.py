@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.rounding import half_up
+
 from marketlens.functions.normalize import coin_of
 from marketlens.operators.frames import (DEFAULT_BLOCK_ROWS, DEFAULT_HALO, block_window,
                                          drop_blocks, with_row_blocks)
@@ -190,17 +192,17 @@ def live_indicators(t: DataFrame, block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     avg_loss = losses / 14
     rs = avg_gain / F.when(avg_loss != 0, avg_loss).otherwise(F.lit(1.0))
     ready = F.col("_pos") >= 14
-    live_rsi = F.when(ready, F.round(100 - 100 / (1 + rs), 1)).otherwise(F.lit(0.0))
+    live_rsi = F.when(ready, half_up(100 - 100 / (1 + rs), 1)).otherwise(F.lit(0.0))
     ema12 = F.avg("price").over(w.rowsBetween(-11, 0))
     ema26 = F.avg("price").over(w.rowsBetween(-25, 0))
-    live_macd = F.when(ready, F.round(ema12 - ema26, 4)).otherwise(F.lit(0.0))
+    live_macd = F.when(ready, half_up(ema12 - ema26, 4)).otherwise(F.lit(0.0))
     sma = F.avg("price").over(w.rowsBetween(-19, 0))
     sd = F.stddev_pop("price").over(w.rowsBetween(-19, 0))
     out = b.select("event_id", "symbol", "coin", "price", "ts", "_pos", "_blk", "_halo",
                    live_rsi.alias("live_rsi"), live_macd.alias("live_macd"),
-                   F.when(ready, F.round(sma + 2 * sd, 2)).otherwise(F.lit(0.0)).alias("bollinger_upper"),
-                   F.when(ready, F.round(sma, 2)).otherwise(F.lit(0.0)).alias("bollinger_middle"),
-                   F.when(ready, F.round(sma - 2 * sd, 2)).otherwise(F.lit(0.0)).alias("bollinger_lower"))
+                   F.when(ready, half_up(sma + 2 * sd, 2)).otherwise(F.lit(0.0)).alias("bollinger_upper"),
+                   F.when(ready, half_up(sma, 2)).otherwise(F.lit(0.0)).alias("bollinger_middle"),
+                   F.when(ready, half_up(sma - 2 * sd, 2)).otherwise(F.lit(0.0)).alias("bollinger_lower"))
     return drop_blocks(out)
 
 
@@ -212,7 +214,7 @@ def tick_change(t: DataFrame, keys=("symbol",), block_rows=DEFAULT_BLOCK_ROWS) -
     w = block_window(keys)
     prev = F.coalesce(F.lag("price").over(w), F.col("price"))
     b = b.withColumn("_prev", prev)
-    out = b.withColumn("change_pct", F.round((F.col("price") - F.col("_prev")) / F.col("_prev") * 100, 2)) \
+    out = b.withColumn("change_pct", half_up((F.col("price") - F.col("_prev")) / F.col("_prev") * 100, 2)) \
            .withColumn("direction", F.when(F.col("price") > F.col("_prev"), "up")
                                      .when(F.col("price") < F.col("_prev"), "down")
                                      .otherwise("flat"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.rounding import half_up
+
 from marketlens.operators.stats import STATS_COLUMNS
 
 # Fixed values from the reference's in-memory buffers.
@@ -154,9 +156,9 @@ def live_stats(t: DataFrame, k: int = PRICE_HISTORY) -> DataFrame:
     g = last.groupBy("symbol").agg(F.avg("price").alias("a"), F.min("price").alias("lo"),
                                    F.max("price").alias("hi"), F.count("*").alias("n"))
     return g.select("symbol",
-                    F.round("a", 2).alias("avg"), F.round("lo", 2).alias("min"),
-                    F.round("hi", 2).alias("max"),
-                    F.round(F.try_divide(F.col("hi") - F.col("lo"), F.col("a")) * 100, 2)
+                    half_up("a", 2).alias("avg"), half_up("lo", 2).alias("min"),
+                    half_up("hi", 2).alias("max"),
+                    half_up(F.try_divide(F.col("hi") - F.col("lo"), F.col("a")) * 100, 2)
                      .alias("volatility"),
                     F.col("n").alias("count"))
 

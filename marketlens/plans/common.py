@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.rounding import half_up
 from marketlens.sources.tables import load_trades, load_table  # noqa: F401
 
 # DuckDB form of ``trades_from_events`` (kept textually next to the Spark one
@@ -42,6 +43,7 @@ def stats_cte(width_sql: str, name: str = "stats", source: str = "trades") -> st
 
 
 def r6(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """Round the given float columns (comparison normalisation)."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c)
+    """Round the given float columns (comparison normalisation) the way
+    DuckDB's ``round`` does (binary value, half away from zero)."""
+    return df.select(*[half_up(F.col(c), digits).alias(c) if c in cols else F.col(c)
                        for c in df.columns])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketlens.functions.rounding import half_up
+
 from marketlens.functions import signals as sg
 from marketlens.operators import indicators as ind
 from marketlens.plans.common import TRADES_CTE, load_trades, r6
@@ -129,6 +131,13 @@ def _lrows(a, b="CURRENT ROW"):
     return f"OVER ({_LW} ROWS BETWEEN {a} PRECEDING AND {b})"
 
 
+def _seq_sum(n):
+    expr = "0.0"
+    for k in range(n - 1, 0, -1):
+        expr = f"({expr} + coalesce(lag(price, {k}) OVER ({_LW}), 0.0))"
+    return f"{expr} + price"
+
+
 @register("live_indicators", f"""
 WITH {TRADES_CTE},
 h AS (SELECT *, CASE WHEN instr(symbol, 'USDT') > 0
@@ -144,7 +153,8 @@ s AS (SELECT *,
         CASE WHEN pos >= 50 THEN sum(l) {_lrows(48, '36 PRECEDING')}
              ELSE sum(CASE WHEN pos <= 14 THEN l ELSE 0.0 END) {_lrows(48)} END AS losses,
         avg(price) {_lrows(11)} AS ema12, avg(price) {_lrows(25)} AS ema26,
-        avg(price) {_lrows(19)} AS sma, stddev_pop(price) {_lrows(19)} AS sd
+        -- the 20-row mean summed oldest first, as the dashboard's reduce does
+        ({_seq_sum(20)}) / least(pos, 20) AS sma, stddev_pop(price) {_lrows(19)} AS sd
       FROM q)
 SELECT event_id, symbol, coin, price, ts,
   CASE WHEN pos >= 14 THEN round(100 - 100 / (1 + (gains / 14) / (CASE WHEN losses / 14 <> 0 THEN losses / 14 ELSE 1.0 END)), 1) ELSE 0.0 END AS live_rsi,
@@ -184,9 +194,9 @@ FROM r""")
 def q_indicator_signals(spark, sf_dir):
     raw = ind.enrich(load_trades(spark, sf_dir))
     e = raw.select("event_id", "symbol",
-                   *[F.round(c, 6).alias(c) for c in ("rsi", "macd_line", "bb_position")],
-                   F.round("rsi", sg.ROUND_DIGITS["rsi"]).alias("rsi_display"),
-                   F.round("macd_line", sg.ROUND_DIGITS["macd"]).alias("macd_display"))
+                   *[half_up(c, 6).alias(c) for c in ("rsi", "macd_line", "bb_position")],
+                   half_up("rsi", sg.ROUND_DIGITS["rsi"]).alias("rsi_display"),
+                   half_up("macd_line", sg.ROUND_DIGITS["macd"]).alias("macd_display"))
     return e.select("event_id", "symbol",
                     sg.rsi_signal("rsi").alias("rsi_class"), sg.rsi_action("rsi").alias("rsi_action"),
                     sg.macd_signal("macd_line").alias("macd_class"),
