@@ -293,7 +293,7 @@ base AS (SELECT count(DISTINCT id) AS n FROM conds),
 new AS (SELECT * FROM conds WHERE symbol = 'VIEW'),
 tpl AS (SELECT name, row_number() OVER () - 1 AS seq FROM (VALUES {", ".join(f"('{n}', {i})" for i, (n, _) in enumerate(ALERT_TEMPLATES))}) v(name, i) ORDER BY i),
 valid AS (SELECT new.*, tpl.seq FROM new JOIN tpl USING (name)
-          WHERE c_type IS NOT NULL AND (c_thr <> '' OR c_type LIKE '%macd\_%' ESCAPE '\' OR c_type LIKE '%bollinger\_%' ESCAPE '\')),
+          WHERE c_type IS NOT NULL AND (c_thr <> '' OR contains(c_type, 'macd_') OR contains(c_type, 'bollinger_'))),
 created AS (SELECT 'copy_' || name || '_' || CAST((SELECT n FROM base) + seq AS VARCHAR) AS id,
                    'copy_' || name AS name, count(*) AS n_conditions
             FROM valid GROUP BY name, seq)
