@@ -27,18 +27,17 @@ def epoch_ms_to_ts(c, as_ntz: bool = False) -> Column:
     """Epoch-milliseconds text -> timestamp (NULL when not an integer)."""
     ms = _col(c).try_cast("bigint")
     if as_ntz:
-        return F.when(ms.isNotNull(), F.timestampadd("MILLISECOND", ms, F.expr(_EPOCH_NTZ)))
+        return F.when(ms.isNotNull(), F.timestamp_add("MILLISECOND", ms, F.expr(_EPOCH_NTZ)))
     return F.timestamp_millis(ms)
 
 
 def parse_event_time(c, as_ntz: bool = False) -> Column:
-    """ISO-8601 text -> timestamp, NULL when unparsable."""
-    ts = F.try_to_timestamp(_col(c))
+    """ISO-8601 text -> timestamp, NULL when unparsable.  With
+    ``as_ntz`` a trailing ``Z`` (UTC) is dropped and the wall time kept."""
+    c = _col(c)
     if as_ntz:
-        # read the wall time of an ISO string with an offset in UTC
-        return F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()),
-                                                "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return ts
+        return F.regexp_replace(c, "Z$", "").try_cast("timestamp_ntz")
+    return F.try_to_timestamp(c)
 
 
 def parse_json_envelope(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -154,8 +153,8 @@ def normalize_kraken(raw: DataFrame, ingest_time: Column | None = None,
     trades = F.from_json(F.try_element_at(F.col("a"), F.lit(2)), "array<array<string>>")
     a = a.filter(F.col("a").isNotNull() & (F.size("a") > 1)).withColumn("_tr", trades)
     a = a.filter(F.col("_tr").isNotNull() & (F.size("_tr") > 0))
-    pair = F.when(F.size("a") > 2, F.element_at("a", -1)).otherwise(F.lit("unknown"))
-    first = F.element_at("_tr", 1)
+    pair = F.when(F.size("a") > 2, F.try_element_at("a", F.lit(-1))).otherwise(F.lit("unknown"))
+    first = F.try_element_at("_tr", F.lit(1))
     sym = canonical_pair(pair) if canonical else F.lower(pair)
     out = a.select(F.lit("kraken").alias("exchange"), sym.alias("symbol"),
                    F.try_element_at(first, F.lit(1)).try_cast("double").alias("price"),
