@@ -24,7 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.frames import block_window, drop_blocks, with_row_blocks
+from marketlens.operators.frames import (AUTO, block_window, drop_blocks,
+                                         with_row_blocks)
+from marketlens.operators.indicators import enrich
 
 # Condition types of the evaluator -> (state field, comparison).
 THRESHOLD_TYPES = {
@@ -150,7 +152,7 @@ def _signed(field_col: Column, op: str) -> Column:
 
 
 def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = False,
-                  volatility_below: bool = False, block_rows: int | None = 1_000_000) -> DataFrame:
+                  volatility_below: bool = False, block_rows=AUTO) -> DataFrame:
     """L4: first ``(ts, event_id)`` at which all conditions of each active
     alert hold simultaneously; later instants are ignored (one-shot).
 
@@ -163,9 +165,15 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
     active = alerts.filter(~F.coalesce(F.col("triggered"), F.lit(False)))
     conds = explode_conditions(active)
     order = ["ts", "event_id"]
-    tl = timeline.select("symbol", *order, *[
-        (F.coalesce(F.col(f), F.lit(0.0)) if zero_default else F.col(f)).alias(f)
-        for f in STATE_FIELDS])
+    if not all("prev_" + f in timeline.columns for f in STATE_FIELDS):
+        b = with_row_blocks(timeline, keys=["symbol"], order=order, halo=1, block_rows=block_rows)
+        bw = block_window(["symbol"])
+        timeline = drop_blocks(b.select("*", *[F.lag(f).over(bw).alias("prev_" + f)
+                                                for f in STATE_FIELDS]))
+    zd = (lambda c: F.coalesce(c, F.lit(0.0))) if zero_default else (lambda c: c)
+    tl = timeline.select("symbol", *order,
+                         *[zd(F.col(f)).alias(f) for f in STATE_FIELDS],
+                         *[zd(F.col("prev_" + f)).alias("prev_" + f) for f in STATE_FIELDS])
 
     thr_types = dict(THRESHOLD_TYPES)
     if volatility_below:
@@ -190,18 +198,17 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
 
     # timeline per (symbol, field) with level L = #thresholds below u
     fkeys = list(dict.fromkeys(f"{fld}{op}" for fld, op in thr_types.values()))
+    # per update and (symbol, field): level L (thresholds below u) now, P before
     long_tl = tl.select("symbol", *order, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("fkey"),
-                 _signed(F.col(k[:-1]), k[-1]).alias("u")) for k in fkeys])).alias("v"))
-    long_tl = long_tl.select("symbol", *order, "v.fkey", "v.u")
-    lv = long_tl.join(levels, ["symbol", "fkey"], "inner").withColumn(
-        "L", F.when(F.col("u").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("ys", lambda y: y < F.col("u"))))).drop("ys", "u")
-    lvb = with_row_blocks(lv, keys=["symbol", "fkey"], order=order, halo=1,
-                          block_rows=block_rows)
-    lvb = lvb.withColumn("P", F.coalesce(F.lag("L").over(block_window(["symbol", "fkey"])),
-                                         F.lit(0)))
-    steps = drop_blocks(lvb).filter(F.col("L") != F.col("P"))
+        F.struct(F.lit(k).alias("fkey"), _signed(F.col(k[:-1]), k[-1]).alias("u"),
+                 _signed(F.col("prev_" + k[:-1]), k[-1]).alias("pu")) for k in fkeys])).alias("v"))
+    long_tl = long_tl.select("symbol", *order, "v.fkey", "v.u", "v.pu")
+
+    def level(u):
+        return F.when(u.isNull(), F.lit(0)).otherwise(F.size(F.filter("ys", lambda y: y < u)))
+    lv = long_tl.join(levels, ["symbol", "fkey"], "inner").select(
+        "symbol", "fkey", *order, level(F.col("u")).alias("L"), level(F.col("pu")).alias("P"))
+    steps = lv.filter(F.col("L") != F.col("P"))
     flips = steps.select("symbol", "fkey", *order,
                          F.explode(F.sequence(F.least("L", "P") + 1, F.greatest("L", "P"))).alias("j"),
                          F.when(F.col("L") > F.col("P"), 1).otherwise(-1).alias("delta"))
@@ -211,18 +218,22 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
                       .select("id", "cond_idx", *order, "delta"))
 
     # fixed-threshold types: truth per (symbol, type) straight from the timeline
-    fixed = {
-        "macd_positive": F.col("macd") > 0, "macd_negative": F.col("macd") < 0,
-        "bollinger_upper": F.col("price") >= F.col("bollinger_upper") * 0.99,
-        "bollinger_lower": F.col("price") <= F.col("bollinger_lower") * 1.01,
-    }
+    fixed = FIXED_TYPES
+
+    def fixed_preds(pre):
+        c = lambda f: F.col(pre + f)
+        return {
+            "macd_positive": c("macd") > 0, "macd_negative": c("macd") < 0,
+            "bollinger_upper": c("price") >= c("bollinger_upper") * 0.99,
+            "bollinger_lower": c("price") <= c("bollinger_lower") * 1.01,
+        }
+    now, before = fixed_preds(""), fixed_preds("prev_")
     ftl = tl.select("symbol", *order, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("type"), F.coalesce(p, F.lit(False)).cast("int").alias("m"))
-        for k, p in fixed.items()])).alias("v")).select("symbol", *order, "v.type", "v.m")
-    fb = with_row_blocks(ftl, keys=["symbol", "type"], order=order, halo=1, block_rows=block_rows)
-    fb = fb.withColumn("pm", F.coalesce(F.lag("m").over(block_window(["symbol", "type"])),
-                                        F.lit(0)))
-    fsteps = drop_blocks(fb).filter(F.col("m") != F.col("pm")).select(
+        F.struct(F.lit(k).alias("type"),
+                 F.coalesce(now[k], F.lit(False)).cast("int").alias("m"),
+                 F.coalesce(before[k], F.lit(False)).cast("int").alias("pm"))
+        for k in fixed])).alias("v")).select("symbol", *order, "v.type", "v.m", "v.pm")
+    fsteps = ftl.filter(F.col("m") != F.col("pm")).select(
         "symbol", "type", *order, (F.col("m") - F.col("pm")).alias("delta"))
     fixed_flips = fsteps.join(c.filter(F.col("type").isin(*fixed)).select(
         "id", "cond_idx", "symbol", "type"), ["symbol", "type"], "inner").select(
@@ -246,26 +257,60 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
     return fired.unionByName(zero)
 
 
-def state_timeline(enriched: DataFrame, stats_width: str = "5 minutes") -> DataFrame:
-    """Symbol state after each trade: price and indicators of the trade's row
-    (from ``enrich``), ``volume`` / ``volatility`` = running trade count and
-    sample stddev of the trade's statistics window up to that trade (what an
-    update-mode statistics stream has emitted by then).  The running window is
+def state_timeline(t: DataFrame, stats_width: str = "5 minutes",
+                   block_rows=AUTO) -> DataFrame:
+    """Symbol state after each trade, and the state before it (``prev_*``).
+
+    ``price`` and the indicators are the trade's ``enrich`` values;
+    ``volume`` / ``volatility`` are the running trade count and sample stddev
+    of the trade's statistics window up to that trade (what an update-mode
+    statistics stream has emitted by then).  The running statistics window is
     partitioned by (symbol, statistics window): bounded by one window of one
-    symbol."""
-    e = enriched.withColumn("_w", F.window("ts", stats_width).start)
+    symbol.  The indicators and all ``prev_*`` columns come from one blocked
+    pass (``with_row_blocks``), so a hot symbol is split into blocks.
+    """
     w = (Window.partitionBy("symbol", "_w").orderBy("ts", "event_id")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return e.select("symbol", "ts", "event_id", "price",
-                    F.count("price").over(w).cast("double").alias("volume"),
-                    F.stddev("price").over(w).alias("volatility"),
-                    "rsi", F.col("macd_line").alias("macd"),
-                    F.col("upper_band").alias("bollinger_upper"),
-                    F.col("lower_band").alias("bollinger_lower"))
-
-
-def latest_state(timeline: DataFrame) -> DataFrame:
-    """Symbol-state snapshot: the last timeline row per symbol (``max_by``)."""
+    s = (t.withColumn("_w", F.window("ts", stats_width).start)
+          .withColumn("volume", F.count("price").over(w).cast("double"))
+          .withColumn("volatility", F.stddev("price").over(w)).drop("_w"))
+    e = enrich(s, keys=("symbol",), block_rows=block_rows, extra=("volume", "volatility"),
+               keep_blocks=True)
+    e = e.select("symbol", "ts", "event_id", "price", "volume", "volatility", "rsi",
+                 F.col("macd_line").alias("macd"), F.col("upper_band").alias("bollinger_upper"),
+                 F.col("lower_band").alias("bollinger_lower"), "_pos", "_blk", "_halo")
+    bw = block_window(["symbol"])
+    e = e.select("*", *[F.lag(f).over(bw).alias("prev_" + f) for f in STATE_FIELDS])
+    return drop_blocks(e)
+
+
+def latest_state(t: DataFrame, stats_width: str = "5 minutes", history: int = 64) -> DataFrame:
+    """Symbol-state snapshot after the last trade of each symbol.
+
+    Only the last ``history`` trades per symbol are needed for the
+    indicators of the last trade (every frame reaches <= 36 rows back):
+    ``row_number() <= history`` is planned with a WindowGroupLimit below the
+    shuffle, so a hot symbol ships at most ``history`` rows per partition.
+    ``volume`` / ``volatility`` are the count and stddev of the symbol's
+    latest statistics window (a partial + final aggregate).
+    """
+    from marketlens.operators.serving import latest_stats, recent_per_symbol
+    from marketlens.operators.stats import window_stats
+    last = recent_per_symbol(t, history).drop("pos")
+    e = enrich(last, block_rows=None)
+    row = F.struct("price", "rsi", "macd_line", "upper_band", "lower_band")
+    ind = e.groupBy("symbol").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r"))
+    st = latest_stats(window_stats(t, stats_width, with_trend_col=False))
+    return ind.join(st.select("symbol", F.col("trade_count").cast("double").alias("volume"),
+                              "volatility"), "symbol", "left").select(
+        "symbol", F.col("r.price").alias("price"), "volume", "volatility",
+        F.col("r.rsi").alias("rsi"), F.col("r.macd_line").alias("macd"),
+        F.col("r.upper_band").alias("bollinger_upper"),
+        F.col("r.lower_band").alias("bollinger_lower"))
+
+
+def latest_state_from_timeline(timeline: DataFrame) -> DataFrame:
+    """Snapshot = the last timeline row per symbol (``max_by``)."""
     row = F.struct(*[F.col(f) for f in STATE_FIELDS])
     g = timeline.groupBy("symbol").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r"))
     return g.select("symbol", *[F.col("r." + f).alias(f) for f in STATE_FIELDS])

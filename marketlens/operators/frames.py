@@ -29,6 +29,21 @@ from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 1_000_000
 DEFAULT_HALO = 64
+AUTO = "auto"
+
+
+def choose_block_rows(t: DataFrame, keys=("symbol",), block_rows=AUTO,
+                      limit: int = DEFAULT_BLOCK_ROWS):
+    """Resolve ``block_rows="auto"``: measure the largest key (one small
+    aggregate job: key columns only, partial counts before the shuffle) and
+    split keys into blocks only when some key holds more than ``limit`` rows.
+    Small keys keep the plain one-shuffle window plan; a hot key gets blocks.
+    AQE cannot split a window partition at runtime, hence this check."""
+    if block_rows != AUTO:
+        return block_rows
+    row = t.groupBy(*list(keys)).count().agg(F.max("count")).first()
+    biggest = row[0] if row is not None else None
+    return None if biggest is None or biggest <= limit else limit
 
 
 def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
@@ -41,6 +56,7 @@ def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
     """
     keys = list(keys)
     order = list(order)
+    block_rows = choose_block_rows(t, keys, block_rows)
     if block_rows is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return (t.withColumn("_pos", F.row_number().over(w).cast("bigint"))
@@ -58,7 +74,12 @@ def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))) \
                     .drop("_n")
-    t2 = t1.join(offsets, keys + ["_chunk"], "inner")
+    # null-safe on the keys: rows with a NULL key form their own partition,
+    # as in a plain ``partitionBy``
+    off = offsets.select(*[F.col(k).alias("_k_" + k) for k in keys],
+                         F.col("_chunk").alias("_k_chunk"), "_off")
+    cond = [t1[k].eqNullSafe(off["_k_" + k]) for k in keys] + [t1["_chunk"] == off["_k_chunk"]]
+    t2 = t1.join(off, cond, "inner").drop(*[f"_k_{k}" for k in keys], "_k_chunk")
     pos = (F.col("_off") + F.col("_rn")).cast("bigint")
     t2 = t2.withColumn("_pos", pos).drop("_off", "_rn", "_chunk")
     blk = F.floor((F.col("_pos") - 1) / F.lit(block_rows)).cast("bigint")

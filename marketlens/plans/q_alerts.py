@@ -207,7 +207,7 @@ _MET_SQL = """CASE
 
 def _timeline(spark, sf_dir):
     t = load_trades(spark, sf_dir)
-    return t, al.state_timeline(ind.enrich(t))
+    return t, al.state_timeline(t)
 
 
 @register("evaluate_alerts", f"""
@@ -216,8 +216,8 @@ st AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY sym
 j AS (SELECT conds.*, {_MET_SQL} AS met FROM conds LEFT JOIN st ON conds.c_symbol = st.symbol)
 SELECT id, name, CAST(max(n) AS INTEGER) AS n_conditions, bool_and(met) AS fired FROM j GROUP BY id, name""")
 def q_evaluate_alerts(spark, sf_dir):
-    t, tl = _timeline(spark, sf_dir)
-    out = al.evaluate_alerts(derive_alerts(t), al.latest_state(tl))
+    t = load_trades(spark, sf_dir)
+    out = al.evaluate_alerts(derive_alerts(t), al.latest_state(t))
     return out.select("id", "name", "n_conditions", "fired")
 
 

@@ -175,7 +175,7 @@ def test_stream_indicators_equal_batch(spark, scratch):
 
 def test_stream_alert_latch_equals_batch(spark, scratch):
     t = load_trades(spark, SF001)
-    tl = al.state_timeline(ind.enrich(t))
+    tl = al.state_timeline(t)
     alerts = derive_alerts(t)
     exp = al.first_trigger(alerts, tl).toPandas()
     exp = exp[~exp["name"].isin(["no_conditions"])].set_index("id").sort_index()
