@@ -146,9 +146,29 @@ def evaluate_alerts(alerts: DataFrame, state: DataFrame, zero_default: bool = Fa
 
 # ---------------------------------------------------------------- L4 latch
 
-def _signed(field_col: Column, op: str) -> Column:
-    """Map a ``field op x`` test to ``u > y``: '<' negates both sides (exact)."""
-    return field_col if op == ">" else -field_col
+# Every condition type as ``u OP y`` on one signed axis: '>' strict, '>='
+# non-strict; '<' types negate field and threshold (exact in IEEE).  The
+# band tests use ``price - upper*0.99 >= 0``, which has the same truth as
+# ``price >= upper*0.99`` (a difference of doubles is 0 only for equal
+# operands), so every type is a threshold crossing.
+_AXES = {
+    "price_above": ("price", ">", None), "price_below": ("price", "<", None),
+    "volatility_above": ("volatility", ">", None), "volume_above": ("volume", ">", None),
+    "rsi_above": ("rsi", ">", None), "rsi_below": ("rsi", "<", None),
+    "macd_positive": ("macd", ">", 0.0), "macd_negative": ("macd", "<", 0.0),
+    "bollinger_upper": ("band_up", ">=", 0.0), "bollinger_lower": ("band_low", ">=", 0.0),
+}
+
+
+def _axis_value(field: str, op: str, pre: str = "") -> Column:
+    c = lambda f: F.col(pre + f)
+    if field == "band_up":
+        v = c("price") - c("bollinger_upper") * 0.99
+    elif field == "band_low":
+        v = c("bollinger_lower") * 1.01 - c("price")
+    else:
+        v = c(field)
+    return -v if op == "<" else v
 
 
 def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = False,
@@ -156,11 +176,11 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
     """L4: first ``(ts, event_id)`` at which all conditions of each active
     alert hold simultaneously; later instants are ignored (one-shot).
 
-    ``timeline``: ``symbol, ts, event_id`` + ``STATE_FIELDS`` – the symbol's
-    state after each update (see ``state_timeline``).  The state of a symbol
-    between its updates is its last update; before its first update the
-    symbol is unknown (conditions false).  Returns ``id, name, email,
-    trigger_ts, trigger_event_id`` for alerts that fire.
+    ``timeline``: ``symbol, ts, event_id`` + ``STATE_FIELDS`` (+ ``prev_*``,
+    the state before the update; computed here when absent) – see
+    ``state_timeline``.  The state of a symbol between its updates is its
+    last update; before its first update the symbol is unknown (conditions
+    false).  Returns ``id, name, email, trigger_ts, trigger_event_id``.
     """
     active = alerts.filter(~F.coalesce(F.col("triggered"), F.lit(False)))
     conds = explode_conditions(active)
@@ -175,71 +195,54 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
                          *[zd(F.col(f)).alias(f) for f in STATE_FIELDS],
                          *[zd(F.col("prev_" + f)).alias("prev_" + f) for f in STATE_FIELDS])
 
-    thr_types = dict(THRESHOLD_TYPES)
+    axes = dict(_AXES)
     if volatility_below:
-        thr_types["volatility_below"] = VOLATILITY_BELOW
-    kind_map = F.create_map(*[x for k, (fld, op) in thr_types.items()
-                              for x in (F.lit(k), F.lit(f"{fld}{op}"))])
+        axes["volatility_below"] = ("volatility", "<", None)
+    fkey_of = F.create_map(*[x for k, (fld, op, _) in axes.items()
+                             for x in (F.lit(k), F.lit(fld + op))])
+    fixed_y = F.create_map(*[x for k, (_, _, y) in axes.items() if y is not None
+                             for x in (F.lit(k), F.lit(y))])
     c = conds.select("id", "cond_idx", F.col("cond.symbol").alias("symbol"),
-                     F.col("cond.type").alias("type"), F.col("cond.threshold").alias("thr"))
-    c = c.withColumn("fkey", kind_map[F.col("type")])
+                     F.col("cond.type").alias("type"), F.col("cond.threshold").alias("thr"),
+                     fkey_of[F.col("cond.type")].alias("fkey"))
     x = _threshold(F.col("thr"))
-    # threshold conditions with a parsable threshold: y on the signed axis
-    tc = c.filter(F.col("fkey").isNotNull() & x.isNotNull()).withColumn(
-        "y", F.when(F.col("fkey").endswith("<"), -x).otherwise(x))
-
-    # ranks of distinct thresholds per (symbol, field): a small table, one
-    # row per distinct threshold in the alert registry
+    y = F.coalesce(fixed_y[F.col("type")],
+                   F.when(F.col("fkey").endswith("<") & ~F.col("fkey").endswith("<="), -x)
+                    .otherwise(x))
+    # conditions that can ever hold: known type, parsable threshold
+    tc = c.filter(F.col("fkey").isNotNull()).withColumn("y", y).filter(F.col("y").isNotNull())
+
+    # distinct thresholds per (symbol, axis), ranked; the sorted list is one
+    # small row per (symbol, axis) of the alert registry
     ranks = (tc.select("symbol", "fkey", "y").distinct()
                .withColumn("j", F.row_number().over(
                    Window.partitionBy("symbol", "fkey").orderBy("y"))))
-    levels = ranks.groupBy("symbol", "fkey").agg(
-        F.array_sort(F.collect_list("y")).alias("ys"))
+    levels = ranks.groupBy("symbol", "fkey").agg(F.array_sort(F.collect_list("y")).alias("ys"))
 
-    # timeline per (symbol, field) with level L = #thresholds below u
-    fkeys = list(dict.fromkeys(f"{fld}{op}" for fld, op in thr_types.values()))
-    # per update and (symbol, field): level L (thresholds below u) now, P before
+    # per update and axis: level L (thresholds the value passes) now, P before
+    keys = list(dict.fromkeys(fld + op for fld, op, _ in axes.values()))
     long_tl = tl.select("symbol", *order, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("fkey"), _signed(F.col(k[:-1]), k[-1]).alias("u"),
-                 _signed(F.col("prev_" + k[:-1]), k[-1]).alias("pu")) for k in fkeys])).alias("v"))
-    long_tl = long_tl.select("symbol", *order, "v.fkey", "v.u", "v.pu")
+        F.struct(F.lit(k).alias("fkey"),
+                 _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):]).alias("u"),
+                 _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):], "prev_").alias("pu"))
+        for k in keys])).alias("v")).select("symbol", *order, "v.fkey", "v.u", "v.pu")
 
     def level(u):
-        return F.when(u.isNull(), F.lit(0)).otherwise(F.size(F.filter("ys", lambda y: y < u)))
+        strict = F.size(F.filter("ys", lambda yy: yy < u))
+        loose = F.size(F.filter("ys", lambda yy: yy <= u))
+        return F.when(u.isNull(), F.lit(0)).when(F.col("fkey").endswith(">="), loose) \
+                .otherwise(strict)
     lv = long_tl.join(levels, ["symbol", "fkey"], "inner").select(
         "symbol", "fkey", *order, level(F.col("u")).alias("L"), level(F.col("pu")).alias("P"))
-    steps = lv.filter(F.col("L") != F.col("P"))
-    flips = steps.select("symbol", "fkey", *order,
-                         F.explode(F.sequence(F.least("L", "P") + 1, F.greatest("L", "P"))).alias("j"),
-                         F.when(F.col("L") > F.col("P"), 1).otherwise(-1).alias("delta"))
-    thr_flips = (flips.join(ranks, ["symbol", "fkey", "j"], "inner")
-                      .join(tc.select("id", "cond_idx", "symbol", "fkey", "y"),
-                            ["symbol", "fkey", "y"], "inner")
-                      .select("id", "cond_idx", *order, "delta"))
-
-    # fixed-threshold types: truth per (symbol, type) straight from the timeline
-    fixed = FIXED_TYPES
-
-    def fixed_preds(pre):
-        c = lambda f: F.col(pre + f)
-        return {
-            "macd_positive": c("macd") > 0, "macd_negative": c("macd") < 0,
-            "bollinger_upper": c("price") >= c("bollinger_upper") * 0.99,
-            "bollinger_lower": c("price") <= c("bollinger_lower") * 1.01,
-        }
-    now, before = fixed_preds(""), fixed_preds("prev_")
-    ftl = tl.select("symbol", *order, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("type"),
-                 F.coalesce(now[k], F.lit(False)).cast("int").alias("m"),
-                 F.coalesce(before[k], F.lit(False)).cast("int").alias("pm"))
-        for k in fixed])).alias("v")).select("symbol", *order, "v.type", "v.m", "v.pm")
-    fsteps = ftl.filter(F.col("m") != F.col("pm")).select(
-        "symbol", "type", *order, (F.col("m") - F.col("pm")).alias("delta"))
-    fixed_flips = fsteps.join(c.filter(F.col("type").isin(*fixed)).select(
-        "id", "cond_idx", "symbol", "type"), ["symbol", "type"], "inner").select(
-        "id", "cond_idx", *order, "delta")
-
-    deltas = thr_flips.unionByName(fixed_flips)
+    flips = lv.filter(F.col("L") != F.col("P")).select(
+        "symbol", "fkey", *order,
+        F.explode(F.sequence(F.least("L", "P") + 1, F.greatest("L", "P"))).alias("j"),
+        F.when(F.col("L") > F.col("P"), 1).otherwise(-1).alias("delta"))
+    deltas = (flips.join(ranks, ["symbol", "fkey", "j"], "inner")
+                   .join(tc.select("id", "cond_idx", "symbol", "fkey", "y"),
+                         ["symbol", "fkey", "y"], "inner")
+                   .select("id", "cond_idx", *order, "delta"))
+
     w = (Window.partitionBy("id").orderBy(*order)
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     need = active.select("id", "name", "email", F.size("conditions").alias("n"))
@@ -250,7 +253,7 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
                                          F.col("first.ts").alias("trigger_ts"),
                                          F.col("first.event_id").alias("trigger_event_id"))
     # zero-condition alerts fire at the first instant of the timeline
-    first_any = tl.agg(F.min(F.struct(*order)).alias("f"))
+    first_any = timeline.select(*order).agg(F.min(F.struct(*order)).alias("f"))
     zero = need.filter(F.col("n") <= 0).select(
         "id", "name", "email", first_any.select("f.ts").scalar().alias("trigger_ts"),
         first_any.select("f.event_id").scalar().alias("trigger_event_id"))

@@ -20,6 +20,7 @@ from marketlens.plans.common import TRADES_CTE, load_trades, r6
 from marketlens.plans.q_indicators import _ind_cte, _W
 from marketlens.plans.registry import register
 from marketlens.schemas import CONDITION
+from marketlens.session import checkpoint_dir
 
 # ------------------------------------------------------------------ rules
 
@@ -149,9 +150,13 @@ def derive_alerts(t):
         rows.append(F.struct(F.concat(F.col("symbol"), F.lit("_" + name)).alias("id"),
                              F.lit(name).alias("name"), arr.alias("conditions")))
     out = means.select(F.explode(F.array(*rows)).alias("a"), "symbol").select("a.*", "symbol")
-    return out.select("id", "name", "conditions",
-                      F.concat(F.lower("symbol"), F.lit("@example.com")).alias("email"),
-                      F.lit("active").alias("status"), F.lit(False).alias("triggered"))
+    out = out.select("id", "name", "conditions",
+                     F.concat(F.lower("symbol"), F.lit("@example.com")).alias("email"),
+                     F.lit("active").alias("status"), F.lit(False).alias("triggered"))
+    # the registry is small and read by several branches of a plan: write it
+    # once to the shared checkpoint folder instead of rescanning the trades
+    checkpoint_dir(t.sparkSession)
+    return out.checkpoint(eager=True)
 
 
 def _derived_alerts_sql():
