@@ -105,3 +105,32 @@ SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start,
 FROM trades WHERE price IS NOT NULL AND volume IS NOT NULL AND ts IS NOT NULL""")
 def q_window_trades(spark, sf_dir):
     return ab.window_trades(ab.prepare_trades(load_trades(spark, sf_dir)), "5 minutes")
+
+
+@register("arbitrage_1day_max_latency", _arb_sql("1 day").replace(
+    "FROM trades WHERE price IS NOT NULL", "FROM trades WHERE event_id % 20 <= 10 AND price IS NOT NULL"))
+def q_arbitrage_latency(spark, sf_dir):
+    """The declared latency limit applied – broker time = event time +
+    (event_id % 20) seconds, trades more than 10 s late are dropped first."""
+    from pyspark.sql import functions as F
+    t = load_trades(spark, sf_dir)
+    t = t.withColumn("kafka_timestamp", F.timestamp_add(
+        "SECOND", F.pmod("event_id", F.lit(20)), F.col("ts")))
+    out = ab.arbitrage(t, "1 day", max_latency=ab.MAX_LATENCY_SECONDS)
+    return r6(out, _FL)
+
+
+@register("arbitrage_kv_roundtrip", _arb_sql("1 day"))
+def q_arbitrage_kv(spark, sf_dir):
+    """Opportunities as key/value JSON (detection time = window end
+    here, for a deterministic record), parsed back."""
+    from pyspark.sql import functions as F
+    from marketlens.functions.parse import arbitrage_to_kv
+    arb = ab.arbitrage(load_trades(spark, sf_dir), "1 day")
+    kv = arbitrage_to_kv(arb, detection_time=F.col("window_end"))
+    schema = ("symbol string, window_start timestamp_ntz, window_end timestamp_ntz, "
+              "buy_exchange string, sell_exchange string, buy_price double, sell_price double, "
+              "arbitrage_percentage double, potential_volume double, "
+              "potential_profit_usd double, detection_time timestamp_ntz")
+    back = kv.select(F.from_json("value", schema).alias("m")).select("m.*").drop("detection_time")
+    return r6(back, _FL)

@@ -191,8 +191,9 @@ WITH {TRADES_CTE},
 {stats_cte('5 minutes')}
 SELECT CAST(least(count(*), 100) AS BIGINT) AS buffered_trades,
        (SELECT count(DISTINCT symbol) FROM stats) AS symbols_with_stats,
-       CAST(0 AS BIGINT) AS active_alerts
+       (SELECT 12 * count(DISTINCT symbol) FROM trades) AS active_alerts
 FROM trades""")
 def q_health(spark, sf_dir):
+    from marketlens.plans.q_alerts import derive_alerts
     t, s = _inputs(spark, sf_dir)
-    return sv.health(t, s)
+    return sv.health(t, s, derive_alerts(t))
