@@ -193,3 +193,25 @@ def test_stream_alert_latch_equals_batch(spark, scratch):
     got = pd.concat(out).set_index("id").sort_index()
     assert list(got.index) == list(exp.index)
     assert (got.trigger_event_id.values == exp.trigger_event_id.values).all()
+
+
+def test_alerts_stream_and_observe(spark, scratch):
+    from marketlens.operators.rules import evaluate_rules
+    from marketlens.streaming.sinks import write_alerts_stream, observe_trades
+    t = load_trades(spark, SF001)
+    e = ind.enrich_for_rules(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    src = os.path.join(scratch, "rows")
+    _write_chunks(spark, e.toPandas(), src, 2)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src + "/*/*.parquet")
+    stream = observe_trades(stream.withColumnRenamed("ts", "timestamp"), "progress") \
+        .withColumnRenamed("timestamp", "ts")
+    out = os.path.join(scratch, "alerts")
+    q = write_alerts_stream(stream, SinkConfig(format="parquet", path=out,
+                                               checkpoint=os.path.join(scratch, "ck"),
+                                               trigger={"availableNow": True}))
+    q.awaitTermination()
+    seen = sum(p["observedMetrics"]["progress"]["messages"] for p in q.recentProgress
+               if "progress" in p.get("observedMetrics", {}))
+    got = spark.read.parquet(out).count()
+    assert got == evaluate_rules(ind.enrich_for_rules(t)).count() > 0
+    assert seen == t.count()
