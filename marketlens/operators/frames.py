@@ -72,24 +72,27 @@ def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
     counts = t1.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     w_off = (Window.partitionBy(*keys).orderBy("_chunk")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))) \
-                    .drop("_n")
+    offsets = counts.withColumns({
+        "_off": F.coalesce(F.sum("_n").over(w_off), F.lit(0)),
+        "_tot": F.sum("_n").over(Window.partitionBy(*keys))}).drop("_n")
     # null-safe on the keys: rows with a NULL key form their own partition,
     # as in a plain ``partitionBy``
     off = offsets.select(*[F.col(k).alias("_k_" + k) for k in keys],
-                         F.col("_chunk").alias("_k_chunk"), "_off")
+                         F.col("_chunk").alias("_k_chunk"), "_off", "_tot")
     cond = [t1[k].eqNullSafe(off["_k_" + k]) for k in keys] + [t1["_chunk"] == off["_k_chunk"]]
     t2 = t1.join(off, cond, "inner").drop(*[f"_k_{k}" for k in keys], "_k_chunk")
     pos = (F.col("_off") + F.col("_rn")).cast("bigint")
     t2 = t2.withColumn("_pos", pos).drop("_off", "_rn", "_chunk")
     blk = F.floor((F.col("_pos") - 1) / F.lit(block_rows)).cast("bigint")
-    in_tail = F.pmod(F.col("_pos") - 1, F.lit(block_rows)) >= F.lit(block_rows - halo)
+    # copy the block's last rows forward only when a next block exists
+    in_tail = ((F.pmod(F.col("_pos") - 1, F.lit(block_rows)) >= F.lit(block_rows - halo)) &
+               ((blk + 1) * F.lit(block_rows) < F.col("_tot")))
     copies = F.when(in_tail, F.array(F.struct(blk.alias("b"), F.lit(False).alias("h")),
                                      F.struct((blk + 1).alias("b"), F.lit(True).alias("h")))) \
               .otherwise(F.array(F.struct(blk.alias("b"), F.lit(False).alias("h"))))
     return (t2.withColumn("_c", F.explode(copies))
-              .withColumn("_blk", F.col("_c.b")).withColumn("_halo", F.col("_c.h"))
-              .drop("_c"))
+              .withColumns({"_blk": F.col("_c.b"), "_halo": F.col("_c.h")})
+              .drop("_c", "_tot"))
 
 
 def block_window(keys=("symbol",)) -> Window:

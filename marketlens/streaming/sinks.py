@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.functions.parse import arbitrage_to_kv, stats_to_kv
@@ -140,7 +141,8 @@ def upsert_latest(path: str):
     Each batch writes a complete snapshot to ``path/batch_id=<id>`` (the
     previous snapshot merged with the batch by ``max_by``); a replayed batch
     overwrites its own folder, so the upsert is idempotent.  Readers take the
-    highest ``batch_id``.  The snapshot holds one row per symbol.
+    highest ``batch_id``.  The snapshot holds one row per symbol; older
+    snapshots stay as history (prune them with the store's retention).
     """
     from marketlens.operators.serving import latest_stats
 
@@ -154,13 +156,21 @@ def upsert_latest(path: str):
 
 
 def read_latest(spark, path: str, before: int | None = None):
-    """Newest snapshot written by ``upsert_latest`` (None if there is none)."""
-    if not os.path.isdir(path):
+    """Newest snapshot written by ``upsert_latest`` (None if there is none).
+
+    Uses only the Spark reader (works on any Hadoop-compatible store): the
+    ``batch_id=<n>`` folders are discovered as a partition column; a folder
+    appears only once its write committed.
+    """
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    if "batch_id" not in df.columns:
         return None
-    ids = sorted(int(d.split("=", 1)[1]) for d in os.listdir(path) if d.startswith("batch_id=")
-                 and os.path.exists(os.path.join(path, d, "_SUCCESS")))
     if before is not None:
-        ids = [i for i in ids if i < before]
-    if not ids:
+        df = df.filter(F.col("batch_id") < before)
+    newest = df.agg(F.max("batch_id")).first()[0]
+    if newest is None:
         return None
-    return spark.read.parquet(f"{path.rstrip('/')}/batch_id={ids[-1]}")
+    return df.filter(F.col("batch_id") == newest).drop("batch_id")
