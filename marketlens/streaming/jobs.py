@@ -102,6 +102,6 @@ def late_rows(query) -> int:
     """Rows dropped behind the watermark so far (from query progress)."""
     total = 0
     for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else []:
-            total += int(op.get("numRowsDroppedByWatermark", 0))
+        for op in p["stateOperators"] or []:
+            total += int(op["numRowsDroppedByWatermark"] or 0)
     return total

@@ -67,8 +67,7 @@ def test_stats_stream_equals_batch_and_drops_late(spark, scratch):
     q.processAllAvailable()
     _write_lines(src, "part-999.json", [json.dumps(late)])
     q.processAllAvailable()
-    dropped = sum(op.get("numRowsDroppedByWatermark", 0)
-                  for p in q.recentProgress for op in p.get("stateOperators", []))
+    dropped = jobs.late_rows(q)
     q.stop()
     assert dropped == 1
     got = pd.concat(out).drop_duplicates(["symbol", "window_start"], keep="last")
