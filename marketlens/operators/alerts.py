@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.frames import (AUTO, block_window, drop_blocks,
+from marketlens.operators.frames import (AUTO, block_window, drop_blocks, running_total,
                                          with_row_blocks)
 from marketlens.operators.indicators import enrich
 
@@ -243,10 +243,12 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
                          ["symbol", "fkey", "y"], "inner")
                    .select("id", "cond_idx", *order, "delta"))
 
-    w = (Window.partitionBy("id").orderBy(*order)
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # running count of held conditions per alert: a chunked prefix sum, so
+    # an alert whose conditions flip on every update of a hot symbol is still
+    # spread over many tasks
     need = active.select("id", "name", "email", F.size("conditions").alias("n"))
-    run = deltas.join(need.select("id", "n"), "id").withColumn("held", F.sum("delta").over(w))
+    run = running_total(deltas, ["id"], order, "delta", "held") \
+        .join(need.select("id", "n"), "id")
     hits = run.filter(F.col("held") == F.col("n")).groupBy("id").agg(
         F.min(F.struct(*order)).alias("first"))
     fired = hits.join(need, "id").select("id", "name", "email",

@@ -103,3 +103,34 @@ def block_window(keys=("symbol",)) -> Window:
 def drop_blocks(df: DataFrame) -> DataFrame:
     """Remove halo copies and the helper columns."""
     return df.filter(~F.col("_halo")).drop("_blk", "_halo", "_pos")
+
+
+def running_total(df: DataFrame, keys, order=("ts", "event_id"), value: str = "delta",
+                  out: str = "total", chunk: str = "minute") -> DataFrame:
+    """Running sum of ``value`` per key in ``order``, all rows of one instant
+    (equal ``order``) applied together, without putting a whole key in one
+    task: rows are first summed per instant, then
+
+    1. per ``(key, chunk)`` running sums (``chunk`` = time unit of the first
+       order column; groups bounded by one chunk of one key),
+    2. chunk totals -> exclusive prefix per key on the small chunk table,
+    3. joined back on ``(key, chunk)`` (AQE broadcasts it when small).
+
+    Returns one row per (key, instant) with ``out``.
+    """
+    keys, order = list(keys), list(order)
+    inst = df.groupBy(*keys, *order).agg(F.sum(value).alias("_v"))
+    ts_type = inst.schema[order[0]].dataType
+    floor = F.lit("0001-01-01 00:00:00").cast(ts_type)
+    inst = inst.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, F.col(order[0])), floor))
+    w_in = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inst = inst.withColumn("_run", F.sum("_v").over(w_in))
+    tot = inst.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
+    w_off = (Window.partitionBy(*keys).orderBy("_chunk")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    off = tot.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_chunk").alias("_k_chunk"),
+                     F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
+    cond = [inst[k].eqNullSafe(off["_k_" + k]) for k in keys] + [inst["_chunk"] == off["_k_chunk"]]
+    j = inst.join(off, cond, "inner")
+    return j.select(*keys, *order, (F.col("_off") + F.col("_run")).alias(out))

@@ -353,3 +353,17 @@ def test_fan_out_doubles_rows(spark):
                               "timestamp string, trade_id string")
     topics = sorted(r.topic for r in fan_out_topics(u).collect())
     assert topics == ["all-exchanges", "exchange-binance"]
+
+
+def test_running_total_matches_window(spark):
+    from pyspark.sql import Window
+    from marketlens.operators.frames import running_total
+    rows = [("hot" if i % 3 else "cold", T0 + timedelta(seconds=7 * (i // 2)), i // 2,
+             (1 if i % 5 else -2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, ts timestamp_ntz, event_id long, delta long")
+    got = {(r.id, r.event_id): r.total for r in running_total(df, ["id"]).collect()}
+    w = (Window.partitionBy("id").orderBy("ts", "event_id")
+         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    exp = {(r.id, r.event_id): r.t for r in
+           df.select("id", "event_id", F.sum("delta").over(w).alias("t")).distinct().collect()}
+    assert got == exp
