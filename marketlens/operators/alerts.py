@@ -217,7 +217,11 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
     ranks = (tc.select("symbol", "fkey", "y").distinct()
                .withColumn("j", F.row_number().over(
                    Window.partitionBy("symbol", "fkey").orderBy("y"))))
+    # sorted thresholds per (symbol, axis) with every K-th one as a bucket
+    # start, K ~ sqrt(m): a level lookup costs O(sqrt(m)), not O(m)
     levels = ranks.groupBy("symbol", "fkey").agg(F.array_sort(F.collect_list("y")).alias("ys"))
+    levels = levels.withColumn("K", F.greatest(F.lit(16), F.ceil(F.sqrt(F.size("ys"))).cast("int")))
+    levels = levels.withColumn("bounds", F.filter("ys", lambda yy, i: i % F.col("K") == 0))
 
     # per update and axis: level L (thresholds the value passes) now, P before
     keys = list(dict.fromkeys(fld + op for fld, op, _ in axes.values()))
@@ -227,11 +231,17 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
                  _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):], "prev_").alias("pu"))
         for k in keys])).alias("v")).select("symbol", *order, "v.fkey", "v.u", "v.pu")
 
+    def count_below(u, le):
+        below = (lambda yy: yy <= u) if le else (lambda yy: yy < u)
+        i = F.size(F.filter("bounds", below))          # buckets starting below u
+        k = F.col("K")
+        inside = F.size(F.filter(F.slice("ys", (i - 1) * k + 1, k), below))
+        return F.when(i == 0, F.lit(0)).otherwise((i - 1) * k + inside)
+
     def level(u):
-        strict = F.size(F.filter("ys", lambda yy: yy < u))
-        loose = F.size(F.filter("ys", lambda yy: yy <= u))
-        return F.when(u.isNull(), F.lit(0)).when(F.col("fkey").endswith(">="), loose) \
-                .otherwise(strict)
+        return F.when(u.isNull(), F.lit(0)).when(F.col("fkey").endswith(">="),
+                                                 count_below(u, True)) \
+                .otherwise(count_below(u, False))
     lv = long_tl.join(levels, ["symbol", "fkey"], "inner").select(
         "symbol", "fkey", *order, level(F.col("u")).alias("L"), level(F.col("pu")).alias("P"))
     flips = lv.filter(F.col("L") != F.col("P")).select(

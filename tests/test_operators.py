@@ -367,3 +367,48 @@ def test_running_total_matches_window(spark):
     exp = {(r.id, r.event_id): r.t for r in
            df.select("id", "event_id", F.sum("delta").over(w).alias("t")).distinct().collect()}
     assert got == exp
+
+
+def test_first_trigger_many_thresholds_brute_force(spark):
+    """200+ thresholds per symbol (several search buckets) vs a sequential replay."""
+    import random
+    rnd = random.Random(7)
+    tl_schema = "symbol string, ts timestamp_ntz, event_id long, " + STATE.split(", ", 1)[1]
+    rows, state = [], {}
+    for i in range(400):
+        sym = rnd.choice(["A", "B"])
+        price = round(rnd.uniform(0, 100), 1)
+        rsi = None if i % 17 == 0 else round(rnd.uniform(0, 100), 1)
+        rows.append((sym, T0 + timedelta(seconds=i), i, price, 1.0, 1.0, rsi, price - 50,
+                     90.0, 10.0))
+    tl = spark.createDataFrame(rows, tl_schema)
+    items = []
+    for a in range(240):
+        conds = [(rnd.choice(["A", "B"]), rnd.choice(["price_above", "price_below", "rsi_above"]),
+                  str(round(rnd.uniform(0, 100), 1)))]
+        if a % 3 == 0:
+            conds.append((rnd.choice(["A", "B"]), "rsi_below", str(round(rnd.uniform(0, 100), 1))))
+        if a % 7 == 0:
+            conds.append(("B", "macd_positive", ""))
+        items.append((f"a{a}", conds, False))
+    got = {r.id: r.trigger_event_id for r in al.first_trigger(_alerts(spark, items), tl).collect()}
+    exp = {}
+    for sym, _, i, price, _, _, rsi, macd, _, _ in rows:
+        state[sym] = {"price": price, "rsi": rsi, "macd": macd}
+        for aid, conds, _ in items:
+            if aid in exp:
+                continue
+            def met(s, ty, th):
+                st = state.get(s)
+                if st is None:
+                    return False
+                x = float(th) if th else 0.0
+                v = {"price_above": st["price"], "price_below": st["price"],
+                     "rsi_above": st["rsi"], "rsi_below": st["rsi"], "macd_positive": st["macd"]}[ty]
+                if v is None:
+                    return False
+                return {"price_above": v > x, "price_below": v < x, "rsi_above": v > x,
+                        "rsi_below": v < x, "macd_positive": v > 0}[ty]
+            if all(met(*c) for c in conds):
+                exp[aid] = i
+    assert got == exp
