@@ -34,7 +34,10 @@ def main():
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", app="marketlens-bench",
                       shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+                      extra={"spark.driver.memory": "16g",
+                             # small inputs: keep AQE from merging every shuffle
+                             # partition of a stage into one task
+                             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"})
     qs = registry.queries()
     times = {}
     for name in names:

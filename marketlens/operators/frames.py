@@ -106,7 +106,8 @@ def drop_blocks(df: DataFrame) -> DataFrame:
 
 
 def running_total(df: DataFrame, keys, order=("ts", "event_id"), value: str = "delta",
-                  out: str = "total", chunk: str = "minute") -> DataFrame:
+                  out: str = "total", chunk: str = "minute",
+                  materialize: bool = True) -> DataFrame:
     """Running sum of ``value`` per key in ``order``, all rows of one instant
     (equal ``order``) applied together, without putting a whole key in one
     task: rows are first summed per instant, then
@@ -116,10 +117,17 @@ def running_total(df: DataFrame, keys, order=("ts", "event_id"), value: str = "d
     2. chunk totals -> exclusive prefix per key on the small chunk table,
     3. joined back on ``(key, chunk)`` (AQE broadcasts it when small).
 
-    Returns one row per (key, instant) with ``out``.
+    The per-instant sums feed two branches (running sums and chunk totals);
+    ``materialize`` writes them once to the shared checkpoint folder
+    (``spark.checkpoint.dir``) so the input plan is not computed twice and
+    the lineage is cut.  Returns one row per (key, instant) with ``out``.
     """
     keys, order = list(keys), list(order)
     inst = df.groupBy(*keys, *order).agg(F.sum(value).alias("_v"))
+    if materialize:
+        from marketlens.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        inst = inst.checkpoint(eager=True)
     ts_type = inst.schema[order[0]].dataType
     floor = F.lit("0001-01-01 00:00:00").cast(ts_type)
     inst = inst.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, F.col(order[0])), floor))
