@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from marketlens.functions.rounding import half_up
 
+from pyspark.sql import functions as F
+
 from marketlens.functions import signals as sg
 from marketlens.operators import indicators as ind
 from marketlens.plans.common import TRADES_CTE, load_trades, r6
@@ -192,10 +194,11 @@ SELECT event_id, symbol,
 FROM r""")
 def q_indicator_signals(spark, sf_dir):
     raw = ind.enrich(load_trades(spark, sf_dir))
+    shown = sg.round_indicators(raw.select("event_id", "symbol", "rsi", "macd_line", "bb_position"))
     e = raw.select("event_id", "symbol",
-                   *[half_up(c, 6).alias(c) for c in ("rsi", "macd_line", "bb_position")],
-                   half_up("rsi", sg.ROUND_DIGITS["rsi"]).alias("rsi_display"),
-                   half_up("macd_line", sg.ROUND_DIGITS["macd"]).alias("macd_display"))
+                   *[half_up(c, 6).alias(c) for c in ("rsi", "macd_line", "bb_position")]) \
+           .join(shown.select("event_id", F.col("rsi").alias("rsi_display"),
+                              F.col("macd_line").alias("macd_display")), "event_id")
     return e.select("event_id", "symbol",
                     sg.rsi_signal("rsi").alias("rsi_class"), sg.rsi_action("rsi").alias("rsi_action"),
                     sg.macd_signal("macd_line").alias("macd_class"),
