@@ -60,7 +60,7 @@ def q_recent_trades(spark, sf_dir):
 @register("recent_per_symbol", f"""
 WITH {TRADES_CTE}
 SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS pos
+  SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS INTEGER) AS pos
   FROM trades) WHERE pos <= 50""")
 def q_recent_per_symbol(spark, sf_dir):
     return sv.recent_per_symbol(load_trades(spark, sf_dir), 50)
