@@ -10,9 +10,11 @@
   per alert the state holds the last truth value of each condition and
   whether it fired; the first instant at which all hold is emitted once.
 
-Rows arriving in a later batch with an older event time are processed in
-arrival order (documented difference from the batch operators, which sort
-all rows).
+Ordering: ``stream_indicators(watermark=...)`` holds rows in state until
+the watermark passes them (event-time timeout) and releases them in
+``(timestamp, event_id)`` order, so out-of-order arrival within the delay
+gives exactly the batch result; without a watermark, and in the alert latch,
+rows are processed per micro-batch in arrival order (sorted within the batch).
 """
 
 from __future__ import annotations
@@ -95,13 +97,65 @@ def _indicator_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     yield out
 
 
-def stream_indicators(ticks: DataFrame) -> DataFrame:
+_ORDERED_STATE = ("prices array<double>, p_ts array<timestamp>, p_id array<long>, "
+                  "p_price array<double>")
+
+
+def _indicator_ordered_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+    """Buffer rows until the watermark passes them, then release them in
+    event-time order (so late rows within the watermark are placed exactly)."""
+    new = pd.concat(list(pdfs), ignore_index=True) if not state.hasTimedOut else None
+    if state.exists:
+        prev, p_ts, p_id, p_price = state.get
+        pend = pd.DataFrame({"timestamp": pd.to_datetime(list(p_ts)), "event_id": list(p_id),
+                             "price": list(p_price)})
+    else:
+        prev, pend = [], pd.DataFrame({"timestamp": pd.Series(dtype="datetime64[ns]"),
+                                       "event_id": pd.Series(dtype="Int64"),
+                                       "price": pd.Series(dtype=float)})
+    if new is not None and len(new):
+        pend = pd.concat([pend, new[["timestamp", "event_id", "price"]]], ignore_index=True)
+    wm = state.getCurrentWatermarkMs()
+    ready_mask = pend["timestamp"].astype("int64") // 1_000_000 <= wm
+    ready = pend[ready_mask].sort_values(["timestamp", "event_id"], kind="stable")
+    rest = pend[~ready_mask]
+    prices = np.concatenate([np.asarray(list(prev), dtype=float),
+                             ready["price"].to_numpy(dtype=float)])
+    if len(ready):
+        ind = indicator_arrays(prices)
+        out = pd.DataFrame({"symbol": key[0], "timestamp": ready["timestamp"].to_numpy(),
+                            "event_id": ready["event_id"].to_numpy(),
+                            "price": ready["price"].to_numpy()})
+        for name, arr in ind.items():
+            out[name] = arr[len(prev):]
+        yield out
+    state.update((prices[-HISTORY:].tolist(), list(rest["timestamp"]),
+                  [None if pd.isna(v) else int(v) for v in rest["event_id"]],
+                  rest["price"].tolist()))
+    if len(rest):
+        state.setTimeoutTimestamp(int(rest["timestamp"].astype("int64").min() // 1_000_000) + 1)
+
+
+def stream_indicators(ticks: DataFrame, watermark: str | None = None) -> DataFrame:
     """RSI / MACD / Bollinger per symbol on a stream of ticks
-    ``(symbol, timestamp, price[, event_id])``; append output, one row per tick."""
+    ``(symbol, timestamp, price[, event_id])``; append output, one row per tick.
+
+    Without ``watermark`` rows are processed per micro-batch in arrival order
+    (sorted inside the batch).  With ``watermark`` (e.g. ``"10 minutes"``)
+    rows are held in state until the watermark passes their event time and
+    are then processed in ``(timestamp, event_id)`` order – equal to the batch
+    ``enrich`` even when rows arrive out of order within the delay; rows
+    behind the watermark are dropped by Spark.
+    """
     t = ticks if "event_id" in ticks.columns else ticks.withColumn("event_id", F.lit(None).cast("long"))
     t = t.select("symbol", "timestamp", "event_id", "price").filter(F.col("price").isNotNull())
+    if watermark is None:
+        return t.groupBy("symbol").applyInPandasWithState(
+            _indicator_step, INDICATOR_SCHEMA, _PRICE_STATE, "append", GroupStateTimeout.NoTimeout)
+    t = t.withWatermark("timestamp", watermark)
     return t.groupBy("symbol").applyInPandasWithState(
-        _indicator_step, INDICATOR_SCHEMA, _PRICE_STATE, "append", GroupStateTimeout.NoTimeout)
+        _indicator_ordered_step, INDICATOR_SCHEMA, _ORDERED_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 LATCH_SCHEMA = "id string, trigger_ts timestamp, trigger_event_id long"
