@@ -46,14 +46,18 @@ def get_spark(master: str | None = None, app: str = "marketlens",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always read from
     the session.  Only when it is unset (local tests) is a fallback set: the
-    given folder, else a fresh scratch folder under /tmp.
+    given folder, else a fresh scratch folder under /tmp.  On a session
+    without a SparkContext (Spark Connect) the server's setting is used as is.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 – Spark Connect: no driver-side context
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
