@@ -32,6 +32,21 @@ DEFAULT_HALO = 64
 AUTO = "auto"
 
 
+def _surrogates(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
+    """Null-safe grouping columns for ``keys``: the value with NULL replaced
+    by the type's zero plus an ``is null`` flag.  Partitioning and joining on
+    these keeps NULL keys as their own group *and* lets a join reuse the
+    partitioning of a window on the same columns (a ``<=>`` join hashes on
+    different expressions and would re-shuffle the large side)."""
+    cols, names = [], []
+    for i, k in enumerate(keys):
+        typ = df.schema[k].dataType.simpleString()
+        zero = F.lit("") if typ == "string" else F.lit(0).cast(typ)
+        cols += [F.coalesce(F.col(k), zero).alias(f"_sk{i}"), F.col(k).isNull().alias(f"_sn{i}")]
+        names += [f"_sk{i}", f"_sn{i}"]
+    return df.select("*", *cols), names
+
+
 def choose_block_rows(t: DataFrame, keys=("symbol",), block_rows=AUTO,
                       limit: int = DEFAULT_BLOCK_ROWS):
     """Resolve ``block_rows="auto"``: measure the largest key (one small
@@ -66,21 +81,19 @@ def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
         raise ValueError("block_rows must be >= halo")
     ts_type = t.schema[order[0]].dataType
     floor = F.lit("0001-01-01 00:00:00").cast(ts_type)
-    t1 = t.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, F.col(order[0])), floor))
-    w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    t1, sk = _surrogates(t, keys)
+    t1 = t1.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, F.col(order[0])), floor))
+    w_in = Window.partitionBy(*sk, "_chunk").orderBy(*order)
     t1 = t1.withColumn("_rn", F.row_number().over(w_in))
-    counts = t1.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    w_off = (Window.partitionBy(*keys).orderBy("_chunk")
+    counts = t1.groupBy(*sk, "_chunk").agg(F.count("*").alias("_n"))
+    w_off = (Window.partitionBy(*sk).orderBy("_chunk")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumns({
         "_off": F.coalesce(F.sum("_n").over(w_off), F.lit(0)),
-        "_tot": F.sum("_n").over(Window.partitionBy(*keys))}).drop("_n")
-    # null-safe on the keys: rows with a NULL key form their own partition,
-    # as in a plain ``partitionBy``
-    off = offsets.select(*[F.col(k).alias("_k_" + k) for k in keys],
-                         F.col("_chunk").alias("_k_chunk"), "_off", "_tot")
-    cond = [t1[k].eqNullSafe(off["_k_" + k]) for k in keys] + [t1["_chunk"] == off["_k_chunk"]]
-    t2 = t1.join(off, cond, "inner").drop(*[f"_k_{k}" for k in keys], "_k_chunk")
+        "_tot": F.sum("_n").over(Window.partitionBy(*sk))}).drop("_n")
+    # plain equi-join on (surrogates, chunk): the large side is already
+    # partitioned on exactly these columns, so only the small side moves
+    t2 = t1.join(offsets, [*sk, "_chunk"], "inner").drop(*sk)
     pos = (F.col("_off") + F.col("_rn")).cast("bigint")
     t2 = t2.withColumn("_pos", pos).drop("_off", "_rn", "_chunk")
     blk = F.floor((F.col("_pos") - 1) / F.lit(block_rows)).cast("bigint")
@@ -131,14 +144,13 @@ def running_total(df: DataFrame, keys, order=("ts", "event_id"), value: str = "d
     ts_type = inst.schema[order[0]].dataType
     floor = F.lit("0001-01-01 00:00:00").cast(ts_type)
     inst = inst.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, F.col(order[0])), floor))
-    w_in = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inst, sk = _surrogates(inst, keys)
+    w_in = (Window.partitionBy(*sk, "_chunk").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inst = inst.withColumn("_run", F.sum("_v").over(w_in))
-    tot = inst.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
-    w_off = (Window.partitionBy(*keys).orderBy("_chunk")
+    tot = inst.groupBy(*sk, "_chunk").agg(F.sum("_v").alias("_t"))
+    w_off = (Window.partitionBy(*sk).orderBy("_chunk")
              .rowsBetween(Window.unboundedPreceding, -1))
-    off = tot.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_chunk").alias("_k_chunk"),
-                     F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
-    cond = [inst[k].eqNullSafe(off["_k_" + k]) for k in keys] + [inst["_chunk"] == off["_k_chunk"]]
-    j = inst.join(off, cond, "inner")
+    off = tot.select(*sk, "_chunk", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
+    j = inst.join(off, [*sk, "_chunk"], "inner")
     return j.select(*keys, *order, (F.col("_off") + F.col("_run")).alias(out))

@@ -69,3 +69,30 @@ def test_topk_is_bounded(spark):
     assert "WindowGroupLimit" in plan(sv.recent_per_symbol(t, 50))
     latest = plan(sv.latest_stats(window_stats(t)))
     assert "Window [" not in latest and "max_by" in latest
+
+
+def test_block_offsets_join_keeps_partitioning(spark):
+    """Without broadcasts the offsets join is a sort-merge join on the
+    window's own partitioning columns: the large side is not re-shuffled."""
+    from marketlens.operators.frames import with_row_blocks
+    t = load_trades(spark, SF001)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        p = plan(with_row_blocks(t, block_rows=100))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    import re
+    exchanges = [re.sub(r"#\d+L?", "", line) for line in p.split("\n")
+                 if "Exchange hashpartitioning" in line]
+    assert "SortMergeJoin" in p
+    assert not any("coalesce(" in e or "isnull(" in e for e in exchanges)
+    lines = p.split("\n")
+    smj = [i for i, line in enumerate(lines) if "SortMergeJoin" in line]
+    assert len(smj) == 1
+    # the join's large (left) input is the rank window itself: no exchange
+    # between them, its (_sk0, _sn0, _chunk) partitioning is reused
+    assert "Window [row_number()" in lines[smj[0] + 1]
