@@ -13,8 +13,9 @@
 Ordering: ``stream_indicators(watermark=...)`` holds rows in state until
 the watermark passes them (event-time timeout) and releases them in
 ``(timestamp, event_id)`` order, so out-of-order arrival within the delay
-gives exactly the batch result; without a watermark, and in the alert latch,
-rows are processed per micro-batch in arrival order (sorted within the batch).
+gives exactly the batch result; ``stream_alert_latch(watermark=...)`` does
+the same; without a watermark rows are processed per micro-batch in arrival
+order (sorted within the batch).
 """
 
 from __future__ import annotations
@@ -160,6 +161,22 @@ def stream_indicators(ticks: DataFrame, watermark: str | None = None) -> DataFra
 
 LATCH_SCHEMA = "id string, trigger_ts timestamp, trigger_event_id long"
 _LATCH_STATE = "fired boolean, flags array<boolean>"
+_LATCH_ORDERED_STATE = ("fired boolean, flags array<boolean>, p_ts array<timestamp>, "
+                        "p_id array<long>, p_idx array<int>, p_met array<boolean>, n int")
+
+
+def _latch_scan(rows: pd.DataFrame, n: int, flags: list):
+    """Apply rows (sorted) to the condition flags; return (trigger or None,
+    flags after the last row)."""
+    wide = rows.pivot_table(index=["ts", "event_id"], columns="cond_idx", values="met",
+                            aggfunc="last")
+    wide = wide.reindex(columns=range(n))
+    start = pd.DataFrame([flags], columns=range(n), index=pd.MultiIndex.from_tuples(
+        [(pd.Timestamp.min, -1)], names=["ts", "event_id"]))
+    filled = pd.concat([start, wide.astype("object")]).ffill().iloc[1:].astype(bool)
+    held = filled.all(axis=1)
+    first = held[held].index[0] if held.any() else None
+    return first, filled.iloc[-1].tolist()
 
 
 def _latch_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
@@ -172,30 +189,62 @@ def _latch_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     if fired or rows.empty:
         return
     n = int(rows["n_conditions"].iloc[0])
-    if flags is None:
-        flags = [False] * n
+    flags = flags if flags is not None else [False] * n
     rows = rows.sort_values(["ts", "event_id", "cond_idx"], kind="stable")
-    # truth of every condition after each instant: pivot + forward fill from state
-    wide = rows.pivot_table(index=["ts", "event_id"], columns="cond_idx", values="met",
-                            aggfunc="last")
-    wide = wide.reindex(columns=range(n))
-    start = pd.DataFrame([flags], columns=range(n), index=pd.MultiIndex.from_tuples(
-        [(pd.Timestamp.min, -1)], names=["ts", "event_id"]))
-    filled = pd.concat([start, wide.astype("object")]).ffill().iloc[1:].astype(bool)
-    held = filled.all(axis=1)
-    if held.any():
-        ts, ev = held[held].index[0]
-        state.update((True, filled.iloc[-1].tolist()))
-        yield pd.DataFrame({"id": [key[0]], "trigger_ts": [ts], "trigger_event_id": [ev]})
+    first, flags = _latch_scan(rows, n, flags)
+    state.update((first is not None, flags))
+    if first is not None:
+        yield pd.DataFrame({"id": [key[0]], "trigger_ts": [first[0]],
+                            "trigger_event_id": [first[1]]})
+
+
+def _latch_ordered_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+    """Hold rows until the watermark passes them, then apply them in
+    ``(ts, event_id)`` order: late rows within the delay are placed exactly."""
+    cols = ["ts", "event_id", "cond_idx", "met"]
+    if state.exists:
+        fired, flags, p_ts, p_id, p_idx, p_met, n = state.get
+        flags = list(flags)
+        pend = pd.DataFrame({"ts": pd.to_datetime(list(p_ts)), "event_id": list(p_id),
+                             "cond_idx": list(p_idx), "met": list(p_met)})
     else:
-        state.update((False, filled.iloc[-1].tolist()))
+        fired, flags, n, pend = False, None, None, pd.DataFrame(columns=cols)
+    if not state.hasTimedOut:
+        new = pd.concat(list(pdfs), ignore_index=True)
+        if len(new):
+            n = int(new["n_conditions"].iloc[0])
+            pend = pd.concat([pend, new[cols]], ignore_index=True)
+    if fired or n is None:
+        return
+    flags = flags if flags is not None else [False] * n
+    wm = state.getCurrentWatermarkMs()
+    due = pd.to_datetime(pend["ts"]).astype("int64") // 1_000_000 <= wm
+    ready = pend[due].sort_values(["ts", "event_id", "cond_idx"], kind="stable")
+    rest = pend[~due]
+    first = None
+    if len(ready):
+        first, flags = _latch_scan(ready, n, flags)
+    if first is not None:
+        state.update((True, flags, [], [], [], [], n))
+        yield pd.DataFrame({"id": [key[0]], "trigger_ts": [first[0]],
+                            "trigger_event_id": [first[1]]})
+        return
+    state.update((False, flags, list(pd.to_datetime(rest["ts"])), [int(v) for v in rest["event_id"]],
+                  [int(v) for v in rest["cond_idx"]], [bool(v) for v in rest["met"]], n))
+    if len(rest):
+        state.setTimeoutTimestamp(int(pd.to_datetime(rest["ts"]).astype("int64").min() // 1_000_000) + 1)
 
 
 def stream_alert_latch(timeline: DataFrame, alerts: DataFrame, zero_default: bool = False,
                        watermark: str | None = None) -> DataFrame:
     """First trigger per alert on a stream of symbol-state updates
     ``(symbol, ts, event_id, STATE_FIELDS...)``; ``alerts`` is a static
-    registry (joined stream-static, i.e. broadcast when small).  Alerts
+    registry (joined stream-static, i.e. broadcast when small).
+
+    Without ``watermark`` rows are applied per micro-batch in arrival order;
+    with it they are held until the watermark passes them and applied in
+    event-time order (event-time timeout), which equals the batch
+    ``first_trigger`` under out-of-order arrival within the delay.  Alerts
     without conditions are not seen by a stream of updates; use
     ``first_trigger`` for those."""
     conds = explode_conditions(alerts.filter(~F.coalesce(F.col("triggered"), F.lit(False))))
@@ -210,5 +259,9 @@ def stream_alert_latch(timeline: DataFrame, alerts: DataFrame, zero_default: boo
              for f in STATE_FIELDS}
     j = j.select("id", "n_conditions", "cond_idx", "ts", "event_id",
                  condition_met(F.col("c_type"), F.col("c_thr"), state).alias("met"))
+    if watermark:
+        return j.groupBy("id").applyInPandasWithState(
+            _latch_ordered_step, LATCH_SCHEMA, _LATCH_ORDERED_STATE, "append",
+            GroupStateTimeout.EventTimeTimeout)
     return j.groupBy("id").applyInPandasWithState(
         _latch_step, LATCH_SCHEMA, _LATCH_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -284,3 +284,35 @@ def test_stream_indicators_out_of_order_with_watermark(spark, scratch):
         a, b = got[c].astype(float), exp[c].astype(float)
         assert (a.isna() == b.isna()).all(), c
         assert ((a - b).abs().fillna(0) < 1e-6).all(), c
+
+
+def test_stream_alert_latch_out_of_order_with_watermark(spark, scratch):
+    t = load_trades(spark, SF001)
+    tl = al.state_timeline(t)
+    alerts = derive_alerts(t)
+    exp = al.first_trigger(alerts, tl).toPandas()
+    exp = exp[exp["name"] != "no_conditions"].set_index("id").sort_index()
+    pdf = tl.withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts").toPandas()
+    pdf["day"] = pdf["ts"].dt.floor("D")
+    shuffled = pd.concat([g.sample(frac=1.0, random_state=3) for _, g in pdf.groupby("day")])
+    shuffled = shuffled.drop(columns="day")
+    tail = shuffled.iloc[:0].copy()
+    for sym in sorted(pdf.symbol.unique()):          # far-future rows move the watermark
+        row = pdf[pdf.symbol == sym].iloc[-1].drop("day").copy()
+        row["ts"], row["event_id"] = pd.Timestamp("2030-01-01"), -1
+        tail = pd.concat([tail, row.to_frame().T])
+    src = os.path.join(scratch, "tl")
+    _write_chunks(spark, pd.concat([shuffled, tail], ignore_index=True).astype(shuffled.dtypes.to_dict()),
+                  src, 5)
+    schema = tl.withColumn("ts", F.col("ts").cast("timestamp")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*/*.parquet")
+    out = []
+    q = (stateful.stream_alert_latch(stream, alerts, watermark="1 day").writeStream
+         .outputMode("append").foreachBatch(_collect_batches(out))
+         .option("checkpointLocation", os.path.join(scratch, "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = pd.concat(out).set_index("id").sort_index()
+    got = got[got.trigger_event_id >= 0]
+    assert list(got.index) == list(exp.index)
+    assert (got.trigger_event_id.values == exp.trigger_event_id.values).all()
