@@ -272,6 +272,57 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
     return fired.unionByName(zero)
 
 
+def running_window_stats(t: DataFrame, stats_width: str = "5 minutes",
+                         chunk: str = "1 minute") -> DataFrame:
+    """Running trade count (``volume``) and sample stddev (``volatility``) of
+    each trade's statistics window up to and including the trade.
+
+    Built from pieces no larger than one ``chunk`` (minute) of one symbol:
+    running moments inside each (symbol, window, minute) piece, plus the
+    moments of the window's earlier pieces from a small per-piece table
+    (prefix sums shifted by the window's first piece mean, so constant prices
+    give exactly 0), merged with Chan et al.'s pairwise formula.  Equal to a
+    running ``stddev`` over the whole window up to floating-point rounding.
+    """
+    from marketlens.operators.frames import _surrogates
+    order = ["ts", "event_id"]
+    # one time-window expression per projection (Spark rejects two in one)
+    s = t.withColumn("_w", F.window("ts", stats_width).start) \
+         .withColumn("_c", F.window("ts", chunk).start)
+    s, sk = _surrogates(s, ["symbol", "_w", "_c"])
+    inner = (Window.partitionBy(*sk).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    s = s.withColumns({"_nb": F.count("price").over(inner),
+                       "_mb": F.avg("price").over(inner),
+                       "_m2b": F.var_pop("price").over(inner) * F.count("price").over(inner)})
+    pieces = s.groupBy(*sk).agg(F.count("price").alias("cn"), F.avg("price").alias("cm"),
+                                F.coalesce(F.var_pop("price") * F.count("price"),
+                                           F.lit(0.0)).alias("cq"))
+    win = sk[:4]                                  # symbol and window surrogates
+    w_all = Window.partitionBy(*win).orderBy(sk[4], sk[5])
+    before = w_all.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_k", F.first("cm", ignorenulls=True).over(
+        w_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    d = F.col("cm") - F.col("_k")
+    pieces = pieces.select(*sk,
+                           F.coalesce(F.sum("cn").over(before), F.lit(0)).alias("_na"),
+                           F.sum(F.col("cn") * d).over(before).alias("_sa"),
+                           F.sum(F.col("cq") + F.col("cn") * d * d).over(before).alias("_qa"),
+                           "_k")
+    j = s.join(pieces, sk, "inner")
+    na, nb = F.col("_na").cast("double"), F.col("_nb").cast("double")
+    mean_a = F.col("_k") + F.col("_sa") / na
+    m2_a = F.col("_qa") - F.col("_sa") * F.col("_sa") / na
+    n = na + nb
+    delta = F.col("_mb") - mean_a
+    m2 = (F.when(F.col("_na") == 0, F.col("_m2b"))
+           .when(F.col("_nb") == 0, m2_a)
+           .otherwise(m2_a + F.col("_m2b") + delta * delta * na * nb / n))
+    vol = F.when(n >= 2, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)))
+    return j.withColumns({"volume": n, "volatility": vol}).drop(
+        *sk, "_w", "_c", "_nb", "_mb", "_m2b", "_na", "_sa", "_qa", "_k")
+
+
 def state_timeline(t: DataFrame, stats_width: str = "5 minutes",
                    block_rows=AUTO) -> DataFrame:
     """Symbol state after each trade, and the state before it (``prev_*``).
@@ -279,16 +330,12 @@ def state_timeline(t: DataFrame, stats_width: str = "5 minutes",
     ``price`` and the indicators are the trade's ``enrich`` values;
     ``volume`` / ``volatility`` are the running trade count and sample stddev
     of the trade's statistics window up to that trade (what an update-mode
-    statistics stream has emitted by then).  The running statistics window is
-    partitioned by (symbol, statistics window): bounded by one window of one
-    symbol.  The indicators and all ``prev_*`` columns come from one blocked
-    pass (``with_row_blocks``), so a hot symbol is split into blocks.
+    statistics stream has emitted by then), from ``running_window_stats``
+    (pieces of one minute of one symbol).  The indicators and all ``prev_*``
+    columns come from one blocked pass (``with_row_blocks``), so a hot symbol
+    is split into blocks.
     """
-    w = (Window.partitionBy("symbol", "_w").orderBy("ts", "event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = (t.withColumn("_w", F.window("ts", stats_width).start)
-          .withColumn("volume", F.count("price").over(w).cast("double"))
-          .withColumn("volatility", F.stddev("price").over(w)).drop("_w"))
+    s = running_window_stats(t, stats_width)
     e = enrich(s, keys=("symbol",), block_rows=block_rows, extra=("volume", "volatility"),
                keep_blocks=True)
     e = e.select("symbol", "ts", "event_id", "price", "volume", "volatility", "rsi",

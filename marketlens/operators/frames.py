@@ -41,7 +41,14 @@ def _surrogates(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
     cols, names = [], []
     for i, k in enumerate(keys):
         typ = df.schema[k].dataType.simpleString()
-        zero = F.lit("") if typ == "string" else F.lit(0).cast(typ)
+        if typ == "string":
+            zero = F.lit("")
+        elif typ.startswith("timestamp") or typ == "date":
+            zero = F.lit("1970-01-01 00:00:00").cast(typ)
+        elif typ == "boolean":
+            zero = F.lit(False)
+        else:
+            zero = F.lit(0).cast(typ)
         cols += [F.coalesce(F.col(k), zero).alias(f"_sk{i}"), F.col(k).isNull().alias(f"_sn{i}")]
         names += [f"_sk{i}", f"_sn{i}"]
     return df.select("*", *cols), names

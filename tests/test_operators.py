@@ -412,3 +412,30 @@ def test_first_trigger_many_thresholds_brute_force(spark):
             if all(met(*c) for c in conds):
                 exp[aid] = i
     assert got == exp
+
+
+def test_running_window_stats_matches_window(spark):
+    import random
+    from pyspark.sql import Window
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1500):
+        sym = rnd.choice(["A", "B"])
+        price = 50.0 if sym == "B" else round(rnd.uniform(10, 1000), 2)   # B: constant
+        rows.append((sym, price if i % 97 else None, rnd.randint(0, 3600)))
+    t = spark.createDataFrame(
+        [(i, s, "x", p, 1.0, T0 + timedelta(seconds=sec)) for i, (s, p, sec) in enumerate(rows)], TRADE)
+    got = {r.event_id: (r.volume, r.volatility) for r in al.running_window_stats(t).collect()}
+    w = (Window.partitionBy("symbol", F.window("ts", "5 minutes").start).orderBy("ts", "event_id")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    exp = {r.event_id: (r.v, r.s) for r in t.select(
+        "event_id", F.count("price").over(w).cast("double").alias("v"),
+        F.stddev("price").over(w).alias("s")).collect()}
+    assert got.keys() == exp.keys()
+    for k, (v, sd) in exp.items():
+        gv, gs = got[k]
+        assert gv == v
+        assert (gs is None) == (sd is None), k
+        if sd is not None:
+            assert gs == pytest.approx(sd, rel=1e-9, abs=1e-9)
+    assert all(got[k][1] in (None, 0.0) for k, (s, p, _) in enumerate(rows) if s == "B")
