@@ -324,3 +324,40 @@ def q_registry_delete(spark, sf_dir):
     reg = derive_alerts(load_trades(spark, sf_dir))
     gone = reg.filter(F.col("name") == "bad_threshold").select("id")
     return al.delete_alerts(reg, gone).select("id", "name")
+
+
+_TL_W = "PARTITION BY symbol ORDER BY ts, event_id"
+
+
+@register("state_timeline", f"""
+WITH {_STATE_SQL}
+SELECT symbol, ts, event_id, price, volume, round(volatility, 4) AS volatility,
+       round(rsi, 6) AS rsi, round(macd, 6) AS macd,
+       round(bollinger_upper, 6) AS bollinger_upper, round(bollinger_lower, 6) AS bollinger_lower,
+       lag(price) OVER ({_TL_W}) AS prev_price, lag(volume) OVER ({_TL_W}) AS prev_volume,
+       round(lag(rsi) OVER ({_TL_W}), 6) AS prev_rsi, round(lag(macd) OVER ({_TL_W}), 6) AS prev_macd
+FROM tl""")
+def q_state_timeline(spark, sf_dir):
+    """L4's input: symbol state after (and before) each trade."""
+    tl = al.state_timeline(load_trades(spark, sf_dir))
+    out = tl.select("symbol", "ts", "event_id", "price", "volume", "volatility", "rsi", "macd",
+                    "bollinger_upper", "bollinger_lower", "prev_price", "prev_volume",
+                    "prev_rsi", "prev_macd")
+    out = r6(out, ["rsi", "macd", "bollinger_upper", "bollinger_lower", "prev_rsi", "prev_macd"])
+    return r6(out, ["volatility"], 4)
+
+
+@register("latest_state", f"""
+WITH {_STATE_SQL},
+st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS rn
+                      FROM tl) WHERE rn = 1)
+SELECT symbol, price, volume, round(volatility, 4) AS volatility, round(rsi, 6) AS rsi,
+       round(macd, 6) AS macd, round(bollinger_upper, 6) AS bollinger_upper,
+       round(bollinger_lower, 6) AS bollinger_lower
+FROM st""")
+def q_latest_state(spark, sf_dir):
+    """L3's input: state snapshot after each symbol's last trade (from its
+    last 64 trades and latest statistics window only)."""
+    st = al.latest_state(load_trades(spark, sf_dir))
+    st = r6(st, ["rsi", "macd", "bollinger_upper", "bollinger_lower"])
+    return r6(st, ["volatility"], 4)
