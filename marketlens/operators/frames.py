@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK_ROWS = 1_000_000
 DEFAULT_HALO = 64
 AUTO = "auto"
+_BLOCK_MEMO: dict = {}
 
 
 def _surrogates(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
@@ -63,9 +64,15 @@ def choose_block_rows(t: DataFrame, keys=("symbol",), block_rows=AUTO,
     AQE cannot split a window partition at runtime, hence this check."""
     if block_rows != AUTO:
         return block_rows
-    row = t.groupBy(*list(keys)).count().agg(F.max("count")).first()
-    biggest = row[0] if row is not None else None
-    return None if biggest is None or biggest <= limit else limit
+    probe = t.groupBy(*list(keys)).count().agg(F.max("count").alias("m"))
+    # the answer only chooses between two exact plans, so it is remembered
+    # per session and input plan (a stale answer can cost speed, not results)
+    memo_key = (id(t.sparkSession), probe.semanticHash(), limit)
+    if memo_key not in _BLOCK_MEMO:
+        row = probe.first()
+        biggest = row[0] if row is not None else None
+        _BLOCK_MEMO[memo_key] = None if biggest is None or biggest <= limit else limit
+    return _BLOCK_MEMO[memo_key]
 
 
 def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
