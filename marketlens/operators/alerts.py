@@ -24,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.frames import (AUTO, block_window, drop_blocks, running_total,
-                                         with_row_blocks)
+from marketlens.operators.frames import (AUTO, block_window, choose_block_rows, drop_blocks,
+                                         running_total, with_row_blocks)
 from marketlens.operators.indicators import enrich
 
 # Condition types of the evaluator -> (state field, comparison).
@@ -330,12 +330,23 @@ def state_timeline(t: DataFrame, stats_width: str = "5 minutes",
     ``price`` and the indicators are the trade's ``enrich`` values;
     ``volume`` / ``volatility`` are the running trade count and sample stddev
     of the trade's statistics window up to that trade (what an update-mode
-    statistics stream has emitted by then), from ``running_window_stats``
-    (pieces of one minute of one symbol).  The indicators and all ``prev_*``
-    columns come from one blocked pass (``with_row_blocks``), so a hot symbol
-    is split into blocks.
+    statistics stream has emitted by then).  With ``block_rows="auto"`` the
+    largest symbol is measured once: without a hot symbol one running frame
+    per (symbol, window) is used; with one, ``running_window_stats`` builds
+    the same values from one-minute pieces, and the indicators and all
+    ``prev_*`` columns come from one blocked pass (``with_row_blocks``).
     """
-    s = running_window_stats(t, stats_width)
+    block_rows = choose_block_rows(t, ["symbol"], block_rows)
+    if block_rows is None:
+        # no hot symbol: one running frame per (symbol, window); it shares the
+        # per-symbol shuffle of the indicator windows below
+        w = (Window.partitionBy("symbol", "_w").orderBy("ts", "event_id")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        s = (t.withColumn("_w", F.window("ts", stats_width).start)
+              .withColumns({"volume": F.count("price").over(w).cast("double"),
+                            "volatility": F.stddev("price").over(w)}).drop("_w"))
+    else:
+        s = running_window_stats(t, stats_width)
     e = enrich(s, keys=("symbol",), block_rows=block_rows, extra=("volume", "volatility"),
                keep_blocks=True)
     e = e.select("symbol", "ts", "event_id", "price", "volume", "volatility", "rsi",

@@ -439,3 +439,20 @@ def test_running_window_stats_matches_window(spark):
         if sd is not None:
             assert gs == pytest.approx(sd, rel=1e-9, abs=1e-9)
     assert all(got[k][1] in (None, 0.0) for k, (s, p, _) in enumerate(rows) if s == "B")
+
+
+def test_state_timeline_blocked_equals_plain(spark):
+    """The hot-symbol form (minute pieces + row blocks) equals the plain form."""
+    from marketlens.plans.common import load_trades
+    from conftest import SF001
+    t = load_trades(spark, SF001)
+    cols = ["volume", "volatility", "rsi", "macd", "bollinger_upper", "prev_price", "prev_rsi"]
+    a = {r.event_id: r for r in al.state_timeline(t, block_rows=None).collect()}
+    b = {r.event_id: r for r in al.state_timeline(t, block_rows=64).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in cols:
+            x, y = a[k][c], b[k][c]
+            assert (x is None) == (y is None), (k, c)
+            if x is not None:
+                assert x == pytest.approx(y, rel=1e-9, abs=1e-9), (k, c)
