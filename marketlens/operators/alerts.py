@@ -230,6 +230,8 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
                  _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):]).alias("u"),
                  _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):], "prev_").alias("pu"))
         for k in keys])).alias("v")).select("symbol", *order, "v.fkey", "v.u", "v.pu")
+    # an unchanged value (or NULL before and after) cannot cross a threshold
+    long_tl = long_tl.filter(~F.col("u").eqNullSafe(F.col("pu")))
 
     def count_below(u, le):
         below = (lambda yy: yy <= u) if le else (lambda yy: yy < u)
