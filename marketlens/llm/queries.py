@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontam, packing, secrets, tokenfile, warc
+from marketlens.llm import decontam, licenses, packing, secrets, tokenfile, warc
 from marketlens.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_automaton_secrets")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_documents(table(spark, sf_dir, "documents")))
+
+
+@query("op4_license_containment", licenses.containment_sql(_WORDS))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
