@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontam, licenses, packing, secrets, tokenfile, warc
+from marketlens.llm import decontam, licenses, packing, quality, secrets, tokenfile, warc
 from marketlens.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_containment", licenses.containment_sql(_WORDS))
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+@query("op8_ordinal_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.grade_documents(docs, model).select("doc_id", quality.held_out().alias("held_out"), "expected_grade", "tail", quality.accepted().alias("accepted"))

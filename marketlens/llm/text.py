@@ -66,13 +66,21 @@ class Words:
 
     def __init__(self, docs: list[bytes], table: np.ndarray):
         raw = np.frombuffer(b" ".join(docs) + b" ", np.uint8)
-        self.data = norm = table[raw]
+        self._index(table[raw], np.concatenate([[0], np.cumsum(np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs)))]))
+
+    @classmethod
+    def of(cls, data: np.ndarray, bounds: np.ndarray) -> Words:
+        """The words of normalised bytes (a space between any two words) and the documents' bounds in them."""
+        out = cls.__new__(cls)
+        out._index(data, bounds)
+        return out
+
+    def _index(self, norm: np.ndarray, bounds: np.ndarray) -> None:
+        self.data, self.bounds = norm, bounds
         # normalised spaces are exactly the separators: a word never holds one
-        word = np.concatenate([[False], norm != 32])
-        edge = np.flatnonzero(word[1:] != word[:-1])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (norm != 32).view(np.int8), [0]])))
         self.start, self.end = edge[0::2], edge[1::2]
-        at = np.concatenate([[0], np.cumsum(np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs)))])
-        self.first = np.searchsorted(self.start, at)
+        self.first = np.searchsorted(self.start, bounds)
         power, inverse = _powers(len(norm) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[norm] * power[:len(norm)], dtype=np.uint64)])
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
