@@ -45,6 +45,34 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BITS = 24  # a bitmap has 2 MB, however many ids it holds
+
+
+def bitmap_of(df: DataFrame, column: str):
+    """A fixed-size bitmap of the hashed values of a column, as a numpy array."""
+    import numpy as np
+
+    bit = F.xxhash64(column).bitwiseAND((1 << BITS) - 1)
+    pieces = (df.where(F.col(column).isNotNull()).select(F.bitmap_bucket_number(bit + 1).alias("k"), F.bitmap_bit_position(bit + 1).alias("b"))
+              .groupBy("k").agg(F.bitmap_construct_agg("b")).collect())  # 512 rows of 4 kB at most
+    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+    for k, b in pieces:
+        bitmap[(k - 1) * 4096:k * 4096] = np.frombuffer(b, np.uint8)
+    return bitmap
+
+
+def in_bitmap(df: DataFrame, column: str, bitmap) -> DataFrame:
+    """Rows whose value may be in the bitmap: all that are, few others."""
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bit = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array((bitmap[bit >> 3] >> (bit & 7)) & 1 == 1)).select(list(range(batch.num_columns - 1)))
+
+    return df.withColumn("_bit", F.xxhash64(column).bitwiseAND((1 << BITS) - 1)).mapInArrow(keep, df.schema)
+
+
 def write_files(blobs: DataFrame, path: str) -> None:
     """Writes each row of the one binary column as a file of its own.
 
