@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontam, licenses, minhash, packing, quality, secrets, tokenfile, warc
+from marketlens.llm import decontam, licenses, minhash, packing, quality, secrets, tokenfile, vectorgraph, warc
 from marketlens.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,19 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS componen
 @query("op9_bbit_minhash", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda c: c * c))) AS n FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) AND a.n > 0 AND b.n > 0 AND isfinite(a.n) AND isfinite(b.n)
+  AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS vec_id, a AS reach FROM e UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT vec_id, min(reach) AS m FROM r GROUP BY vec_id), k AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN k USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
+@query("op2_pruned_graph_near_duplicates", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorgraph.links(table(spark, sf_dir, "embeddings"))
