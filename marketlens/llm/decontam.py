@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from marketlens.llm.shared import free_name
 from marketlens.llm.text import ALNUM, Words, mix, slices
 
 WINDOW, GRAM = 13, 5
@@ -93,7 +94,7 @@ def _marks(words: Words, bitmap: np.ndarray | None, lengths: list[int], whole: b
 
 
 def _scan(frame: DataFrame, key: str, bitmap: np.ndarray | None, lengths: list[int], whole: bool) -> DataFrame:
-    """key, ``text_hash`` (equal texts have equal ones), n_words and marks of each row."""
+    """key, ``own`` (a hash of the text as it is), ``text_hash`` (equal for equal words), n_words and marks of each row."""
     mark = pa.struct([("h", pa.int64()), ("len", pa.int32()), ("pos", pa.int32()), ("off", pa.int32()), ("words", pa.list_(pa.string()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +104,11 @@ def _scan(frame: DataFrame, key: str, bitmap: np.ndarray | None, lengths: list[i
             # word hashes in order, folded to one number per text
             place = np.arange(len(words.hash), dtype=np.uint64) - np.repeat(words.first[:-1].astype(np.uint64), words.counts())
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash ^ mix(place)), dtype=np.uint64)])
-            yield pa.RecordBatch.from_arrays([run.column(0), pa.array((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64)), pa.array(words.counts(), pa.int64()),
-                                              pa.array([marks.get(i, []) for i in range(len(texts))], pa.list_(mark))], ["key", "text_hash", "n_words", "marks"])
+            yield pa.RecordBatch.from_arrays([run.column(0), run.column(1), pa.array((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64)), pa.array(words.counts(), pa.int64()),
+                                              pa.array([marks.get(i, []) for i in range(len(texts))], pa.list_(mark))], ["key", "own", "text_hash", "n_words", "marks"])
 
-    return frame.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(scan, f"key long, text_hash long, n_words long, marks array<{MARK}>")
+    plain = F.col("text").cast("string")
+    return frame.select(F.col(key).cast("long").alias("key"), F.xxhash64(plain).alias("own"), plain.alias("text")).mapInArrow(scan, f"key long, own long, text_hash long, n_words long, marks array<{MARK}>")
 
 
 @F.pandas_udf(StructType([StructField("low", IntegerType()), StructField("high", IntegerType())]))
@@ -135,7 +137,7 @@ def _extent(length: pd.Series, pos: pd.Series, off: pd.Series, words: pd.Series,
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated
-    (hit words are at least one in ``share``), and text_hash."""
+    (hit words are at least one in ``share``), and text_hash = xxhash64(text)."""
     spark = docs.sparkSession
     # Items that repeat their words are one class, whose members are listed at the end.
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -155,13 +157,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
 
     # Documents without candidates go through the join under keys of their own,
     # dealt evenly, which no item has.
-    rows = _scan(docs, "doc_id", bitmap, lengths, False).select("key", "text_hash", "n_words", F.explode_outer("marks").alias("m")).select(
-        "key", "text_hash", "n_words", F.coalesce("m.h", F.xxhash64("key", "text_hash")).alias("h"), F.coalesce("m.len", F.lit(0)).alias("len"), F.col("m.pos").alias("pos"), F.col("m.off").alias("off"), F.col("m.words").alias("words"))
+    rows = _scan(docs, "doc_id", bitmap, lengths, False).select("key", "own", "n_words", F.explode_outer("marks").alias("m")).select(
+        "key", "own", "n_words", F.coalesce("m.h", F.xxhash64("key", "own")).alias("h"), F.coalesce("m.len", F.lit(0)).alias("len"), F.col("m.pos").alias("pos"), F.col("m.off").alias("off"), F.col("m.words").alias("words"))
     met = rows.join(marks, ["h", "len"], "left")
     none = F.lit(None).cast("struct<low:int,high:int>")
     met = met.withColumn("hit", F.when(F.col("item").isNotNull(), _extent("len", "pos", "off", "words", "item_off", "item_words")).otherwise(none))
     hit = F.col("hit.low").isNotNull()
-    doc = ["key", "text_hash", "n_words"]
+    doc = ["key", "own", "n_words"]
     # a document's stretches and items: at most some per its own fingerprints
     per_doc = met.groupBy(*doc).agg(F.array_sort(F.collect_set(F.when(hit, F.col("hit")))).alias("hits"), F.collect_set(F.when(hit, F.col("item"))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))
@@ -170,4 +172,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
     text = F.array_join(F.array_sort(F.collect_set(F.col("item_id").cast("string"))), ",")
     return (per_doc.withColumn("item", F.coalesce("item", F.struct(F.xxhash64(*doc).alias("text_hash"), F.lit(0).cast("long").alias("n_words")))).join(members, "item", "left")
             .groupBy(*doc, "n_hit").agg(F.count_distinct("item_id").alias("n_items"), F.sha2(text, 256).alias("items_sha256"))
-            .select(F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "text_hash"))
+            .select(F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.col("own").alias("text_hash")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` that are not contaminated."""
+    i, t = free_name("_id", docs), free_name("_text", docs)
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(i), F.col("text_hash").alias(t))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "leftanti")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.shared import bitmap_of, components, cut, in_bitmap
+from marketlens.llm.shared import bitmap_of, components, cut, free_name, in_bitmap
 from marketlens.llm.text import SPACED, Words, mix, slices
 
 HASHES, ROWS, BANDS = 192, 5, 38
@@ -226,3 +226,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     parts = parts.withColumnRenamed("id", "doc_id")
     return (sets.select("doc_id", "n_shingles").join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+
+
+def deduplicate(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
+    """The rows and columns of ``docs`` with one document of each component, that
+    of the smallest doc_id; of rows that repeat a doc_id one stays (of the
+    smallest text hash), rows without one all stay.  Only the ids of what
+    goes are joined, so the texts that stay are not shuffled."""
+    i = free_name("_id", docs)
+    gone = cut(near_duplicates(docs, k, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias(i)).distinct(), "gone")
+    own = F.col("doc_id").cast("long") == F.col(i)
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(i)).count().where("count > 1").select(i)
+    left = docs.join(gone, own, "leftanti")
+    first = left.join(again, own, "leftsemi").groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64("text")).alias("row")).select("row.*")
+    return left.join(again, own, "leftanti").unionByName(first)

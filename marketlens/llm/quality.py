@@ -37,6 +37,7 @@ from marketlens.llm.text import SPACED, Words, slices
 DIMENSIONS = 1 << 14
 SAMPLE = 2500  # labelled rows of each grade that the fit may see
 GRADES = 3
+CUT = 0.25  # tail probability from which a document is kept: rather a poor one than to lose a good one
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91] = ord("X")
@@ -164,6 +165,18 @@ def grade_documents(docs: DataFrame, model: Model, at: int = 1) -> DataFrame:
     return plain.mapInArrow(score, schema).toDF(*names)
 
 
-def accepted(cut: float = 0.5) -> F.Column:
+def accepted(cut: float = CUT) -> F.Column:
     """Whether a graded document is kept."""
     return (F.col("tail") >= cut) & (F.col("n_parts") > 0)
+
+
+def accept_documents(docs: DataFrame, model: Model, at: int = 1, cut: float = CUT) -> DataFrame:
+    """The rows and columns of ``docs`` that the model accepts."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, texts in slices(batches):
+            doc, dims, n = features(texts)
+            tail = model.tails(np.bincount(doc, model.weights[dims], len(texts)) / np.maximum(1, n))[:, at - 1]
+            yield run.filter(pa.array((tail >= cut) & (n > 0)))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(keep, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontam, licenses, minhash, packing, quality, secrets, tokenfile, vectorgraph, warc
+from marketlens.llm import decontam, licenses, minhash, packing, quality, secrets, tokenfile, toxicity, vectorgraph, warc
 from marketlens.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(m, vec_id) AS component
 @query("op2_pruned_graph_near_duplicates", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorgraph.links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_string_kernel_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))

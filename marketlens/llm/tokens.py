@@ -80,12 +80,12 @@ class PartIds(dict):
             self[part] = ids
         return ids
 
-    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of whole texts: all ids in a row, and the bounds of each text's.
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (UTF-8): all ids in a row, and the bounds of each text's.
 
         The parts are told apart by Arrow, so that each different part of the
         run is looked up once; the ids are then gathered by numpy."""
-        split = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         parts = split.flatten().dictionary_encode()
         known = list(map(self.__getitem__, parts.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)))
         flat = np.frombuffer(b"".join(known), "<u2")
@@ -96,8 +96,7 @@ class PartIds(dict):
         after = np.cumsum(length)
         total = int(after[-1]) if len(after) else 0
         at = np.repeat(start[which] - after + length, length) + np.arange(total)
-        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return flat[at], np.concatenate([[0], after])[bounds]
+        return flat[at], np.concatenate([[0], after])[split.offsets.to_numpy()]
 
 
 _KEPT: dict[str, PartIds] = {}
