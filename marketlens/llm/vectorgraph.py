@@ -317,24 +317,26 @@ def audit(vectors: DataFrame, found: DataFrame, least: float = 0.9, every: int =
     """Recall of ``found`` (from ``links``) against brute force: one row with the
     links of the vectors whose id is divisible by ``every``, and how many were found.
 
-    The queries go to the tasks in blocks of rows; every vector meets every query."""
-    valid = _valid(vectors).select("vec_id", "vec")
-    ask = cut(valid.where(F.col("vec_id") % every == 0).withColumn("block", F.spark_partition_id()), "queries")
-
-    def compare(key, left, right):
+    The queries are a stated set; they meet every vector in groups of one block
+    of queries and one part of the vectors, both of bounded size."""
+    valid = cut(_valid(vectors).select("vec_id", "vec", (F.col("vec_id") % every == 0).alias("asks")), "audit")
+    n, asks = valid.agg(F.count("*"), F.count_if("asks")).first()
+    parts, blocks = max(1, -(-n // 20_000)), max(1, -(-asks // 2_000))
+    deal = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
+    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = valid.where("asks").withColumn("part", all_(parts)).withColumn("block", deal(blocks)).withColumn("role", F.lit(0))
+    right = valid.withColumn("part", deal(parts)).withColumn("block", all_(blocks)).withColumn("role", F.lit(1))
+
+    def compare(rows):
         import pandas as pd
 
-        same = max([0, *map(len, left["vec"]), *map(len, right["vec"])])
-        pad = lambda s: np.array([[*v, *([0.0] * (same - len(v)))] for v in s]).reshape(len(s), same)
-        hits = (_unit(pad(left["vec"])) @ _unit(pad(right["vec"])).T >= least) if len(left) and len(right) else np.zeros((len(left), 0), bool)
-        hits &= left["vec"].map(len).to_numpy()[:, None] == right["vec"].map(len).to_numpy()[None, :] if hits.size else hits
-        own = left["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()[None, :]
-        return pd.DataFrame({"vec_id": left["vec_id"], "n": (hits & ~own).sum(axis=1) if hits.size else 0})
-
-    blocks = ask.select("block").distinct()
-    parts = 16
-    spread = lambda df, extra: df.withColumn("part", extra)
-    left = spread(ask, F.explode(F.array(*(F.lit(i) for i in range(parts)))))
-    right = spread(valid, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).join(F.broadcast(blocks))
-    true = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+        q, v = rows[rows.role == 0], rows[rows.role == 1]
+        width = max(map(len, rows.vec))
+        pad = lambda s: np.array([np.pad(x, (0, width - len(x))) for x in s]).reshape(len(s), width)
+        hits = _unit(pad(q.vec)) @ _unit(pad(v.vec)).T >= least
+        hits &= q.vec.map(len).to_numpy(int)[:, None] == v.vec.map(len).to_numpy(int)[None, :]
+        hits &= q.vec_id.to_numpy()[:, None] != v.vec_id.to_numpy()[None, :]
+        return pd.DataFrame({"vec_id": q.vec_id, "n": hits.sum(axis=1)})
+
+    true = left.unionByName(right).groupBy("block", "part").applyInPandas(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     return true.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum("n").alias("links"), F.sum(F.least("n", "n_links")).alias("found"))
