@@ -9,8 +9,8 @@ single letters count as one more string.  The strings are the words of labelled
 sentences.
 
 Fit: a sentence of a harmless document labels all its words harmless; of a
-toxic document at least one word is to blame, taken to be the one most tied to
-toxic documents and those nearly as tied (witnesses).  ``LANDMARKS`` of these strings span a Nyström
+toxic document at least one word is to blame, taken to be those most tied to
+toxic documents, beyond what chance explains (witnesses).  ``LANDMARKS`` of these strings span a Nyström
 feature space, in which a linear support vector machine with squared hinge loss
 is solved by Newton steps.  Its normal vector folds back into one weight per
 subsequence, so scoring needs no kernel evaluations: a string's value is the sum
@@ -19,7 +19,8 @@ fitted on the training documents turns it into a score.
 
 The fit sees at most ``SAMPLE`` labelled rows of each label, those of smallest
 hashed doc_id, none of which has crc32(doc_id as text) mod 5 = 0; of their
-words at most ``STRINGS`` of each label reach the driver.  Scoring reads every
+words at most ``STRINGS`` of each label reach the driver, and in each further
+round a quarter as many harmless ones, those of the largest values so far.  Scoring reads every
 document whole, in one pass without a shuffle.
 
 Rows: a null or empty text has no strings and gets the lowest score; labels
@@ -41,17 +42,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.shared import cut
 from marketlens.llm.text import slices
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
 SAMPLE, STRINGS, LANDMARKS = 4000, 12_000, 512
+ROUNDS = 3  # of the fit, each with the worst harmless strings under the last one
 LONGEST = 64  # letters of one string; a longer word is scored in overlapping pieces
 
-#: Byte -> letter code 1 to 31, 0 for what is left out.  Letters outside ASCII
-#: fall into five classes by their last byte; the lead bytes are left out.
+#: Byte -> letter code 1 to 30, 0 for what is left out.  Letters outside ASCII
+#: fall into four classes by their last byte; the lead bytes are left out.
+#: Code 31 stands before the first letter of each string.
 _CODE = np.zeros(256, np.uint8)
 _CODE[65:91] = _CODE[97:123] = np.arange(1, 27)
-_CODE[0x80:0xC0] = 27 + np.arange(64) % 5
+_CODE[0x80:0xC0] = 27 + np.arange(64) % 4
+_CODE[10] = 31
 _PLACES = [(0, *c) for c in combinations(range(1, SPAN), ORDER - 1)]
 _MASS = [DECAY ** (c[-1] + 1) for c in _PLACES]
 LOWEST = -9.0
@@ -59,9 +64,9 @@ LOWEST = -9.0
 
 def letters(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of all strings in a row, and each string's bounds."""
-    raw = np.frombuffer(b"".join(strings), np.uint8)
+    raw = np.frombuffer(b"".join(b"\n" + x for x in strings), np.uint8)  # no string holds a line end
     code = _CODE[raw]
-    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))])
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)) + 1)])
     return code[code > 0], np.concatenate([[0], np.cumsum(code > 0)])[at]
 
 
@@ -107,7 +112,7 @@ def fit(strings: list[bytes], label: np.ndarray, weight: np.ndarray, ridge: floa
     """Weights of all subsequences, the offset in the last place."""
     out = np.zeros((1 << (5 * ORDER)) + 1, np.float32)
     toxic, fine = np.flatnonzero(label > 0), np.flatnonzero(label < 0)
-    # landmarks: the most frequent witnesses, and as many harmless strings
+    # landmarks: the most frequent witnesses, and as many harmless strings (the worst first)
     chosen = np.concatenate([toxic[np.argsort(-weight[toxic], kind="stable")][:LANDMARKS // 2], fine[:LANDMARKS // 2]])
     marks = [strings[i] for i in chosen]
     known = np.unique(np.concatenate([n for _, n, _ in subsequences(*letters(marks))] or [np.zeros(0, np.int32)]))
@@ -203,7 +208,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
     part = lambda t: known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = part(0).unionByName(part(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text").withColumn("own", F.xxhash64("text"))
+    # copies of one text are one witness
+    rows = cut(rows.groupBy("own", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         share = float(bool(n.get(1)))
@@ -214,17 +221,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for run, texts in slices(batches):
             strings, which, doc = document_strings(texts)
             # shorter strings have no subsequence, so they can't be told apart
-            sized = (np.diff(letters(strings)[1]) >= ORDER)[which] if len(which) else np.zeros(0, bool)
+            sized = (np.diff(letters(strings)[1]) > ORDER)[which] if len(which) else np.zeros(0, bool)
             which, doc = which[sized], doc[sized]
             pairs = np.unique(doc * len(strings) + which) if len(which) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()).take(pa.array(pairs % max(1, len(strings)))), run.column(0).take(pa.array(pairs // max(1, len(strings))))], ["string", "toxic"])
 
     # how many toxic and harmless documents hold each string
-    seen = rows.mapInArrow(strings_of, "string binary, toxic int").groupBy("string").agg(F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("good"))
-    tie = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("good") + 0.5) / (n[0] + 1))
-    tied = seen.withColumn("tie", tie)
-    blame = tied.where("bad > 2 and tie > 2").orderBy(F.desc(F.col("bad") * F.col("tie")), "string").limit(STRINGS).select("string", "bad", "tie").toArrow()
-    fine = tied.where("good > 0 and tie <= 0.5").orderBy(F.xxhash64("string"), "string").limit(STRINGS).select("string").toArrow()["string"].to_pylist()
+    seen = cut(rows.mapInArrow(strings_of, "string binary, toxic int").groupBy("string").agg(F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("good")), "strings")
+    # How unlikely a string's share of toxic documents is by chance (half the
+    # G statistic): above ``surely``, chance alone would give hardly one string.
+    share = n[1] / (n[0] + n[1])
+    part_of = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("bad") + F.col("good")) * p))).otherwise(0.0)
+    tied = seen.withColumn("tie", F.when(F.col("bad") > (F.col("bad") + F.col("good")) * share, 1).otherwise(-1) * (part_of("bad", share) + part_of("good", 1 - share)))
+    surely = float(np.log(max(1, seen.count()) / 0.05))
+    blame = tied.where(F.col("tie") > surely).orderBy(F.desc("tie"), "string").limit(STRINGS).select("string", "tie").toArrow()
+    harmless = tied.where("good > 0 and tie <= 0").select("string", "good")
+    fine = harmless.orderBy(F.xxhash64("string"), "string").limit(STRINGS).toArrow()
     ties = dict(zip(blame["string"].to_pylist(), blame["tie"].to_pylist(), strict=True))
 
     def witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,18 +245,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             strength = np.array([ties.get(x, -1.0) for x in strings])
             strongest = np.full(len(texts), 0.0)
             np.maximum.at(strongest, doc, strength[which])
-            blamed = np.flatnonzero((strength[which] > 0) & (strength[which] >= 0.97 * strongest[doc])) if len(which) else []
+            blamed = np.flatnonzero((strength[which] > 0) & (strength[which] >= 0.5 * strongest[doc])) if len(which) else []
             pairs = {(doc[i], which[i]) for i in blamed}
             yield pa.RecordBatch.from_arrays([pa.array([strings[w] for _, w in pairs], pa.binary())], ["string"])
 
     found = rows.where("toxic = 1").mapInArrow(witnesses, "string binary").groupBy("string").count().toArrow() if ties else None
-    if not found or not fine:
+    if not found or not fine.num_rows:
         blank = np.zeros((1 << (5 * ORDER)) + 1, np.float32)
-        share = n[1] / (n[0] + n[1])
         return Model(blank, 0.0, float(np.log(share / (1 - share))))
-    strings = found["string"].to_pylist() + fine
-    label = np.concatenate([np.ones(found.num_rows), -np.ones(len(fine))])
-    weights = fit(strings, label, np.concatenate([np.sqrt(found["count"].to_numpy()), np.ones(len(fine))]))
+    for again in range(ROUNDS):
+        strings = found["string"].to_pylist() + fine["string"].to_pylist()
+        label = np.concatenate([np.ones(found.num_rows), -np.ones(fine.num_rows)])
+        weights = fit(strings, label, np.sqrt(np.concatenate([found["count"].to_numpy(), fine["good"].to_numpy()])))
+        if again < ROUNDS - 1:  # the harmless strings that look worst join the next fit
+            def rate(batches: Iterator[pa.RecordBatch], now=weights) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values(batch.column(0).to_pylist(), now))], [*batch.schema.names, "value"])
+
+            worst = harmless.mapInArrow(rate, "string binary, good long, value double").orderBy(F.desc("value"), "string").limit(STRINGS // 4).select("string", "good").toArrow()
+            fine = pa.concat_tables([worst, fine])
+            _, first = np.unique(np.array(fine["string"].to_pylist(), object), return_index=True)
+            fine = fine.take(np.sort(first))
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, texts in slices(batches):

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,16 @@ from marketlens.llm.tokens import vocabulary_path
 TEXTS = ["The quick brown fox!", "", None, "é" * 300, "a b c " * 3000, "x", "The quick brown fox!", " \n"]
 
 
-def encode(text):
+@lru_cache(1)
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(vocabulary_path())
+
+
+@lru_cache(None)
+def encode(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
