@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -110,16 +111,14 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cuts batches into row runs of about ``budget`` text bytes (one long text
     is a run of its own), so that numpy work per run stays bounded."""
     for batch in batches:
-        texts = byte_texts(batch.column(batch.schema.get_field_index(column)))
-        lo = size = 0
-        for i, t in enumerate(texts):
-            if i > lo and size + len(t) > budget:
-                yield batch.slice(lo, i - lo), texts[lo:i]
-                lo, size = i, 0
-            size += len(t)
-        if lo < len(texts):
-            yield batch.slice(lo), texts[lo:]
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = done = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, done + budget, side="right")))
+            yield batch.slice(lo, hi - lo), byte_texts(texts.slice(lo, hi - lo))
+            lo, done = hi, int(ends[hi - 1])
