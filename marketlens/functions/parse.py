@@ -33,17 +33,23 @@ def epoch_ms_to_ts(c, as_ntz: bool = False) -> Column:
 
 def parse_event_time(c, as_ntz: bool = False) -> Column:
     """ISO-8601 text -> timestamp, NULL when unparsable.  With
-    ``as_ntz`` a trailing ``Z`` (UTC) is dropped and the wall time kept."""
+    ``as_ntz`` the wall time in UTC: an offset is applied, text without one is
+    taken as it is."""
     c = _col(c)
     if as_ntz:
-        return F.regexp_replace(c, "Z$", "").try_cast("timestamp_ntz")
+        zoned = c.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$") & c.contains(":")
+        utc = F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(c)), F.expr(_EPOCH_NTZ))
+        return F.when(zoned, utc).otherwise(c.try_cast("timestamp_ntz"))
     return F.try_to_timestamp(c)
 
 
 def parse_json_envelope(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Envelope ``{stream, data:{s,p,E,q,r,t}}`` -> columns ``stream, data``."""
-    return raw.select(F.from_json(F.col(value), ENVELOPE).alias("m"), *[
-        c for c in raw.columns if c != value]).select("m.*", *[c for c in raw.columns if c != value])
+    """Envelope ``{stream, data:{s,p,E,q,r,t}}`` -> columns ``stream, data``.
+
+    The generator keeps filters on the result above the parsing: pushed below,
+    they would each parse the message again."""
+    return raw.select(F.inline(F.array(F.from_json(F.col(value), ENVELOPE))),
+                      *[c for c in raw.columns if c != value])
 
 
 def valid_envelope(env: DataFrame) -> DataFrame:
@@ -119,7 +125,7 @@ def normalize_coinbase(raw: DataFrame, ingest_time: Column | None = None,
                        value: str = "value") -> DataFrame:
     """Coinbase ``match`` message -> unified trade; exchange time if
     present, else the ingest time."""
-    m = raw.select(F.from_json(F.col(value), COINBASE).alias("m"), *[
+    m = raw.select(F.explode(F.array(F.from_json(F.col(value), COINBASE))).alias("m"), *[
         c for c in raw.columns if c != value])
     ingest = ingest_time if ingest_time is not None else F.col("ingest_time")
     out = m.filter(F.col("m.type") == "match").select(
@@ -149,9 +155,9 @@ def normalize_kraken(raw: DataFrame, ingest_time: Column | None = None,
     """
     arr = F.from_json(F.col(value), "array<string>")
     ingest = ingest_time if ingest_time is not None else F.col("ingest_time")
-    a = raw.select(arr.alias("a"), ingest.cast("string").alias("_ingest"))
+    a = raw.select(F.explode(F.array(arr)).alias("a"), ingest.cast("string").alias("_ingest"))
     trades = F.from_json(F.try_element_at(F.col("a"), F.lit(2)), "array<array<string>>")
-    a = a.filter(F.col("a").isNotNull() & (F.size("a") > 1)).withColumn("_tr", trades)
+    a = a.filter(F.col("a").isNotNull() & (F.size("a") > 1)).select("*", F.explode(F.array(trades)).alias("_tr"))
     a = a.filter(F.col("_tr").isNotNull() & (F.size("_tr") > 0))
     pair = F.when(F.size("a") > 2, F.try_element_at("a", F.lit(-1))).otherwise(F.lit("unknown"))
     first = F.try_element_at("_tr", F.lit(1))

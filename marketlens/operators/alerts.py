@@ -24,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.frames import (AUTO, block_window, choose_block_rows, drop_blocks,
+from marketlens.operators.frames import (DEFAULT_BLOCK_ROWS, block_window, drop_blocks,
                                          running_total, with_row_blocks)
-from marketlens.operators.indicators import enrich
+from marketlens.operators.indicators import REACH, enrich
 
 # Condition types of the evaluator -> (state field, comparison).
 THRESHOLD_TYPES = {
@@ -39,6 +39,8 @@ FIXED_TYPES = ["macd_positive", "macd_negative", "bollinger_upper", "bollinger_l
 STATE_FIELDS = ["price", "volume", "volatility", "rsi", "macd", "bollinger_upper",
                 "bollinger_lower"]
 
+SEQ_RANGE = 10_000      # submissions ranked together
+
 # Mail text of the trigger notice.
 MAIL_SUBJECT_PREFIX = "🚨 Alerte Crypto: "
 
@@ -54,23 +56,28 @@ def valid_conditions(conditions: Column) -> Column:
 
 def create_alerts(registry: DataFrame, new: DataFrame) -> DataFrame:
     """L6 create: validate ``new`` (name, email and >= 1 valid condition) and
-    append it.  ``new`` carries ``seq`` (0-based creation order); ids are
-    ``name_<count>`` where count = registry size at creation time."""
+    append it.  ``new`` carries ``seq`` (0-based submission order); ids are
+    ``name_<count>`` where count = stored alerts at creation time, so rejected
+    submissions take no number."""
     base = registry.agg(F.count("*")).scalar()
     ok = new.withColumn("conditions", valid_conditions(F.col("conditions"))) \
             .filter((F.coalesce(F.col("name"), F.lit("")) != "") &
                     (F.coalesce(F.col("email"), F.lit("")) != "") &
                     (F.size("conditions") > 0))
-    rows = ok.select(F.concat(F.col("name"), F.lit("_"), (base + F.col("seq")).cast("string"))
-                      .alias("id"), "name", "conditions", "email",
-                     F.lit("active").alias("status"), F.lit(False).alias("triggered"))
+    # rank among the valid submissions: inside ranges of ``seq``, plus the
+    # sizes of the ranges before (a short table)
+    ok = ok.withColumn("_part", F.floor(F.col("seq") / SEQ_RANGE))
+    ok = ok.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1)
+    before = ok.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = ok.join(before, "_part").select(
+        F.concat(F.col("name"), F.lit("_"), (base + F.col("_before") + F.col("_rank")).cast("string"))
+         .alias("id"), "name", "conditions", "email",
+        F.lit("active").alias("status"), F.lit(False).alias("triggered"))
     return registry.unionByName(rows)
 
 
-def list_alerts(registry: DataFrame) -> DataFrame:
-    return registry
-
-
 def delete_alerts(registry: DataFrame, ids: DataFrame) -> DataFrame:
     """L6 delete: drop alerts whose id is in ``ids`` (left-anti join)."""
     return registry.join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_anti")
@@ -171,13 +178,20 @@ def _axis_value(field: str, op: str, pre: str = "") -> Column:
     return -v if op == "<" else v
 
 
+def _previous() -> list[Column]:
+    """The state before each row of a blocked timeline, and whether there is one."""
+    bw = block_window(["symbol"])
+    return [*[F.lag(f).over(bw).alias("prev_" + f) for f in STATE_FIELDS],
+            F.coalesce(F.lag(F.lit(True)).over(bw), F.lit(False)).alias("prev_known")]
+
+
 def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = False,
-                  volatility_below: bool = False, block_rows=AUTO) -> DataFrame:
+                  volatility_below: bool = False, block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """L4: first ``(ts, event_id)`` at which all conditions of each active
     alert hold simultaneously; later instants are ignored (one-shot).
 
-    ``timeline``: ``symbol, ts, event_id`` + ``STATE_FIELDS`` (+ ``prev_*``,
-    the state before the update; computed here when absent) – see
+    ``timeline``: ``symbol, ts, event_id`` + ``STATE_FIELDS`` (+ ``prev_*`` and
+    ``prev_known``, the state before the update; computed here when absent) – see
     ``state_timeline``.  The state of a symbol between its updates is its
     last update; before its first update the symbol is unknown (conditions
     false).  Returns ``id, name, email, trigger_ts, trigger_event_id``.
@@ -185,15 +199,16 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
     active = alerts.filter(~F.coalesce(F.col("triggered"), F.lit(False)))
     conds = explode_conditions(active)
     order = ["ts", "event_id"]
-    if not all("prev_" + f in timeline.columns for f in STATE_FIELDS):
-        b = with_row_blocks(timeline, keys=["symbol"], order=order, halo=1, block_rows=block_rows)
-        bw = block_window(["symbol"])
-        timeline = drop_blocks(b.select("*", *[F.lag(f).over(bw).alias("prev_" + f)
-                                                for f in STATE_FIELDS]))
+    if not all(c in timeline.columns for c in ["prev_known", *("prev_" + f for f in STATE_FIELDS)]):
+        b = with_row_blocks(timeline.drop("prev_known", *("prev_" + f for f in STATE_FIELDS)),
+                            keys=["symbol"], order=order, halo=1, block_rows=block_rows)
+        timeline = drop_blocks(b.select("*", *_previous()))
     zd = (lambda c: F.coalesce(c, F.lit(0.0))) if zero_default else (lambda c: c)
+    # before its first update a symbol is unknown, not zero
+    was = lambda f: F.when(F.col("prev_known"), zd(F.col("prev_" + f)))
     tl = timeline.select("symbol", *order,
                          *[zd(F.col(f)).alias(f) for f in STATE_FIELDS],
-                         *[zd(F.col("prev_" + f)).alias("prev_" + f) for f in STATE_FIELDS])
+                         *[was(f).alias("prev_" + f) for f in STATE_FIELDS])
 
     axes = dict(_AXES)
     if volatility_below:
@@ -225,11 +240,14 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
 
     # per update and axis: level L (thresholds the value passes) now, P before
     keys = list(dict.fromkeys(fld + op for fld, op, _ in axes.values()))
-    long_tl = tl.select("symbol", *order, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("fkey"),
-                 _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):]).alias("u"),
-                 _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):], "prev_").alias("pu"))
-        for k in keys])).alias("v")).select("symbol", *order, "v.fkey", "v.u", "v.pu")
+    # only the axes that the registry tests for the symbol (at most one per type)
+    used = tc.groupBy("symbol").agg(F.collect_set("fkey").alias("_used"))
+    on = lambda k: F.array_contains("_used", k)
+    long_tl = tl.join(used, "symbol").select("symbol", *order, F.explode(F.array_compact(F.array(*[
+        F.when(on(k), F.struct(F.lit(k).alias("fkey"),
+                               _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):]).alias("u"),
+                               _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):], "prev_").alias("pu")))
+        for k in keys]))).alias("v")).select("symbol", *order, "v.fkey", "v.u", "v.pu")
     # an unchanged value (or NULL before and after) cannot cross a threshold
     long_tl = long_tl.filter(~F.col("u").eqNullSafe(F.col("pu")))
 
@@ -326,52 +344,37 @@ def running_window_stats(t: DataFrame, stats_width: str = "5 minutes",
 
 
 def state_timeline(t: DataFrame, stats_width: str = "5 minutes",
-                   block_rows=AUTO) -> DataFrame:
-    """Symbol state after each trade, and the state before it (``prev_*``).
+                   block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Symbol state after each trade, and the state before it (``prev_*``,
+    ``prev_known``).
 
     ``price`` and the indicators are the trade's ``enrich`` values;
     ``volume`` / ``volatility`` are the running trade count and sample stddev
     of the trade's statistics window up to that trade (what an update-mode
-    statistics stream has emitted by then).  With ``block_rows="auto"`` the
-    largest symbol is measured once: without a hot symbol one running frame
-    per (symbol, window) is used; with one, ``running_window_stats`` builds
-    the same values from one-minute pieces, and the indicators and all
-    ``prev_*`` columns come from one blocked pass (``with_row_blocks``).
+    statistics stream has emitted by then), built from one-minute pieces
+    (``running_window_stats``); the indicators and all ``prev_*`` columns come
+    from one blocked pass (``with_row_blocks``).
     """
-    block_rows = choose_block_rows(t, ["symbol"], block_rows)
-    if block_rows is None:
-        # no hot symbol: one running frame per (symbol, window); it shares the
-        # per-symbol shuffle of the indicator windows below
-        w = (Window.partitionBy("symbol", "_w").orderBy("ts", "event_id")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        s = (t.withColumn("_w", F.window("ts", stats_width).start)
-              .withColumns({"volume": F.count("price").over(w).cast("double"),
-                            "volatility": F.stddev("price").over(w)}).drop("_w"))
-    else:
-        s = running_window_stats(t, stats_width)
-    e = enrich(s, keys=("symbol",), block_rows=block_rows, extra=("volume", "volatility"),
-               keep_blocks=True)
+    e = enrich(running_window_stats(t, stats_width), keys=("symbol",), block_rows=block_rows,
+               extra=("volume", "volatility"), keep_blocks=True)
     e = e.select("symbol", "ts", "event_id", "price", "volume", "volatility", "rsi",
                  F.col("macd_line").alias("macd"), F.col("upper_band").alias("bollinger_upper"),
                  F.col("lower_band").alias("bollinger_lower"), "_pos", "_blk", "_halo")
-    bw = block_window(["symbol"])
-    e = e.select("*", *[F.lag(f).over(bw).alias("prev_" + f) for f in STATE_FIELDS])
-    return drop_blocks(e)
+    return drop_blocks(e.select("*", *_previous()))
 
 
-def latest_state(t: DataFrame, stats_width: str = "5 minutes", history: int = 64) -> DataFrame:
+def latest_state(t: DataFrame, stats_width: str = "5 minutes") -> DataFrame:
     """Symbol-state snapshot after the last trade of each symbol.
 
-    Only the last ``history`` trades per symbol are needed for the
-    indicators of the last trade (every frame reaches <= 36 rows back):
-    ``row_number() <= history`` is planned with a WindowGroupLimit below the
-    shuffle, so a hot symbol ships at most ``history`` rows per partition.
+    Only the last ``REACH`` trades per symbol are needed for the indicators of
+    the last trade: ``row_number() <= REACH`` is planned with a WindowGroupLimit below the
+    shuffle, so a hot symbol ships at most that many rows per partition.
     ``volume`` / ``volatility`` are the count and stddev of the symbol's
     latest statistics window (a partial + final aggregate).
     """
     from marketlens.operators.serving import latest_stats, recent_per_symbol
     from marketlens.operators.stats import window_stats
-    last = recent_per_symbol(t, history).drop("pos")
+    last = recent_per_symbol(t, REACH).drop("pos")
     e = enrich(last, block_rows=None)
     row = F.struct("price", "rsi", "macd_line", "upper_band", "lower_band")
     ind = e.groupBy("symbol").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r"))
@@ -384,13 +387,6 @@ def latest_state(t: DataFrame, stats_width: str = "5 minutes", history: int = 64
         F.col("r.lower_band").alias("bollinger_lower"))
 
 
-def latest_state_from_timeline(timeline: DataFrame) -> DataFrame:
-    """Snapshot = the last timeline row per symbol (``max_by``)."""
-    row = F.struct(*[F.col(f) for f in STATE_FIELDS])
-    g = timeline.groupBy("symbol").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r"))
-    return g.select("symbol", *[F.col("r." + f).alias(f) for f in STATE_FIELDS])
-
-
 # ---------------------------------------------------------------- L5 / L7
 
 def trigger_notices(fired: DataFrame, alerts: DataFrame) -> DataFrame:

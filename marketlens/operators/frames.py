@@ -7,8 +7,10 @@ consecutive rows and copies the ``halo`` rows that precede each block into
 it, so that any frame reaching at most ``halo`` rows back is exact inside a
 ``(key, block)`` partition.  It is built from plain DataFrame operations:
 
-1. ``_chunk`` = event time truncated to a unit (minute by default); rank rows
-   inside ``(key, chunk)``  -> shuffle #1, bounded groups.
+1. ``_chunk`` = event time truncated to a unit (minute by default), cut again by
+   id ranges where times are tied (day-grained or missing); rank rows inside
+   ``(key, chunk)``  -> shuffle #1, bounded groups.  (Steps 1 and 2 read the
+   ranked rows twice: once as rows, once as counts.)
 2. rows per ``(key, chunk)`` (aggregate on the same partitioning: no extra
    shuffle) -> running offset per key over the *chunk table*, whose size per
    key is bounded by time span / unit, not by trade volume; joined back on
@@ -29,8 +31,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 1_000_000
 DEFAULT_HALO = 64
-AUTO = "auto"
-_BLOCK_MEMO: dict = {}
+CHUNK_IDS = 65_536      # range of ids ranked together where times are tied
 
 
 def _surrogates(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
@@ -55,24 +56,22 @@ def _surrogates(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
     return df.select("*", *cols), names
 
 
-def choose_block_rows(t: DataFrame, keys=("symbol",), block_rows=AUTO,
-                      limit: int = DEFAULT_BLOCK_ROWS):
-    """Resolve ``block_rows="auto"``: measure the largest key (one small
-    aggregate job: key columns only, partial counts before the shuffle) and
-    split keys into blocks only when some key holds more than ``limit`` rows.
-    Small keys keep the plain one-shuffle window plan; a hot key gets blocks.
-    AQE cannot split a window partition at runtime, hence this check."""
-    if block_rows != AUTO:
-        return block_rows
-    probe = t.groupBy(*list(keys)).count().agg(F.max("count").alias("m"))
-    # the answer only chooses between two exact plans, so it is remembered
-    # per session and input plan (a stale answer can cost speed, not results)
-    memo_key = (id(t.sparkSession), probe.semanticHash(), limit)
-    if memo_key not in _BLOCK_MEMO:
-        row = probe.first()
-        biggest = row[0] if row is not None else None
-        _BLOCK_MEMO[memo_key] = None if biggest is None or biggest <= limit else limit
-    return _BLOCK_MEMO[memo_key]
+def _chunk_columns(df: DataFrame, order, chunk: str):
+    """``_chunk`` and ``_sub``, which follow ``order`` and bound the rows ranked together.
+
+    ``_chunk`` is the time truncated to ``chunk``.  Rows without a time, or
+    exactly at the start of a chunk (as all day-grained times are), are all
+    ordered by the second order column alone; ``_sub`` cuts those by ranges
+    of it.  The rest of the chunk follows them."""
+    ts_type = df.schema[order[0]].dataType
+    floor = F.lit("0001-01-01 00:00:00").cast(ts_type)
+    start = F.date_trunc(chunk, F.col(order[0]))
+    whole = len(order) > 1 and df.schema[order[1]].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    tied = F.col(order[0]).isNull() | (F.col(order[0]) == start)
+    last = F.lit(2 ** 63 - 1)
+    sub = (F.when(tied, F.coalesce(F.floor(F.col(order[1]) / CHUNK_IDS).cast("bigint"), F.lit(-2 ** 63)))
+           .otherwise(last)) if whole else F.lit(0).cast("bigint")
+    return df.withColumns({"_chunk": F.coalesce(start, floor), "_sub": sub})
 
 
 def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
@@ -80,12 +79,12 @@ def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
                     chunk: str = "minute") -> DataFrame:
     """Add ``_pos`` (1-based row position per key), ``_blk`` and ``_halo``.
 
-    ``block_rows=None`` gives one block per key (a plain per-key window: one
-    shuffle, fine when no key is large).
+    ``block_rows`` never changes a value.  ``None`` gives one block per key (a
+    plain per-key window: one shuffle), for inputs whose keys are known to be
+    short, such as the last rows of each key.
     """
     keys = list(keys)
     order = list(order)
-    block_rows = choose_block_rows(t, keys, block_rows)
     if block_rows is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return (t.withColumn("_pos", F.row_number().over(w).cast("bigint"))
@@ -93,23 +92,21 @@ def with_row_blocks(t: DataFrame, keys=("symbol",), order=("ts", "event_id"),
                  .withColumn("_halo", F.lit(False)))
     if block_rows < halo:
         raise ValueError("block_rows must be >= halo")
-    ts_type = t.schema[order[0]].dataType
-    floor = F.lit("0001-01-01 00:00:00").cast(ts_type)
     t1, sk = _surrogates(t, keys)
-    t1 = t1.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, F.col(order[0])), floor))
-    w_in = Window.partitionBy(*sk, "_chunk").orderBy(*order)
+    t1 = _chunk_columns(t1, order, chunk)
+    w_in = Window.partitionBy(*sk, "_chunk", "_sub").orderBy(*order)
     t1 = t1.withColumn("_rn", F.row_number().over(w_in))
-    counts = t1.groupBy(*sk, "_chunk").agg(F.count("*").alias("_n"))
-    w_off = (Window.partitionBy(*sk).orderBy("_chunk")
+    counts = t1.groupBy(*sk, "_chunk", "_sub").agg(F.count("*").alias("_n"))
+    w_off = (Window.partitionBy(*sk).orderBy("_chunk", "_sub")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumns({
         "_off": F.coalesce(F.sum("_n").over(w_off), F.lit(0)),
         "_tot": F.sum("_n").over(Window.partitionBy(*sk))}).drop("_n")
     # plain equi-join on (surrogates, chunk): the large side is already
     # partitioned on exactly these columns, so only the small side moves
-    t2 = t1.join(offsets, [*sk, "_chunk"], "inner").drop(*sk)
+    t2 = t1.join(offsets, [*sk, "_chunk", "_sub"], "inner").drop(*sk)
     pos = (F.col("_off") + F.col("_rn")).cast("bigint")
-    t2 = t2.withColumn("_pos", pos).drop("_off", "_rn", "_chunk")
+    t2 = t2.withColumn("_pos", pos).drop("_off", "_rn", "_chunk", "_sub")
     blk = F.floor((F.col("_pos") - 1) / F.lit(block_rows)).cast("bigint")
     # copy the block's last rows forward only when a next block exists
     in_tail = ((F.pmod(F.col("_pos") - 1, F.lit(block_rows)) >= F.lit(block_rows - halo)) &
@@ -133,8 +130,7 @@ def drop_blocks(df: DataFrame) -> DataFrame:
 
 
 def running_total(df: DataFrame, keys, order=("ts", "event_id"), value: str = "delta",
-                  out: str = "total", chunk: str = "minute",
-                  materialize: bool = True) -> DataFrame:
+                  out: str = "total", chunk: str = "minute") -> DataFrame:
     """Running sum of ``value`` per key in ``order``, all rows of one instant
     (equal ``order``) applied together, without putting a whole key in one
     task: rows are first summed per instant, then
@@ -144,27 +140,20 @@ def running_total(df: DataFrame, keys, order=("ts", "event_id"), value: str = "d
     2. chunk totals -> exclusive prefix per key on the small chunk table,
     3. joined back on ``(key, chunk)`` (AQE broadcasts it when small).
 
-    The per-instant sums feed two branches (running sums and chunk totals);
-    ``materialize`` writes them once to the shared checkpoint folder
-    (``spark.checkpoint.dir``) so the input plan is not computed twice and
-    the lineage is cut.  Returns one row per (key, instant) with ``out``.
+    The per-instant sums feed two branches (running sums and chunk totals),
+    which share the exchange below them.  Returns one row per (key, instant)
+    with ``out``.
     """
     keys, order = list(keys), list(order)
     inst = df.groupBy(*keys, *order).agg(F.sum(value).alias("_v"))
-    if materialize:
-        from marketlens.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        inst = inst.checkpoint(eager=True)
-    ts_type = inst.schema[order[0]].dataType
-    floor = F.lit("0001-01-01 00:00:00").cast(ts_type)
-    inst = inst.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, F.col(order[0])), floor))
+    inst = _chunk_columns(inst, order, chunk)
     inst, sk = _surrogates(inst, keys)
-    w_in = (Window.partitionBy(*sk, "_chunk").orderBy(*order)
+    w_in = (Window.partitionBy(*sk, "_chunk", "_sub").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inst = inst.withColumn("_run", F.sum("_v").over(w_in))
-    tot = inst.groupBy(*sk, "_chunk").agg(F.sum("_v").alias("_t"))
-    w_off = (Window.partitionBy(*sk).orderBy("_chunk")
+    tot = inst.groupBy(*sk, "_chunk", "_sub").agg(F.sum("_v").alias("_t"))
+    w_off = (Window.partitionBy(*sk).orderBy("_chunk", "_sub")
              .rowsBetween(Window.unboundedPreceding, -1))
-    off = tot.select(*sk, "_chunk", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
-    j = inst.join(off, [*sk, "_chunk"], "inner")
+    off = tot.select(*sk, "_chunk", "_sub", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
+    j = inst.join(off, [*sk, "_chunk", "_sub"], "inner")
     return j.select(*keys, *order, (F.col("_off") + F.col("_run")).alias(out))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.rounding import half_up
 
 from marketlens.functions.normalize import coin_of
-from marketlens.operators.frames import (AUTO, DEFAULT_HALO, block_window, drop_blocks,
+from marketlens.operators.frames import (DEFAULT_BLOCK_ROWS, DEFAULT_HALO, block_window, drop_blocks,
                                          with_row_blocks)
 
 INDICATOR_COLUMNS = ["rsi", "macd_line", "signal_line", "macd_histogram",
@@ -84,14 +84,14 @@ def _indicator_cols(b: DataFrame, w, rsi_period=14, fast=12, slow=26, signal=9,
     return b
 
 
-def price_change(t: DataFrame, keys=("symbol",), block_rows=AUTO) -> DataFrame:
+def price_change(t: DataFrame, keys=("symbol",), block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """``price - lag(price)`` per symbol in ``(ts, event_id)`` order."""
     b, made = _blocks(t, keys, 1, block_rows)
     w = block_window(keys)
     return _finish(b.withColumn("price_change", F.col("price") - F.lag("price").over(w)), made)
 
 
-def gain_loss(t: DataFrame, keys=("symbol",), block_rows=AUTO) -> DataFrame:
+def gain_loss(t: DataFrame, keys=("symbol",), block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """gain/loss split of the price change, 0 on the first row."""
     out = price_change(t, keys, block_rows)
     chg = F.col("price_change")
@@ -99,14 +99,14 @@ def gain_loss(t: DataFrame, keys=("symbol",), block_rows=AUTO) -> DataFrame:
                             "loss": F.when(chg < 0, -chg).otherwise(F.lit(0.0))})
 
 
-def rsi(t: DataFrame, period: int = 14, keys=("symbol",), block_rows=AUTO) -> DataFrame:
+def rsi(t: DataFrame, period: int = 14, keys=("symbol",), block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """RSI with simple means over ``period+1`` rows (NULL when mean loss is 0)."""
     b, made = _blocks(t, keys, period + 1, block_rows)
     return _finish(_indicator_cols(b, block_window(keys), rsi_period=period, parts=("rsi",)), made)
 
 
 def macd(t: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys=("symbol",),
-         block_rows=AUTO) -> DataFrame:
+         block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """MACD line, signal and histogram from simple means."""
     b, made = _blocks(t, keys, slow + signal, block_rows)
     return _finish(_indicator_cols(b, block_window(keys), fast=fast, slow=slow, signal=signal,
@@ -114,16 +114,21 @@ def macd(t: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys=("s
 
 
 def bollinger(t: DataFrame, period: int = 20, k: float = 2, keys=("symbol",),
-              block_rows=AUTO) -> DataFrame:
+              block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Bollinger bands (sample stddev) and band position."""
     b, made = _blocks(t, keys, period, block_rows)
     return _finish(_indicator_cols(b, block_window(keys), bb_period=period, bb_k=k,
                                    parts=("bb",)), made)
 
 
+#: Rows that the default indicators of one row reach back, itself included:
+#: the signal line's means of the slow means, and the change before them.
+REACH = 26 + 9 + 1
+
+
 def enrich(t: DataFrame, rsi_period: int = 14, fast: int = 12, slow: int = 26,
            signal: int = 9, bb_period: int = 20, bb_k: float = 2, keys=("symbol",),
-           block_rows=AUTO, extra: tuple = (), keep_blocks: bool = False) -> DataFrame:
+           block_rows=DEFAULT_BLOCK_ROWS, extra: tuple = (), keep_blocks: bool = False) -> DataFrame:
     """RSI + MACD + Bollinger, projecting the reference's ten columns
     (plus ``event_id`` for identity and any ``extra`` input columns).
     ``keep_blocks`` returns the block columns (halo rows included) so that a
@@ -138,7 +143,7 @@ def enrich(t: DataFrame, rsi_period: int = 14, fast: int = 12, slow: int = 26,
     return out if (keep_blocks or not made) else _finish(out, made)
 
 
-def with_prev_macd(df: DataFrame, keys=("symbol",), block_rows=AUTO) -> DataFrame:
+def with_prev_macd(df: DataFrame, keys=("symbol",), block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Previous MACD line and signal (inputs of the ``macd_signal`` rule)."""
     b = with_row_blocks(df, keys=keys, halo=1, block_rows=block_rows)
     w = block_window(keys)
@@ -146,7 +151,7 @@ def with_prev_macd(df: DataFrame, keys=("symbol",), block_rows=AUTO) -> DataFram
                                       "prev_signal_line": F.lag("signal_line").over(w)}))
 
 
-def enrich_for_rules(t: DataFrame, keys=("symbol",), block_rows=AUTO) -> DataFrame:
+def enrich_for_rules(t: DataFrame, keys=("symbol",), block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """W6 + W12 in one blocked pass: indicators plus previous MACD/signal."""
     b, made = _blocks(t, keys, 26 + 9 + 2, block_rows)
     w = block_window(keys)
@@ -167,7 +172,7 @@ def _live_base(t: DataFrame, block_rows):
     return with_row_blocks(t, keys=["coin"], halo=DEFAULT_HALO, block_rows=block_rows)
 
 
-def live_indicators(t: DataFrame, block_rows=AUTO) -> DataFrame:
+def live_indicators(t: DataFrame, block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """The dashboard's indicators after each tick, over the coin's last
     <= 50 non-zero prices; all 0 while fewer than 14 ticks exist.
 
@@ -215,7 +220,7 @@ def live_indicators(t: DataFrame, block_rows=AUTO) -> DataFrame:
     return drop_blocks(out)
 
 
-def tick_change(t: DataFrame, keys=("symbol",), block_rows=AUTO) -> DataFrame:
+def tick_change(t: DataFrame, keys=("symbol",), block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
     """W10 + W11: change % vs the previous non-zero price (0 for the first
     tick), rounded to 2, and direction up / down / flat."""
     t = t.filter(F.col("price").isNotNull() & (F.col("price") != 0))

@@ -5,9 +5,9 @@ Top-k is written the way Catalyst turns into bounded-memory plans:
 ``orderBy(...).limit(n)`` becomes TakeOrderedAndProject (a per-partition
 top-n, then one merge of n rows per partition), and ``row_number() <= n``
 per key gets a WindowGroupLimit below the shuffle, so at most n rows per key
-and partition are shuffled even for a hot symbol.  "Latest per key" uses
-``max_by`` – a hash aggregate with map-side combine, never a sort of a
-whole group.
+and partition are shuffled even for a hot symbol.  "Latest per key" is
+``max_by`` over whole rows: a sort aggregate (rows are no mutable buffer) that
+combines before the shuffle, so one row per key and partition is shuffled.
 """
 
 from __future__ import annotations
@@ -81,8 +81,7 @@ def list_trades(t: DataFrame, limit: int = 50, symbol: str | None = None,
 
 def list_stats(stats: DataFrame, symbol: str | None = None) -> DataFrame:
     """Latest statistics, optionally for one symbol."""
-    out = latest_stats(stats)
-    return out.filter(F.col("symbol") == symbol) if symbol else out
+    return latest_stats(stats.filter(F.col("symbol") == symbol) if symbol else stats)
 
 
 def snapshot(t: DataFrame, stats: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -90,22 +89,28 @@ def snapshot(t: DataFrame, stats: DataFrame, n: int = 10) -> tuple[DataFrame, Da
     return recent_trades(t, n), latest_stats(stats)
 
 
+def symbol_trades(t: DataFrame, symbol: str, variant: str = "A") -> DataFrame:
+    """A12's trade list: the symbol's trades among the last 50 (A), or its
+    last 10 among the 100 buffered ones (B)."""
+    if variant == "A":
+        return recent_trades(t, 50).filter(F.col("symbol") == symbol)
+    if variant == "B":
+        return recent_trades(recent_trades(t, TRADE_BUFFER).filter(F.col("symbol") == symbol), 10)
+    raise ValueError("variant must be 'A' or 'B'")
+
+
 def symbol_detail(stats: DataFrame, t: DataFrame, symbol: str,
                   variant: str = "A") -> DataFrame:
     """One row for ``symbol`` or none when not found.
 
     A: latest stats + the symbol's trades among the last 50 overall, with
     ``trades_count``, ``recent_avg_price`` (0 if none), ``total_volume``;
-    not found without stats.  B: the symbol's last 10 trades summarised the
-    same way; not found when it has neither stats nor trades.
+    not found without stats.  B: the symbol's last 10 of the 100 buffered
+    trades summarised the same way; not found when it has neither stats nor
+    trades.  ``symbol_trades`` lists the trades themselves.
     """
     st = latest_stats(stats.filter(F.col("symbol") == symbol))
-    if variant == "A":
-        recent = recent_trades(t, 50).filter(F.col("symbol") == symbol)
-    elif variant == "B":
-        recent = recent_trades(t.filter(F.col("symbol") == symbol), 10)
-    else:
-        raise ValueError("variant must be 'A' or 'B'")
+    recent = symbol_trades(t, symbol, variant)
     agg = recent.agg(F.count("*").alias("trades_count"),
                      F.coalesce(F.avg("price"), F.lit(0.0)).alias("recent_avg_price"),
                      F.coalesce(F.sum("volume"), F.lit(0.0)).alias("total_volume"))

@@ -20,7 +20,6 @@ from marketlens.plans.common import TRADES_CTE, load_trades, r6
 from marketlens.plans.q_indicators import _ind_cte, _W
 from marketlens.plans.registry import register
 from marketlens.schemas import CONDITION
-from marketlens.session import checkpoint_dir
 
 # ------------------------------------------------------------------ rules
 
@@ -150,13 +149,9 @@ def derive_alerts(t):
         rows.append(F.struct(F.concat(F.col("symbol"), F.lit("_" + name)).alias("id"),
                              F.lit(name).alias("name"), arr.alias("conditions")))
     out = means.select(F.explode(F.array(*rows)).alias("a"), "symbol").select("a.*", "symbol")
-    out = out.select("id", "name", "conditions",
-                     F.concat(F.lower("symbol"), F.lit("@example.com")).alias("email"),
-                     F.lit("active").alias("status"), F.lit(False).alias("triggered"))
-    # the registry is small and read by several branches of a plan: write it
-    # once to the shared checkpoint folder instead of rescanning the trades
-    checkpoint_dir(t.sparkSession)
-    return out.checkpoint(eager=True)
+    return out.select("id", "name", "conditions",
+                      F.concat(F.lower("symbol"), F.lit("@example.com")).alias("email"),
+                      F.lit("active").alias("status"), F.lit(False).alias("triggered"))
 
 
 def _derived_alerts_sql():
@@ -299,7 +294,7 @@ new AS (SELECT * FROM conds WHERE symbol = 'VIEW'),
 tpl AS (SELECT name, row_number() OVER () - 1 AS seq FROM (VALUES {", ".join(f"('{n}', {i})" for i, (n, _) in enumerate(ALERT_TEMPLATES))}) v(name, i) ORDER BY i),
 valid AS (SELECT new.*, tpl.seq FROM new JOIN tpl USING (name)
           WHERE c_type IS NOT NULL AND (c_thr <> '' OR contains(c_type, 'macd_') OR contains(c_type, 'bollinger_'))),
-created AS (SELECT 'copy_' || name || '_' || CAST((SELECT n FROM base) + seq AS VARCHAR) AS id,
+created AS (SELECT 'copy_' || name || '_' || CAST((SELECT n FROM base) + row_number() OVER (ORDER BY seq) - 1 AS VARCHAR) AS id,
                    'copy_' || name AS name, count(*) AS n_conditions
             FROM valid GROUP BY name, seq)
 SELECT id, name, n_conditions FROM created

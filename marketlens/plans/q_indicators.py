@@ -194,14 +194,12 @@ SELECT event_id, symbol,
 FROM r""")
 def q_indicator_signals(spark, sf_dir):
     raw = ind.enrich(load_trades(spark, sf_dir))
-    shown = sg.round_indicators(raw.select("event_id", "symbol", "rsi", "macd_line", "bb_position"))
-    e = raw.select("event_id", "symbol",
-                   *[half_up(c, 6).alias(c) for c in ("rsi", "macd_line", "bb_position")]) \
-           .join(shown.select("event_id", F.col("rsi").alias("rsi_display"),
-                              F.col("macd_line").alias("macd_display")), "event_id")
+    # the classes read the compared (6-digit) values, the display columns the shown ones
+    e = sg.round_indicators(raw.select("event_id", "symbol", "rsi", "macd_line", *[
+        half_up(c, 6).alias(c + "_6") for c in ("rsi", "macd_line", "bb_position")]))
     return e.select("event_id", "symbol",
-                    sg.rsi_signal("rsi").alias("rsi_class"), sg.rsi_action("rsi").alias("rsi_action"),
-                    sg.macd_signal("macd_line").alias("macd_class"),
-                    sg.macd_signal("macd_line", strict=True).alias("macd_class_strict"),
-                    sg.bb_signal("bb_position").alias("bb_class"),
-                    "rsi_display", "macd_display")
+                    sg.rsi_signal("rsi_6").alias("rsi_class"), sg.rsi_action("rsi_6").alias("rsi_action"),
+                    sg.macd_signal("macd_line_6").alias("macd_class"),
+                    sg.macd_signal("macd_line_6", strict=True).alias("macd_class_strict"),
+                    sg.bb_signal("bb_position_6").alias("bb_class"),
+                    F.col("rsi").alias("rsi_display"), F.col("macd_line").alias("macd_display"))

@@ -103,10 +103,27 @@ def q_snapshot(spark, sf_dir):
     return trades
 
 
+@register("snapshot_trades_10", f"""
+WITH {TRADES_CTE}
+SELECT * FROM trades ORDER BY ts DESC, event_id DESC LIMIT 10""")
+def q_snapshot_10(spark, sf_dir):
+    return sv.snapshot(*_inputs(spark, sf_dir), 10)[0]
+
+
+@register("snapshot_stats", f"""
+WITH {TRADES_CTE},
+{_LATEST}
+SELECT symbol, window_start, window_end, round(avg_price, 6) AS avg_price, min_price, max_price,
+       trade_count, round(volatility, 6) AS volatility, round(trend, 6) AS trend FROM latest""")
+def q_snapshot_stats(spark, sf_dir):
+    return r6(sv.snapshot(*_inputs(spark, sf_dir), 10)[1], _STATS)
+
+
 def _detail_sql(variant):
     recent = ("(SELECT * FROM (SELECT * FROM trades ORDER BY ts DESC, event_id DESC LIMIT 50) "
               "WHERE symbol = 'PURCHASE')" if variant == "A" else
-              "(SELECT * FROM trades WHERE symbol = 'PURCHASE' ORDER BY ts DESC, event_id DESC LIMIT 10)")
+              "(SELECT * FROM (SELECT * FROM trades ORDER BY ts DESC, event_id DESC LIMIT 100) "
+              "WHERE symbol = 'PURCHASE' ORDER BY ts DESC, event_id DESC LIMIT 10)")
     found = ("l.window_end IS NOT NULL" if variant == "A"
              else "(l.window_end IS NOT NULL OR a.trades_count > 0)")
     return f"""
@@ -134,6 +151,21 @@ def q_detail_b(spark, sf_dir):
     return r6(sv.symbol_detail(s, t, "PURCHASE", "B"), _STATS + ["recent_avg_price", "total_volume"])
 
 
+@register("symbol_trades_a", f"""
+WITH {TRADES_CTE}
+SELECT * FROM (SELECT * FROM trades ORDER BY ts DESC, event_id DESC LIMIT 50) WHERE symbol = 'PURCHASE'""")
+def q_symbol_trades_a(spark, sf_dir):
+    return sv.symbol_trades(load_trades(spark, sf_dir), "PURCHASE", "A")
+
+
+@register("symbol_trades_b", f"""
+WITH {TRADES_CTE}
+SELECT * FROM (SELECT * FROM trades ORDER BY ts DESC, event_id DESC LIMIT 100) WHERE symbol = 'PURCHASE'
+ORDER BY ts DESC, event_id DESC LIMIT 10""")
+def q_symbol_trades_b(spark, sf_dir):
+    return sv.symbol_trades(load_trades(spark, sf_dir), "PURCHASE", "B")
+
+
 @register("market_overview_a", f"""
 WITH {TRADES_CTE},
 {_LATEST},

@@ -7,9 +7,6 @@ benchmarks and command-line jobs.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every marketlens session wants.  AQE re-plans joins and
@@ -46,24 +43,12 @@ def get_spark(master: str | None = None, app: str = "marketlens",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is always read from
-    the session.  Only when it is unset (local tests) is a fallback set: the
-    given folder, else a fresh scratch folder under /tmp.  On a session
-    without a SparkContext (Spark Connect) the server's setting is used as is.
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 – Spark Connect: no driver-side context
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = fallback or tempfile.mkdtemp(prefix="marketlens-ckpt-")
-    os.makedirs(path, exist_ok=True)
-    sc.setCheckpointDir(path)
+    Raises when the setting is missing: on a cluster only a folder that all
+    machines see will do, and only the user knows one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path

@@ -21,26 +21,10 @@ TRADE_COLUMNS = ["event_id", "symbol", "exchange", "price", "volume", "ts"]
 VENUES = ["binance", "coinbase", "kraken"]
 
 
-_TABLES: dict = {}
-
-
-def load_table(spark: SparkSession, sf_dir: str, name: str, reuse: bool = True) -> DataFrame:
-    """One driver table as a DataFrame (Parquet: pruning and pushdown).
-
-    The DataFrame (a lazy scan: file listing and schema, no rows) is reused
-    per session and path, so a plan that reads a table in several branches
-    resolves its files once.  The driver tables are immutable; pass
-    ``reuse=False`` for a path whose files change.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if not reuse:
-        return spark.read.parquet(path)
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
+def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table as a DataFrame (Parquet: pruning and pushdown).  Its
+    files are listed on every call, so appended files are seen."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _venue(user_id):

@@ -39,6 +39,8 @@ class SinkConfig:
 def _checkpoint(df: DataFrame, cfg: SinkConfig, default_name: str) -> str:
     if cfg.checkpoint:
         return cfg.checkpoint
+    # without a folder of its own a stream uses the shared one, under a fixed
+    # name, so that a restarted job finds its offsets and state again
     base = checkpoint_dir(df.sparkSession)
     return f"{base.rstrip('/')}/streams/{cfg.query_name or default_name}"
 

@@ -73,7 +73,7 @@ def _py_rsi(prices, period=14):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [None, 64, "auto"])
+@pytest.mark.parametrize("block_rows", [None, 64, 1000])
 def test_rsi_matches_replay(spark, block_rows):
     prices = [10, 11, 12, 11, 13, 13, 12, 15, 14, 16, 18, 17, 17, 19, 20, 18, 21, 22, 20, 19,
               23, 25, 24, 26, 22, 21, 27, 28, 26, 30] * 4
@@ -105,45 +105,48 @@ def test_bands_constant_and_short(spark):
     assert r.macd_line == pytest.approx(0.0)                          # both means over 5 rows
 
 
-def _js_indicators(history):
-    """Literal replay of the dashboard's loop over a <=50-price history."""
-    if len(history) < 14:
-        return 0.0, 0.0, 0.0, 0.0, 0.0
-    gains = losses = 0.0
-    for i in range(1, min(14, len(history))):
-        c = history[i] - history[i - 1]
-        if c > 0:
-            gains += c
-        else:
-            losses -= c
-    ag, al_ = gains / 14, losses / 14
-    rs = ag / (al_ or 1)
-    rsi = 100 - 100 / (1 + rs)
-    ema12 = sum(history[-12:]) / 12
-    ema26 = sum(history[-26:]) / min(26, len(history))
-    period = min(20, len(history))
-    recent = history[-period:]
-    sma = sum(recent) / period
-    sd = (sum((x - sma) ** 2 for x in recent) / period) ** 0.5
-    return rsi, ema12 - ema26, sma + 2 * sd, sma, sma - 2 * sd
-
-
-@pytest.mark.parametrize("n", [13, 14, 49, 50, 51, 120])
-def test_live_indicators_replay(spark, n):
-    import random
-    rnd = random.Random(n)
-    prices = [round(rnd.uniform(90, 110), 2) for _ in range(n)]
+def _live(spark, prices, block_rows):
     t = trades(spark, [("BTCUSDT", p, i) for i, p in enumerate(prices)])
-    rows = ind.live_indicators(t, block_rows=64 if n > 100 else None).orderBy("event_id").collect()
+    return ind.live_indicators(t, block_rows=block_rows).orderBy("event_id").collect()
+
+
+@pytest.mark.parametrize("block_rows", [None, 64, 1000])
+def test_live_indicators_worked_values(spark, block_rows):
+    """W7-W9 by hand: 30 ticks up by 1, then down by 1."""
+    prices = [100.0 + min(i, 58 - i) for i in range(90)]
+    rows = _live(spark, prices, block_rows)
     assert rows[0].coin == "BTC"
-    for i, r in enumerate(rows):
-        rsi, macd, up, mid, lo = _js_indicators(prices[max(0, i - 49): i + 1])
-        # display rounding scales then rounds half up; ``toFixed`` rounds the
-        # exact binary value, so at decimal ties they may differ by one unit
-        assert r.live_rsi == pytest.approx(rsi, abs=0.1001)
-        assert r.live_macd == pytest.approx(macd, abs=1.001e-4)
-        assert r.bollinger_middle == pytest.approx(mid, abs=0.01001)
-        assert r.bollinger_upper == pytest.approx(up, abs=0.01001)
+    assert all(r.live_rsi == r.live_macd == r.bollinger_middle == 0.0 for r in rows[:13])
+    # 14 ticks: 13 gains of 1, /14, no loss (divides by 1): 100 - 100 / (1 + 13/14)
+    assert rows[13].live_rsi == 48.1
+    # means of the last 12 and of all 14 consecutive prices lie 1 apart
+    assert rows[13].live_macd == 1.0
+    # 14 consecutive integers: mean 6.5 below the last, variance (14^2 - 1) / 12
+    assert (rows[13].bollinger_middle, rows[13].bollinger_upper) == (106.5, 114.56)
+    # 30 ticks: 12 and 26 consecutive prices, means 7 apart; 20 prices, variance 399 / 12
+    assert (rows[29].live_rsi, rows[29].live_macd) == (48.1, 7.0)
+    assert (rows[29].bollinger_middle, rows[29].bollinger_lower) == (119.5, 107.97)
+    # 50 prices kept: the oldest 14 are still the first ones
+    assert rows[49].live_rsi == 48.1
+    # ticks 20 to 69 are kept; their first 13 changes are 9 up and 4 down: rs = 9/4
+    assert rows[69].live_rsi == 69.2
+    # ticks 40 to 89 are kept: 13 losses and no gain
+    assert (rows[89].live_rsi, rows[89].live_macd) == (0.0, -7.0)
+
+
+@pytest.mark.parametrize("shift", [0.0, 50.0])
+def test_live_indicators_do_not_depend_on_the_price_level(spark, shift):
+    import random
+    rnd = random.Random(3)
+    moves = [round(rnd.uniform(-1, 1), 2) for _ in range(120)]
+    rows = _live(spark, [200.0 + shift + sum(moves[:i + 1]) for i in range(120)], 64)
+    base = _live(spark, [200.0 + sum(moves[:i + 1]) for i in range(120)], None)
+    for r, q in zip(rows, base):
+        assert r.live_rsi == pytest.approx(q.live_rsi, abs=0.1001)
+        assert r.live_macd == pytest.approx(q.live_macd, abs=1.001e-4)
+        if q.event_id >= 13:
+            assert r.bollinger_upper - shift == pytest.approx(q.bollinger_upper, abs=0.01001)
+            assert r.bollinger_lower <= r.bollinger_middle <= r.bollinger_upper
 
 
 def test_tick_change_and_direction(spark):
