@@ -389,23 +389,33 @@ def latest_state(t: DataFrame, stats_width: str = "5 minutes") -> DataFrame:
 
 # ---------------------------------------------------------------- L5 / L7
 
+# Wording of the trigger mail, in lines.
+MAIL_LINES = ["🚨 ALERTE CRYPTO DÉCLENCHÉE 🚨", "", "Nom de l'alerte: %s", "Symbole: %s", "Date: %s", "",
+              "CONDITIONS REMPLIES:", "%s", "",
+              "Cette alerte a été créée sur votre plateforme Crypto Trading Analytics.", "", "---",
+              "CryptoLive - Trading en temps réel avec Binance API"]
+
+
 def trigger_notices(fired: DataFrame, alerts: DataFrame) -> DataFrame:
     """The notice sent when an alert fires – ``type='alert_triggered'``,
     id, name, status – plus the mail subject, recipient, first condition's
-    symbol (or 'N/A') and the conditions as text lines."""
+    symbol (or 'N/A'), the conditions as text lines and the mail body, dated
+    with the trigger instant."""
     a = alerts.select(F.col("id").alias("a_id"), "conditions")
     j = fired.join(a, fired["id"] == a["a_id"], "left").drop("a_id")
     lines = F.transform("conditions", lambda c: F.concat(
         F.lit("  • "), F.coalesce(c["symbol"], F.lit("N/A")), F.lit(": "),
         F.replace(c["type"], F.lit("_"), F.lit(" ")), F.lit(" "),
         F.coalesce(c["threshold"], F.lit(""))))
+    symbol = F.coalesce(F.try_element_at("conditions", F.lit(1))["symbol"], F.lit("N/A"))
+    when = F.date_format("trigger_ts", "dd/MM/yyyy HH:mm:ss") if "trigger_ts" in fired.columns else F.lit("")
     return j.select(F.lit("alert_triggered").alias("type"), F.col("id").alias("alert_id"),
                     F.col("name").alias("alert_name"), F.lit("triggered").alias("status"),
                     F.col("email").alias("to_email"),
                     F.concat(F.lit(MAIL_SUBJECT_PREFIX), F.col("name")).alias("subject"),
-                    F.coalesce(F.try_element_at("conditions", F.lit(1))["symbol"],
-                               F.lit("N/A")).alias("symbol"),
-                    F.array_join(lines, "\n").alias("conditions_text"))
+                    symbol.alias("symbol"), F.array_join(lines, "\n").alias("conditions_text"),
+                    F.format_string("\n".join(MAIL_LINES), F.col("name"), symbol, when,
+                                    F.array_join(lines, "\n")).alias("body"))
 
 
 def alert_status(alerts: DataFrame, fired: DataFrame) -> DataFrame:

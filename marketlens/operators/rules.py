@@ -108,15 +108,22 @@ def evaluate_rules(df: DataFrame, rules=None, timestamp: Column | None = None,
                          "channels")])
 
 
+# Wording of the mail and chat notices; it must read as it always did.
+MAIL_SUBJECT = "Alerte %s - %s"
+MAIL_BODY = "Alerte Trading - %s\n\nSymbole: %s\nMessage: %s\nTimestamp: %s\n\nDonnées: %s"
+CHAT_FIELDS = [("Symbole", "symbol", True), ("Sévérité", "severity", True), ("Timestamp", "timestamp", False)]
+
+
 def notification_outbox(alerts: DataFrame) -> DataFrame:
     """One row per (alert, channel) with what would be sent: the Kafka
     record (topic, key, JSON value), the mail subject/body, or the chat
-    text/colour.  Delivery itself is outside Spark."""
+    text, colour and attachment fields.  Delivery itself is outside Spark."""
     style = severity_style(F.col("severity"))
     ex = alerts.select("*", F.explode("channels").alias("channel"))
-    subject = F.concat(F.lit("Alerte "), F.col("symbol"), F.lit(" - "), F.col("severity"))
-    body = F.format_string("Alerte Trading - %s\n\nSymbole: %s\nMessage: %s\nTimestamp: %s\n\nDonnées: %s",
-                           F.col("severity"), F.col("symbol"), F.col("message"),
+    subject = F.format_string(MAIL_SUBJECT, F.col("symbol"), F.col("severity"))
+    fields = F.array(*[F.struct(F.lit(title).alias("title"), F.col(c).cast("string").alias("value"),
+                                F.lit(short).alias("short")) for title, c, short in CHAT_FIELDS])
+    body = F.format_string(MAIL_BODY, F.col("severity"), F.col("symbol"), F.col("message"),
                            F.col("timestamp").cast("string"), F.col("data"))
     kafka_value = F.to_json(F.struct("rule_name", "symbol", "message", "severity",
                                      F.col("timestamp").cast("string").alias("timestamp"),
@@ -132,4 +139,5 @@ def notification_outbox(alerts: DataFrame) -> DataFrame:
         F.when(F.col("channel") == "email", F.lit(MAIL_TO)).alias("mail_to"),
         F.when(F.col("channel") == "slack", F.concat(F.lit("🚨 "), F.col("message"))).alias("text"),
         F.when(F.col("channel") == "slack", style["chat_color"]).alias("color"),
+        F.when(F.col("channel") == "slack", fields).alias("fields"),
         style["panel_color"].alias("panel_color"), style["icon"].alias("icon"))

@@ -101,6 +101,9 @@ SELECT channel, rule_name, symbol, window_start, severity,
        CASE WHEN channel = 'email' THEN 'trader@example.com' END AS mail_to,
        CASE WHEN channel = 'slack' THEN '🚨 ' || message END AS text,
        CASE WHEN channel = 'slack' THEN CASE WHEN severity = 'HIGH' THEN 'danger' ELSE 'warning' END END AS color,
+       CASE WHEN channel = 'slack' THEN '[{{"title":"Symbole","value":"' || symbol || '","short":true}},{{"title":"Sévérité","value":"' || severity
+         || '","short":true}},{{"title":"Timestamp","value":"' || strftime(window_start + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') || '","short":false}}]' END AS fields,
+       CASE WHEN severity = 'HIGH' THEN '🚨' WHEN severity = 'MEDIUM' THEN '⚠️' ELSE 'ℹ️' END AS icon,
        CASE WHEN severity = 'HIGH' THEN '#ef4444' WHEN severity = 'MEDIUM' THEN '#f97316' ELSE '#64748b' END AS panel_color
 FROM x""")
 def q_outbox(spark, sf_dir):
@@ -108,7 +111,8 @@ def q_outbox(spark, sf_dir):
     a = ru.evaluate_rules(s, timestamp=F.col("window_end"))
     o = ru.notification_outbox(a)
     return o.select("channel", "rule_name", "symbol", "window_start", "severity", "topic", "key",
-                    "subject", "mail_from", "mail_to", "text", "color", "panel_color")
+                    "subject", "mail_from", "mail_to", "text", "color",
+                    F.to_json("fields").alias("fields"), "icon", "panel_color")
 
 
 # ------------------------------------------------------------------ user alerts
@@ -221,6 +225,22 @@ def q_evaluate_alerts(spark, sf_dir):
     return out.select("id", "name", "n_conditions", "fired")
 
 
+_BELOW_SQL = """WHEN c_type = 'volatility_below' THEN st.volatility < coalesce(TRY_CAST(nullif(c_thr, '') AS DOUBLE), 0.0)
+      ELSE FALSE END, FALSE) END"""
+
+
+@register("evaluate_alerts_volatility_below", f"""
+WITH {_STATE_SQL},
+st AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS rn FROM tl) WHERE rn = 1),
+j AS (SELECT conds.*, {_MET_SQL.replace('ELSE FALSE END, FALSE) END', _BELOW_SQL)} AS met FROM conds LEFT JOIN st ON conds.c_symbol = st.symbol)
+SELECT id, name, CAST(max(n) AS INTEGER) AS n_conditions, bool_and(met) AS fired FROM j GROUP BY id, name""")
+def q_evaluate_alerts_below(spark, sf_dir):
+    """L2: the form's ``volatility_below`` switched on."""
+    t = load_trades(spark, sf_dir)
+    out = al.evaluate_alerts(derive_alerts(t), al.latest_state(t), volatility_below=True)
+    return out.select("id", "name", "n_conditions", "fired")
+
+
 @register("first_trigger", f"""
 WITH {_STATE_SQL},
 inst AS (SELECT DISTINCT ts, event_id FROM tl),
@@ -250,6 +270,26 @@ fired AS (SELECT id, name, arg_min(its, its) AS trigger_ts, arg_min(iev, its) AS
           FROM held GROUP BY id, name)"""
 
 
+_MAIL_SQL = " || chr(10) || ".join(
+    "'" + line.replace("'", "''").replace("%s", "' || {} || '") + "'" for line in al.MAIL_LINES).format(
+        "f.name", "coalesce(txt.first_symbol, 'N/A')", "strftime(f.trigger_ts, '%d/%m/%Y %H:%M:%S')",
+        "coalesce(txt.conditions_text, '')")
+
+
+_ZERO_TL = "tl0 AS (SELECT symbol, ts, event_id, " + ", ".join(
+    f"coalesce({c}, 0) AS {c}" for c in al.STATE_FIELDS) + " FROM tl),\ninst AS"
+
+
+@register("first_trigger_zero_default", f"""
+WITH {_FIRST_SQL.replace('inst AS', _ZERO_TL, 1).replace('tl st', 'tl0 st')}
+SELECT id, name, trigger_ts, trigger_event_id FROM fired""")
+def q_first_trigger_zero(spark, sf_dir):
+    """L4 with missing state values read as 0."""
+    t, tl = _timeline(spark, sf_dir)
+    out = al.first_trigger(derive_alerts(t), tl, zero_default=True)
+    return out.select("id", "name", "trigger_ts", "trigger_event_id")
+
+
 @register("trigger_notices", f"""
 WITH {_FIRST_SQL},
 txt AS (SELECT id, string_agg('  • ' || coalesce(c_symbol, 'N/A') || ': ' || replace(c_type, '_', ' ')
@@ -259,7 +299,8 @@ txt AS (SELECT id, string_agg('  • ' || coalesce(c_symbol, 'N/A') || ': ' || r
 SELECT 'alert_triggered' AS type, f.id AS alert_id, f.name AS alert_name, 'triggered' AS status,
        lower(split_part(f.id, '_', 1)) || '@example.com' AS to_email,
        '🚨 Alerte Crypto: ' || f.name AS subject, coalesce(txt.first_symbol, 'N/A') AS symbol,
-       coalesce(txt.conditions_text, '') AS conditions_text
+       coalesce(txt.conditions_text, '') AS conditions_text,
+       {_MAIL_SQL} AS body
 FROM fired f LEFT JOIN txt ON f.id = txt.id""")
 def q_trigger_notices(spark, sf_dir):
     t, tl = _timeline(spark, sf_dir)

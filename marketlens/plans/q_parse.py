@@ -291,3 +291,14 @@ def q_stats_kv(spark, sf_dir):
     kv = ps.stats_to_kv(window_stats(load_trades(spark, sf_dir), "5 minutes"))
     msg = kv.select(F.from_json("value", STATS_MESSAGE).alias("m")).select("m.*")
     return r6(nz.stats_view(msg), ["avg_price", "volatility", "trend"])
+
+
+@register("parse_event_time_offsets", """
+SELECT event_id, date_trunc('second', ts) - INTERVAL 2 HOUR AS east, date_trunc('second', ts) + INTERVAL 330 MINUTE AS west,
+       date_trunc('second', ts) AS plain FROM events""")
+def q_event_time_offsets(spark, sf_dir):
+    """Text with offsets becomes UTC wall time."""
+    text = F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.lit("T"))
+    at = lambda suffix: ps.parse_event_time(F.concat(text, F.lit(suffix)), as_ntz=True)
+    return load_table(spark, sf_dir, "events").select(
+        "event_id", at("+02:00").alias("east"), at("-05:30").alias("west"), at("").alias("plain"))
