@@ -40,7 +40,7 @@ def _load():
     if not _LOADED:
         # importing the modules registers their queries
         from marketlens.plans import q_stats, q_serving  # noqa: F401
-        for mod in ("q_indicators", "q_arbitrage", "q_alerts", "q_parse"):
+        for mod in ("q_indicators", "q_arbitrage", "q_alerts", "q_parse", "q_streams"):
             try:
                 __import__(f"marketlens.plans.{mod}")
             except ModuleNotFoundError as exc:

@@ -7,6 +7,9 @@ benchmarks and command-line jobs.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings every marketlens session wants.  AQE re-plans joins and
@@ -52,3 +55,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's own tables, below ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        return f"file://{tempfile.mkdtemp(prefix='marketlens-')}/{name}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marketlens.operators.indicators import REACH
 from marketlens.operators.alerts import STATE_FIELDS, condition_met, explode_conditions
 
-HISTORY = 64    # >= 26 + 9 + 1 rows back: every frame of ``enrich`` is exact
+HISTORY = REACH    # rows back: every frame of ``enrich`` is exact
 
 INDICATOR_SCHEMA = ("symbol string, timestamp timestamp, event_id long, price double, "
                     "rsi double, macd_line double, signal_line double, macd_histogram double, "
@@ -40,6 +41,11 @@ INDICATOR_SCHEMA = ("symbol string, timestamp timestamp, event_id long, price do
 _PRICE_STATE = "prices array<double>"
 
 
+def _ms(times: pd.Series) -> pd.Series:
+    """Epoch milliseconds, whatever unit the times are held in."""
+    return times.astype("datetime64[ms]").astype("int64")
+
+
 def _windows(a: np.ndarray, n: int) -> np.ndarray:
     """Trailing windows of n values ending at each index (NaN-padded at the
     start, so early rows see the partial frame, like ``rowsBetween(-n+1, 0)``)."""
@@ -117,7 +123,7 @@ def _indicator_ordered_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState
     if new is not None and len(new):
         pend = pd.concat([pend, new[["timestamp", "event_id", "price"]]], ignore_index=True)
     wm = state.getCurrentWatermarkMs()
-    ready_mask = pend["timestamp"].astype("int64") // 1_000_000 <= wm
+    ready_mask = _ms(pend["timestamp"]) <= wm
     ready = pend[ready_mask].sort_values(["timestamp", "event_id"], kind="stable")
     rest = pend[~ready_mask]
     prices = np.concatenate([np.asarray(list(prev), dtype=float),
@@ -134,7 +140,7 @@ def _indicator_ordered_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState
                   [None if pd.isna(v) else int(v) for v in rest["event_id"]],
                   rest["price"].tolist()))
     if len(rest):
-        state.setTimeoutTimestamp(int(rest["timestamp"].astype("int64").min() // 1_000_000) + 1)
+        state.setTimeoutTimestamp(int(_ms(rest["timestamp"]).min()) + 1)
 
 
 def stream_indicators(ticks: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -218,7 +224,7 @@ def _latch_ordered_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         return
     flags = flags if flags is not None else [False] * n
     wm = state.getCurrentWatermarkMs()
-    due = pd.to_datetime(pend["ts"]).astype("int64") // 1_000_000 <= wm
+    due = _ms(pd.to_datetime(pend["ts"])) <= wm
     ready = pend[due].sort_values(["ts", "event_id", "cond_idx"], kind="stable")
     rest = pend[~due]
     first = None
@@ -232,7 +238,7 @@ def _latch_ordered_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     state.update((False, flags, list(pd.to_datetime(rest["ts"])), [int(v) for v in rest["event_id"]],
                   [int(v) for v in rest["cond_idx"]], [bool(v) for v in rest["met"]], n))
     if len(rest):
-        state.setTimeoutTimestamp(int(pd.to_datetime(rest["ts"]).astype("int64").min() // 1_000_000) + 1)
+        state.setTimeoutTimestamp(int(_ms(pd.to_datetime(rest["ts"])).min()) + 1)
 
 
 def stream_alert_latch(timeline: DataFrame, alerts: DataFrame, zero_default: bool = False,
