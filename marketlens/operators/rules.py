@@ -46,14 +46,6 @@ MAIL_FROM = "trading-bot@example.com"
 MAIL_TO = "trader@example.com"
 
 
-def rules_frame(spark, rules=None) -> DataFrame:
-    """The rule set as a DataFrame (``RULE`` schema)."""
-    from marketlens.schemas import RULE
-    rules = rules if rules is not None else DEFAULT_RULES
-    return spark.createDataFrame([(r["rule_name"], r["condition"], r["message"], r["severity"],
-                                   list(r["channels"])) for r in rules], RULE)
-
-
 _SQL_WORDS = {"and", "or", "not", "null", "is", "true", "false", "between", "in", "like"}
 
 

@@ -380,6 +380,8 @@ def q_state_timeline(spark, sf_dir):
                     "bollinger_upper", "bollinger_lower", "prev_price", "prev_volume",
                     "prev_rsi", "prev_macd")
     out = r6(out, ["rsi", "macd", "bollinger_upper", "bollinger_lower", "prev_rsi", "prev_macd"])
+    # 4 digits: pieces merged pairwise differ from one running stddev in the last bits,
+    # and the square root of a tiny variance magnifies that
     return r6(out, ["volatility"], 4)
 
 

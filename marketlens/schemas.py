@@ -33,9 +33,6 @@ STATS_MESSAGE = StructType([
     StructField("window_end", StringType()),
 ])
 
-TICK = StructType([StructField("symbol", StringType()), StructField("price", DoubleType()),
-                   StructField("timestamp", TimestampType())])
-
 CONDITION = StructType([StructField("symbol", StringType()), StructField("type", StringType()),
                         StructField("threshold", StringType())])
 USER_ALERT = StructType([
