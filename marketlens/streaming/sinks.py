@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.functions.parse import arbitrage_to_kv, stats_to_kv
@@ -136,15 +135,28 @@ def observe_trades(df: DataFrame, name: str = "trade_progress") -> DataFrame:
                       F.max_by("price", ts).alias("last_price"))
 
 
-def upsert_latest(path: str):
+def _snapshots(spark, path: str):
+    """(file system, {batch id: folder}) of the committed snapshots below ``path``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    if fs.exists(root):
+        for status in fs.listStatus(root):
+            folder = status.getPath()
+            done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+            if folder.getName().startswith("batch_id=") and fs.exists(done):
+                found[int(folder.getName().split("=")[1])] = folder
+    return fs, found
+
+
+def upsert_latest(path: str, keep: int = 2):
     """``foreachBatch`` function keeping the latest statistics row per
     symbol (greatest ``window_end``) in a Parquet table at ``path``.
 
     Each batch writes a complete snapshot to ``path/batch_id=<id>`` (the
     previous snapshot merged with the batch by ``max_by``); a replayed batch
-    overwrites its own folder, so the upsert is idempotent.  Readers take the
-    highest ``batch_id``.  The snapshot holds one row per symbol; older
-    snapshots stay as history (prune them with the store's retention).
+    overwrites its own folder, so the upsert is idempotent.  The newest ``keep``
+    committed snapshots stay (a reader may still be on the one before).
     """
     from marketlens.operators.serving import latest_stats
 
@@ -154,25 +166,15 @@ def upsert_latest(path: str):
         merged = batch if prev is None else prev.unionByName(batch.select(*prev.columns))
         latest_stats(merged).write.mode("overwrite").parquet(
             f"{path.rstrip('/')}/batch_id={batch_id}")
+        fs, found = _snapshots(spark, path)
+        for old in sorted(found)[:-keep]:
+            fs.delete(found[old], True)
     return run
 
 
 def read_latest(spark, path: str, before: int | None = None):
-    """Newest snapshot written by ``upsert_latest`` (None if there is none).
-
-    Uses only the Spark reader (works on any Hadoop-compatible store): the
-    ``batch_id=<n>`` folders are discovered as a partition column; a folder
-    appears only once its write committed.
-    """
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    if "batch_id" not in df.columns:
-        return None
-    if before is not None:
-        df = df.filter(F.col("batch_id") < before)
-    newest = df.agg(F.max("batch_id")).first()[0]
-    if newest is None:
-        return None
-    return df.filter(F.col("batch_id") == newest).drop("batch_id")
+    """Newest committed snapshot written by ``upsert_latest`` (None if there is
+    none): the folder of the highest batch id whose write left its success mark."""
+    _, found = _snapshots(spark, path)
+    ids = [i for i in found if before is None or i < before]
+    return spark.read.parquet(found[max(ids)].toString()) if ids else None
