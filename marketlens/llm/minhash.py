@@ -13,7 +13,8 @@ standard deviations) with the same.
 Equal sets are one class before anything is compared.  In a bucket each class
 is compared with the bucket's smallest one; buckets whose classes are linked by that
 are done, however large.  What is left, classes of different components
-in one bucket, is compared by signatures in blocks inside the tasks.
+in one bucket, is compared in blocks inside the tasks, first by signatures and
+then by the full sets of those that are alike.
 
 Rows: null, empty and blank texts have an empty set and link with nothing;
 fewer words than a shingle are one shingle; rows that repeat a doc_id are one
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.shared import bitmap_of, components, cut, free_name, in_bitmap
+from marketlens.llm.shared import bitmap_of, components, cut, free_name, in_bitmap, sorted_groups
 from marketlens.llm.text import SPACED, Words, mix, slices
 
 HASHES, ROWS, BANDS = 192, 5, 38
 MARGIN = 0.18
-BLOCK = 1024
+BLOCK = 2048
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _XOR, _MULTIPLY = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32), (_SEEDS[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ODD_BITS = 0x5555555555555555
@@ -129,66 +130,91 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 ok.append(100 * both >= percent * (len(kept) + len(own) - both))
             yield pa.RecordBatch.from_arrays([run.column(0), run.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+
+
+def _alike(group: pa.Table, least: float) -> np.ndarray:
+    """Which pairs of a group (rows key, i, j, block, doc_id, part, sig, bands)
+    are to be confirmed here: of different components, by estimate at least
+    ``least``, across the group's two blocks if it has two, and of no earlier
+    band in common, so that a pair is confirmed in one bucket only."""
+    block, part = group.column("block").to_numpy(), group.column("part").to_numpy()
+    ok = np.triu(part[:, None] != part[None, :])
+    if group.column("i")[0] != group.column("j")[0]:
+        ok &= block[:, None] != block[None, :]
+    if not ok.any():
+        return ok
+    matrix = lambda c, w: group.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, w)
+    sig, bands = matrix("sig", HASHES // 32), matrix("bands", BANDS)
+    own = int(np.flatnonzero(bands[0] == np.uint64(group.column("key")[0].as_py() % 2**64))[0])
+    for lo in range(0, len(part), 256):  # in strips of rows, to bound the memory
+        now = slice(lo, lo + 256)
+        if not ok[now].any():
+            continue
+        differ = np.zeros(ok[now].shape, np.uint16)
+        for w in sig.T:
+            d = w[now, None] ^ w[None, :]
+            differ += np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(_ODD_BITS))
+        ok[now] &= (1 - differ / HASHES - 0.25) / 0.75 >= least
+        if ok[now].any():
+            for band in bands.T[:own]:
+                ok[now] &= band[now, None] != band[None, :]
+    return ok
 
 
-def _across(members: DataFrame, sig: DataFrame, parts: DataFrame, least: float, best: int | None) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose estimate is at
-    least ``least``; with ``best``, only so many of each document and block.
+def _links_across(members: DataFrame, sig: DataFrame, parts: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components in one bucket.
 
     A bucket of more than ``BLOCK`` members is dealt to blocks, and each pair of
-    blocks is a group of its own, so a group has at most about two blocks."""
+    blocks is a group of its own, so a group has at most about two blocks.  The
+    first pass finds the documents that some group has to confirm; the second
+    brings their texts there and compares the full sets.  Neither makes a row
+    of a pair that is not a link."""
+    least = percent / 100 - MARGIN
     now = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("part"))
     open_ = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = (now.join(open_, "key").join(sig, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "part", "sig"))
+    dealt = (now.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "part"))
     group = ["key", "i", "j"]
-
-    def compare(block, doc, part, words):
-        """Pairs of one group; only those across when its two blocks differ."""
-        differ = np.zeros((len(doc), len(doc)), np.uint16)
-        for w in words.T:
-            d = w[:, None] ^ w[None, :]
-            differ += np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(_ODD_BITS))
-        like = (1 - differ / HASHES - 0.25) / 0.75
-        ok = (like >= least) & (part[:, None] != part[None, :])
-        if len(set(block.tolist())) > 1:
-            ok &= block[:, None] != block[None, :]
-        if best is None or len(doc) <= best + 1:
-            a, b = np.nonzero(np.triu(ok))
-        else:
-            near = np.argpartition(-np.where(ok, like, -9), best, axis=1)[:, :best]
-            a = np.repeat(np.arange(len(doc)), best)
-            b = near.ravel()
-            keep = ok[a, b]
-            a, b = a[keep], b[keep]
-        return np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(table):
-            t = table.combine_chunks()
-            cols = [t.column(c).to_numpy() for c in ("key", "i", "j", "block", "doc_id", "part")]
-            words = t.column("sig").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, HASHES // 32) if t.num_rows else np.zeros((0, HASHES // 32), np.uint64)
-            cut_at = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
-            edge = [0, *cut_at.tolist(), t.num_rows]
-            got = [compare(*(c[lo:hi] for c in cols[3:]), words[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi - lo > 1]
-            a, b = (np.concatenate([g[x] for g in got]) if got else np.zeros(0, np.int64) for x in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        held = None  # rows from the start of the last group on, which may go on
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            last = [held.column(c)[-1].as_py() for c in group]
-            same = np.all([held.column(c).to_numpy() == v for c, v in zip(group, last, strict=True)], axis=0)
-            start = int(np.argmax(same))
-            if start:
-                yield from out(held.slice(0, start))
-                held = held.slice(start)
-        if held is not None:
-            yield from out(held)
-
-    return rows.repartition(*group).sortWithinPartitions(*group, "doc_id").mapInArrow(pairs, "a long, b long").distinct()
+    together = lambda rows: rows.repartition(*group).sortWithinPartitions(*group, "doc_id")
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, len(group)):
+            ok = _alike(rows, least)
+            yield from rows.filter(pa.array(ok.any(axis=0) | ok.any(axis=1))).combine_chunks().to_batches()
+
+    some = cut(together(dealt.join(sig, "doc_id").select("key", "i", "j", "block", "doc_id", "part", "sig", "bands")).mapInArrow(involved, "key long, i int, j int, block int, doc_id long, part long, sig array<long>, bands array<long>"), "across")
+    texts = in_bitmap(docs, "doc_id", bitmap_of(some, "doc_id"))
+    rows = some.join(texts, "doc_id").select("key", "i", "j", "block", "doc_id", "part", "sig", "bands", "text")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, len(group)):
+            ok = _alike(rows, least)
+            ids = rows.column("doc_id").to_numpy()
+            sets = []
+            for batch in rows.select(["text"]).to_batches():
+                for _, own in slices([batch]):
+                    h, bounds = shingles(own, k)
+                    sets += [np.unique(h[bounds[i]:bounds[i + 1]]) for i in range(len(own))]
+            size = np.array([len(x) for x in sets])
+            end = np.cumsum(size)
+            _, word = np.unique(np.concatenate(sets), return_inverse=True)
+            held = np.zeros(int(word.max()) + 1, bool)
+            a, b = [], []
+            for x in np.flatnonzero(ok.any(axis=1)).tolist():
+                mine = word[end[x] - size[x]:end[x]]
+                held[mine] = True
+                for others in np.array_split(np.flatnonzero(ok[x]), -(-int(ok[x].sum()) // 256)):
+                    stop = np.cumsum(size[others])
+                    at = np.repeat(end[others] - stop, size[others]) + np.arange(stop[-1])
+                    both = np.add.reduceat(held[word[at]].astype(np.int64), stop - size[others])
+                    near = others[100 * both >= percent * (size[x] + size[others] - both)]
+                    a += [min(ids[x], ids[y]) for y in near]
+                    b += [max(ids[x], ids[y]) for y in near]
+                held[mine] = False
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return together(rows).mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -204,25 +230,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     classes = full.join(copies.select(F.col("b").alias("doc_id"), *same).distinct(), ["doc_id", *same], "leftanti")
     banded = classes.select(F.explode("bands").alias("key"), "doc_id")
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
-    members = cut(banded.join(buckets, "key").select("key", "doc_id", "lead").distinct(), "buckets")
-    sig = classes.select("doc_id", "sig")
-    least = percent / 100 - MARGIN
-
-    def similar(pairs):
-        a, b = sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-        return pairs.join(b, "b").join(a, "a").where(estimate("sig_a", "sig_b") >= least).select("a", "b").distinct()
-
-    tried = cut(similar(members.where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()), "pairs")
-    found = cut(_confirm(tried, docs, k, percent), "links")
-    parts = components(found)
-    # Classes that their bucket's smallest one does not reach: first the best
-    # partners of each, then every pair of different components that is left.
-    for best in (3, None):
-        more = cut(_across(members, sig, parts, least, best).join(tried, ["a", "b"], "leftanti"), "pairs")
-        found = cut(_confirm(more, docs, k, percent), "links")
-        parts = components(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(found))
-        tried = tried.unionByName(more)
-    parts = components(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(copies.select("a", "b")))
+    members = cut(banded.join(buckets, "key").select("key", "doc_id", "lead"), "buckets")
+    sig = classes.select("doc_id", "sig", "bands")
+    a, b = (sig.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    pairs = members.where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    likely = cut(pairs.join(b, "b").join(a, "a").where(estimate("sig_a", "sig_b") >= percent / 100 - MARGIN).select("a", "b"), "pairs")
+    parts = components(_confirm(likely, docs, k, percent).unionByName(copies.select("a", "b")))
+    # what the buckets' smallest classes do not reach
+    more = _links_across(members, sig, parts, docs, k, percent)
+    parts = components(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     parts = parts.withColumnRenamed("id", "doc_id")
     return (sets.select("doc_id", "n_shingles").join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))

@@ -29,7 +29,7 @@ def scratch(spark: SparkSession, what: str) -> str:
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not conf.get("spark.master", "").startswith("local["):
+        if conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marketlens-llm-")
         spark.sparkContext.setCheckpointDir(base)
@@ -81,6 +81,25 @@ def in_bitmap(df: DataFrame, column: str, bitmap) -> DataFrame:
     return df.withColumn("_bit", F.xxhash64(column).bitwiseAND((1 << BITS) - 1)).mapInArrow(keep, df.schema)
 
 
+def sorted_groups(batches, keys: int):
+    """The groups of rows that are sorted by their first ``keys`` columns, as Arrow tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        marks = np.column_stack([held.column(c).to_numpy() for c in range(keys)])
+        ends = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+            yield held.slice(lo, hi - lo)
+        if len(ends):
+            held = held.slice(int(ends[-1]))
+    if held is not None and held.num_rows:
+        yield held
+
+
 def write_files(blobs: DataFrame, path: str) -> None:
     """Writes each row of the one binary column as a file of its own.
 
@@ -101,26 +120,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id): for every id in ``edges`` the smallest id reachable.
 
     Alternates large-star and small-star steps (each node links its larger,
-    then its smaller neighbours to the smallest one) until the edges no longer
-    change.  Each step is two aggregates and a join; every pass is written as
-    a table in the shared folder, so a lost executor repeats one pass at most.
+    then its smaller neighbours to the smallest one) until every node has one
+    link, to a node without one.  Each pass is written as a table in the
+    shared folder, so a lost executor repeats one pass at most.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    last = None
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not _stars(now):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-                 .select("e.u", "e.v").where("u > v").distinct())
-        nxt = cut(small, "edges")
-        sums = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (now, nxt)]
-        if last is not None:
-            drop(last)
-        last, now = now, nxt
-        if sums[0] == sums[1]:
-            drop(last)
-            break
-    lone = now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        last, now = now, cut(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        drop(last)
+    lone = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component_id"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(lone)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one link down, and only nodes without any are linked to."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("down")))).alias("e"))
+    sums = ends.groupBy("e.id").agg(F.sum("e.down").alias("down"), F.count("*").alias("n"))
+    return sums.where("down > 1 or (down = 1 and n > 1)").limit(1).count() == 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.shared import components, cut
+from marketlens.llm.shared import components, cut, sorted_groups
 
 SAMPLE = 20_000
 PER_CLUSTER, MOST_CLUSTERS = 1000, 4096
@@ -151,22 +151,6 @@ def range_search(points: np.ndarray, adjacent: np.ndarray, queries: np.ndarray,
     return np.nonzero(like >= least32)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The groups of rows that are sorted by their first ``keys`` columns."""
-    held = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        marks = np.column_stack([held.column(c).to_numpy() for c in range(keys)])
-        ends = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
-            yield held.slice(lo, hi - lo)
-        if len(ends):
-            held = held.slice(int(ends[-1]))
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _valid(vectors: DataFrame) -> DataFrame:
     """vec_id, vec (doubles), h1 and h2 of the vectors that can link, one per vec_id."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -224,7 +208,7 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
             .select("cell", "spot.shard", "spot.home", "id", "weight", "vec", "size", "cells", "chunks"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 2):
+        for group in sorted_groups(batches, 2):
             ids = group.column("id").to_numpy()
             adjacent = robust_prune(_unit(_matrix(group.column("vec"), width)))
             size = (adjacent >= 0).sum(axis=1)
@@ -239,7 +223,7 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
     asking = asking.select("cell", "shard", "chunk", F.lit(1).alias("role"), "id", "weight", "vec", "size", "cells", F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("near"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in sorted_groups(batches, 3):
             role = group.column("role").to_numpy()
             m, q = (group.filter(pa.array(role == r)) for r in (0, 1))
             if not (m.num_rows and q.num_rows):
