@@ -111,9 +111,19 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+#: Tables that a Python worker keeps from task to task for one kind of work.
+HELD: list[dict] = []
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 20, hold: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cuts batches into row runs of about ``budget`` text bytes (one long text
-    is a run of its own), so that numpy work per run stays bounded."""
+    is a run of its own), so that numpy work per run stays bounded.
+
+    Workers go on to other stages; without ``hold`` the tables that an earlier
+    kind of work left in the worker are given back first."""
+    if not hold:
+        for held in HELD:
+            held.clear()
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -122,3 +132,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
             hi = max(lo + 1, int(np.searchsorted(ends, done + budget, side="right")))
             yield batch.slice(lo, hi - lo), byte_texts(texts.slice(lo, hi - lo))
             lo, done = hi, int(ends[hi - 1])
+        pa.default_memory_pool().release_unused()  # the next batch may be smaller

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from marketlens.llm.text import HELD
+
 #: ASCII marks that may follow a word; not the apostrophe, which can start a contraction.
 _MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -35,9 +37,12 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class PartIds(dict):
-    """White-space part (UTF-8 bytes) -> its ids as little-endian uint16 bytes."""
+    """White-space part (UTF-8 bytes) -> its ids as little-endian uint16 bytes.
+
+    Holds two generations of at most ``limit`` parts each: a full one becomes
+    the old one, and what is met again moves on from there."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,6 +50,7 @@ class PartIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.old: dict[bytes, bytes] = {}
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids beyond 16 bits")
 
@@ -67,13 +73,17 @@ class PartIds(dict):
         if not part:
             return b""
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
+        if part in self.old:
+            self[part] = ids = self.old.pop(part)
+            return ids
         low = part.lower()
         base = part.rstrip(_MARKS)
         if low != part and part.isalpha():  # ASCII letters: the vocabulary folds their case
-            known, ids = low in self, self[low]
+            known, ids = low in self or low in self.old, self[low]
         elif base and base != part and (base.isalpha() or self.tokenizer.normalizer.normalize_str(base.decode()).isalpha()):  # letters end where marks start
-            known, ids = base in self, self[base] + self[part[len(base):]]
+            known, ids = base in self or base in self.old, self[base] + self[part[len(base):]]
         else:
             known, ids = True, self._new(part)
         if known:  # forms of a word met for the first time are not worth the memory
@@ -100,10 +110,11 @@ class PartIds(dict):
 
 
 _KEPT: dict[str, PartIds] = {}
+HELD.append(_KEPT)
 
 
 def part_ids(path: str) -> PartIds:
-    """The table of this worker, kept while the worker lives."""
+    """The table of this worker, kept until the worker turns to other work."""
     if path not in _KEPT:
         _KEPT[path] = PartIds(path)
     return _KEPT[path]
