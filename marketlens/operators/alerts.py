@@ -391,16 +391,14 @@ def latest_state(t: DataFrame, stats_width: str = "5 minutes") -> DataFrame:
 
 # Wording of the trigger mail, in lines.
 MAIL_LINES = ["🚨 ALERTE CRYPTO DÉCLENCHÉE 🚨", "", "Nom de l'alerte: %s", "Symbole: %s", "Date: %s", "",
-              "CONDITIONS REMPLIES:", "%s", "",
-              "Cette alerte a été créée sur votre plateforme Crypto Trading Analytics.", "", "---",
-              "CryptoLive - Trading en temps réel avec Binance API"]
+              "CONDITIONS REMPLIES:", "%s"]
 
 
-def trigger_notices(fired: DataFrame, alerts: DataFrame) -> DataFrame:
+def trigger_notices(fired: DataFrame, alerts: DataFrame, signature: str = "") -> DataFrame:
     """The notice sent when an alert fires – ``type='alert_triggered'``,
     id, name, status – plus the mail subject, recipient, first condition's
     symbol (or 'N/A'), the conditions as text lines and the mail body, dated
-    with the trigger instant."""
+    with the trigger instant and closed by the sender's ``signature``."""
     a = alerts.select(F.col("id").alias("a_id"), "conditions")
     j = fired.join(a, fired["id"] == a["a_id"], "left").drop("a_id")
     lines = F.transform("conditions", lambda c: F.concat(
@@ -414,8 +412,8 @@ def trigger_notices(fired: DataFrame, alerts: DataFrame) -> DataFrame:
                     F.col("email").alias("to_email"),
                     F.concat(F.lit(MAIL_SUBJECT_PREFIX), F.col("name")).alias("subject"),
                     symbol.alias("symbol"), F.array_join(lines, "\n").alias("conditions_text"),
-                    F.format_string("\n".join(MAIL_LINES), F.col("name"), symbol, when,
-                                    F.array_join(lines, "\n")).alias("body"))
+                    F.concat(F.format_string("\n".join(MAIL_LINES), F.col("name"), symbol, when,
+                                             F.array_join(lines, "\n")), F.lit(signature)).alias("body"))
 
 
 def alert_status(alerts: DataFrame, fired: DataFrame) -> DataFrame:
