@@ -7,13 +7,18 @@
 3. In each shard every point gets robust-pruned neighbours: going outwards, a
    candidate is kept unless a kept one is nearer to it (by ``ALPHA``) than the
    point is.  The adjacency lists of a point's shards are united.
-4. Every point searches the shards of its ``PROBES`` nearest centroids: greedily
-   from the shard's medoid (and from itself where it is a member), then on from
+4. Every point searches the shards of all centroids whose cosine is within a
+   margin of its nearest one's (``PROBES`` of them at least): greedily from the
+   shard's medoid (and from itself where it is a member), then on from
    every member found within range until no new one is found.
 5. What is found is verified in double precision.  Both ends of a link count
    it, also where only one of them searched; a task returns counts and a forest
    of its links, never the pairs.
 
+The margin is set on points held out of the centroids' sample, so the probes grow
+with the cells as the data need it: of pairs made just in range, ``MEET`` must
+have an end that searches the other's home cell.
+
 ``audit`` measures the recall against brute force on a set of queries.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components
@@ -37,7 +42,7 @@ from marketlens.llm.shared import components, cut, sorted_groups
 SAMPLE = 20_000
 PER_CLUSTER, MOST_CLUSTERS = 1000, 4096
 SHARD, QUERIES = 1500, 16_384  # members of a shard, queries of a task, about
-PROBES = 4
+PROBES, MEET, HELD = 4, 0.995, 4000  # probes at least; share of pairs that meet, on so many held-out points
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 BEAM, WIDE = 32, 8
 
@@ -69,6 +74,31 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def probe_margin(x: np.ndarray, size: np.ndarray, c: np.ndarray, least: float) -> float:
+    """How far below its nearest centroid's cosine a point must search, so that
+    ``MEET`` of the pairs with a cosine of ``least`` meet in the home of one end.
+
+    Each unit vector (of ``size`` components, then zeros) is paired with two
+    made ones: one in a random direction, one towards another of the vectors."""
+    rng = np.random.default_rng(0)
+    there = np.arange(x.shape[1]) < size[:, None]
+    s, every = x @ c.T, np.arange(len(x))
+    home = np.argmax(s, axis=1)
+    margin = 0.0
+    for aside in (rng.normal(size=x.shape), x[rng.permutation(len(x))]):
+        aside = aside * there
+        aside -= np.einsum("ij,ij->i", aside, x)[:, None] * x
+        length = np.linalg.norm(aside, axis=1, keepdims=True)
+        y = least * x + np.sqrt(max(0.0, 1 - least**2)) * aside / np.maximum(length, 1e-9)
+        t = y @ c.T
+        other = np.argmax(t, axis=1)
+        # one end is enough
+        lacks = np.minimum(s[every, home] - s[every, other], t[every, other] - t[every, home])[length[:, 0] > 1e-6]
+        if len(lacks):
+            margin = max(margin, float(np.quantile(lacks, MEET, method="higher")))
+    return margin
+
+
 def robust_prune(x: np.ndarray) -> np.ndarray:
     """Neighbours (rows of indices, -1 where there are fewer) of unit vectors."""
     n = len(x)
@@ -184,15 +214,20 @@ def links(vectors: DataFrame, least: float = 0.9) -> DataFrame:
 def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
     """Rows (id, n): links counted, and (a, b): a forest of the links."""
     spark = points.sparkSession
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
-    centres = centroids(_unit(_matrix(sample["vec"], width)), max(1, min(MOST_CLUSTERS, -(-n // PER_CLUSTER), sample.num_rows)))
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD).select("vec", "size").toArrow()
+    fitted = sample.slice(0, SAMPLE)
+    centres = centroids(_unit(_matrix(fitted["vec"], width)), max(1, min(MOST_CLUSTERS, -(-n // PER_CLUSTER), fitted.num_rows)))
+    held = sample.slice(max(0, sample.num_rows - HELD))  # a small table has no others than the fitted ones
+    margin = probe_margin(_unit(_matrix(held["vec"], width)), held["size"].to_numpy(), centres, least)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 s = _unit(_matrix(batch.column(2), width)) @ centres.T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :PROBES].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(top.ravel()), top.shape[1]).cast(pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+                top = np.argsort(-s, axis=1, kind="stable").astype(np.int32)
+                probes = np.maximum((s >= s.max(axis=1, keepdims=True) - margin).sum(axis=1), min(PROBES, s.shape[1]))
+                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(probes)]), pa.int32()), pa.array(top[np.arange(s.shape[1]) < probes[:, None]]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
 
     placed = cut(points.mapInArrow(assign, "id long, weight long, vec array<double>, size int, cells array<int>"), "cells")
     # one row a cluster, at most MOST_CLUSTERS of them
@@ -220,7 +255,7 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
     spread = lambda df, number: df.withColumn("chunk", F.explode(number))
     indexed = spread(stay.join(united, "id"), F.sequence(F.lit(0), F.col("chunks") - 1)).select("cell", "shard", "chunk", F.lit(0).alias("role"), "id", "weight", "vec", "size", "cells", "home", "near")
     asking = spread(dealt, F.array(F.pmod(F.xxhash64(F.lit(7), "id"), "chunks").cast("int"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    asking = asking.select("cell", "shard", "chunk", F.lit(1).alias("role"), "id", "weight", "vec", "size", "cells", F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("near"))
+    asking = asking.select("cell", "shard", "chunk", F.lit(1).alias("role"), "id", "weight", "vec", "size", F.slice("cells", 1, 1).alias("cells"), F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("near"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 3):
@@ -236,8 +271,9 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
             weight, weight_q = m.column("weight").to_numpy(), q.column("weight").to_numpy()
             size, size_q = m.column("size").to_numpy(), q.column("size").to_numpy()
             home = m.column("home").to_numpy(zero_copy_only=False).astype(bool)
-            cells = np.full((m.num_rows, PROBES), -1)
-            for i, c in enumerate(m.column("cells").to_pylist()):
+            lists = m.column("cells").to_pylist()
+            cells = np.full((m.num_rows, max(map(len, lists))), -1)
+            for i, c in enumerate(lists):
                 cells[i, :len(c)] = c
             home_q = np.array([c[0] for c in q.column("cells").to_pylist()])
             # members in id order (as sorted): neighbours that are not here drop out

@@ -59,6 +59,21 @@ def test_audit_measures_recall(spark, rows):
     assert r.links > 0 and r.found >= 0.9 * r.links
 
 
+def test_recall_holds_with_hundreds_of_cells(spark, monkeypatch):
+    # unstructured pairs just in range, hardly any in the centroids' sample: only the probes bring them together
+    for name, value in {"PER_CLUSTER": 10, "SAMPLE": 300, "HELD": 1000}.items():
+        monkeypatch.setattr(vectorgraph, name, value)
+    rng = np.random.default_rng(8)
+    x = vectorgraph._unit(rng.normal(size=(1500, 64)))
+    aside = rng.normal(size=x.shape)
+    aside = vectorgraph._unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * aside
+    v = spark.createDataFrame(list(enumerate(np.concatenate([x, y]).tolist())), "vec_id long, embedding array<double>").repartition(4).cache()
+    r = vectorgraph.audit(v, vectorgraph.links(v), every=1).first()
+    print(f"300 cells: {r.found} of {r.links} links")
+    assert r.links >= 3000 and r.found >= 0.97 * r.links
+
+
 def test_no_vectors_and_no_ids(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectorgraph.links(none).count() == 0
