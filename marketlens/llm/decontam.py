@@ -89,7 +89,7 @@ def _marks(words: Words, bitmap: np.ndarray | None, lengths: list[int], whole: b
             d = int(doc_of[i])
             low, high = max(int(words.first[d]), i - side), min(int(words.first[d + 1]), i + size + side)
             out.setdefault(d, []).append({"h": value, "len": size + (100 if length else 0), "pos": i - int(words.first[d]), "off": i - low,
-                                          "words": words.data[words.start[low]:words.end[high - 1]].tobytes().decode().split()})
+                                          "words": [words.word(j) for j in range(low, high)]})
     return out
 
 

@@ -69,6 +69,18 @@ def test_empty_tables(spark, case):
     assert contamination(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
 
 
+@pytest.mark.parametrize("space", ["\u00a0", "\u0085", "\u2003", "\u2028", "\u202f", "\u3000"])
+def test_wide_spaces_are_word_characters(spark, space):
+    run = [f"w{i}" for i in range(13)]
+    items = [(1, " ".join(run)), (2, " ".join(f"v{i}{space}u" for i in range(13))), (3, f"a{space}b c")]
+    docs = [(1, f"x{space}y {space} z{space}{space}t " + " ".join(run) + f" q{space}r"),  # a run of just 13 words behind them
+            (2, " ".join(f"v{i}{space}u" for i in range(7)) + " end"),  # 7 words that would be 14 pieces
+            (3, "so " + items[1][1] + f" p{space}q"), (4, f"k a{space}b c d"), (5, "a b c")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = contamination(d, spark.createDataFrame(items, "item_id long, text string")).drop("text_hash").collect()
+    assert {tuple(r) for r in got} == brute(docs, items)
+
+
 def test_drop_keeps_rows_and_columns(spark, case):
     docs, items = case
     d = spark.createDataFrame([(i, t, "z", 3) for i, t in docs], "doc_id long, text string, _id string, _text int")
