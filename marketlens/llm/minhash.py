@@ -235,9 +235,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     a, b = (sig.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     pairs = members.where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = cut(pairs.join(b, "b").join(a, "a").where(estimate("sig_a", "sig_b") >= percent / 100 - MARGIN).select("a", "b"), "pairs")
-    parts = components(_confirm(likely, docs, k, percent).unionByName(copies.select("a", "b")))
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # a linked doc_id may be repeated without words
+    parts = components(_confirm(likely, worded, k, percent).unionByName(copies.select("a", "b")))
     # what the buckets' smallest classes do not reach
-    more = _links_across(members, sig, parts, docs, k, percent)
+    more = _links_across(members, sig, parts, worded, k, percent)
     parts = components(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     parts = parts.withColumnRenamed("id", "doc_id")
     return (sets.select("doc_id", "n_shingles").join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -72,6 +72,13 @@ def test_deduplicate_keeps_one_of_each_group(spark, docs):
     assert sorted(set(got)) == want and len(got) == len(want) + 1  # both rows without an id stay
 
 
+def test_linked_ids_repeated_without_words(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (1, None), (2, ""), (1, ""), (2, " \t"), (3, "other words stand here")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 7 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(none).count() == 0 and minhash.deduplicate(none).count() == 0
