@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontam, licenses, minhash, packing, quality, secrets, tokenfile, toxicity, vectorgraph, warc
+from marketlens.llm import decontam, licenses, minhash, packing, periodic, quality, secrets, tokenfile, toxicity, vectorgraph, warc
 from marketlens.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def planted_period(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """The repetition that the contract of operator 11 puts into every tenth text or so."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+@query("op11_dyadic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.find_runs(table(spark, sf_dir, "documents"), planted_period))
