@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontam, licenses, minhash, packing, periodic, quality, secrets, tokenfile, toxicity, vectorgraph, warc
+from marketlens.llm import decontam, licenses, minhash, packing, periodic, quality, secrets, tokenfile, toxicity, variants, vectorgraph, warc
 from marketlens.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,26 @@ def planted_period(doc_id: int | None, n: int) -> tuple[int, int] | None:
 @query("op11_dyadic_runs")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.find_runs(table(spark, sf_dir, "documents"), planted_period))
+
+
+# crc32 is no DuckDB function: its table from the generator polynomial, then one step a byte (here latin runs only).
+OP12_SQL = """
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::UINTEGER], [0::UINTEGER FOR _ IN range(8)]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256))::UINTEGER AS i))),
+runs AS (SELECT translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, doc_id, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS x FROM documents) GROUP BY ALL),
+bytes AS (SELECT run, doc_id, c, unhex(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run))) AS b FROM runs WHERE length(run) >= 6),
+h AS (SELECT run, c, xor(list_reduce(list_concat([4294967295::UINTEGER], list_transform(range(octet_length(b)), lambda j: ('0x' || substr(hex(b), 2 * j::INT + 1, 2))::UINTEGER)), lambda a, y: xor(a >> 8, t[xor(a, y) % 256 + 1])), 4294967295::UINTEGER) AS h FROM bytes, t),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+near AS (SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.p = b.p AND a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, v.word FROM k JOIN v ON v.word = k.p || k.s UNION SELECT v.word, k.word FROM k JOIN v ON v.word = k.p || k.s),
+g AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY v.n DESC, encode(b)) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = b GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN g USING (word)),
+r AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, r.next, f.form FROM r JOIN f ON f.word = r.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL
+"""
+
+
+@query("op12_trie_pair_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.count_words(table(spark, sf_dir, "documents"), misspell=199))
