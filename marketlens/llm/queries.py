@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontam, licenses, minhash, packing, periodic, quality, secrets, tokenfile, toxicity, variants, vectorgraph, warc
+from marketlens.llm import decontam, licenses, minhash, packing, periodic, quality, sanitise, secrets, tokenfile, toxicity, variants, vectorgraph, warc
 from marketlens.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word AN
 @query("op12_trie_pair_variants", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.count_words(table(spark, sf_dir, "documents"), misspell=199))
+
+
+@query("op13_disclosure_sanitisation")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.private_digests(sanitise.find_private(table(spark, sf_dir, "documents")))

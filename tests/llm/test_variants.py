@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import variants
 from marketlens.llm.queries import ORACLES, QUERIES
-from tests.oracle_util import duck, multiset
+from oracle_util import duck
 
 SF001 = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
