@@ -254,9 +254,9 @@ def _located(docs: DataFrame, text: str, bitmap: np.ndarray) -> DataFrame:
     return docs.mapInArrow(read, f"{names}, _base {SPANS}, _maybe {SPANS}")
 
 
-def _with_spans(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """The rows with ``_base`` and ``_terms`` spans: places of exactly the disclosing terms."""
-    rows = cut(_located(docs, text, _bitmap(terms)).withColumn("_row", F.monotonically_increasing_id()), "private")
+def _with_spans(docs: DataFrame, text: str, terms: DataFrame, *unused: str) -> DataFrame:
+    """The rows, without some columns, with ``_base`` and ``_terms`` spans: places of exactly the disclosing terms."""
+    rows = cut(_located(docs, text, _bitmap(terms)).drop(*unused).withColumn("_row", F.monotonically_increasing_id()), "private")
     keys = terms.select(F.concat(F.lit(f"{TERM}:"), "term").alias("key")).distinct()
     sure = (rows.select("_row", F.explode("_maybe").alias("s")).select("_row", "s.*").join(keys, "key", "left_semi")
             .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "key"))).alias("t")))
@@ -271,7 +271,7 @@ def find_private(docs: DataFrame, **thresholds) -> DataFrame:
     disclosing terms; each by start).  Offsets count code points, ends are exclusive."""
     terms, _ = disclosing_terms(docs, **thresholds)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _with_spans(own, "text", terms)
+    found = _with_spans(own, "text", terms, "text")
     return found.select("doc_id", F.transform(F.concat("_base", "_terms"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
