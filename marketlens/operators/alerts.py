@@ -11,12 +11,10 @@ without conditions fires at once, like Python's ``all([])``).
   condition side skewed, which AQE's skew join splits).
 * ``first_trigger`` (L4) replays a state *timeline* and returns the first
   instant at which each alert holds (the one-shot latch).  It never pairs
-  every condition with every update: a threshold condition changes truth only
-  when its series crosses the threshold, so each update is ranked against
-  the sorted thresholds of its (symbol, field) and only the actual crossings
-  are emitted and joined to the conditions (equi-join on the threshold's
-  rank).  A running sum of +1/-1 per alert then reaches the number of
-  conditions exactly when all hold.
+  conditions with updates: the peaks of each (symbol, axis) per time bucket
+  give each condition's first passage, by the running maximum; only in
+  buckets where all conditions of an alert have a peak above their thresholds are the
+  instants looked at, all alerts of a bucket on one copy of its rows.
 """
 
 from __future__ import annotations
@@ -24,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.frames import (DEFAULT_BLOCK_ROWS, block_window, drop_blocks,
-                                         running_total, with_row_blocks)
+from marketlens.operators.frames import DEFAULT_BLOCK_ROWS, block_window, drop_blocks, with_row_blocks
 from marketlens.operators.indicators import REACH, enrich
 
 # Condition types of the evaluator -> (state field, comparison).
@@ -167,15 +164,44 @@ _AXES = {
 }
 
 
-def _axis_value(field: str, op: str, pre: str = "") -> Column:
-    c = lambda f: F.col(pre + f)
-    if field == "band_up":
-        v = c("price") - c("bollinger_upper") * 0.99
-    elif field == "band_low":
-        v = c("bollinger_lower") * 1.01 - c("price")
-    else:
-        v = c(field)
-    return -v if op == "<" else v
+#: The state columns that the axes are made of, by name.
+AXIS_BASES = {
+    "price": lambda s: s["price"], "volatility": lambda s: s["volatility"], "volume": lambda s: s["volume"],
+    "rsi": lambda s: s["rsi"], "macd": lambda s: s["macd"],
+    "band_up": lambda s: s["price"] - s["bollinger_upper"] * 0.99,
+    "band_low": lambda s: s["bollinger_lower"] * 1.01 - s["price"],
+}
+
+
+def _axes(volatility_below: bool) -> dict:
+    return _AXES | ({"volatility_below": (*VOLATILITY_BELOW, None)} if volatility_below else {})
+
+
+def threshold_conditions(alerts: DataFrame, volatility_below: bool = False) -> DataFrame:
+    """``(id, n, cond_idx, symbol, fkey, y)``: each condition as the test ``u > y`` (or
+    ``>=``) on the axis ``fkey`` of its symbol, the name of a base column and
+    the comparison.  Conditions that can never hold (unknown type, a threshold that
+    is no number) are left out."""
+    axes = _axes(volatility_below)
+    fkey_of = F.create_map(*[x for k, (base, op, _) in axes.items() for x in (F.lit(k), F.lit(base + op))])
+    fixed_y = F.create_map(*[x for k, (_, _, y) in axes.items() if y is not None for x in (F.lit(k), F.lit(y))])
+    c = explode_conditions(alerts).select(
+        "id", F.col("n_conditions").alias("n"), "cond_idx", F.col("cond.symbol").alias("symbol"),
+        F.col("cond.type").alias("type"), F.col("cond.threshold").alias("thr"), fkey_of[F.col("cond.type")].alias("fkey"))
+    x = _threshold(F.col("thr"))
+    y = F.coalesce(fixed_y[F.col("type")], F.when(F.col("fkey").endswith("<"), -x).otherwise(x))
+    return (c.filter(F.col("fkey").isNotNull() & F.col("symbol").isNotNull()).withColumn("y", y)
+             .filter(F.col("y").isNotNull() & ~F.isnan("y")).select("id", "n", "cond_idx", "symbol", "fkey", "y"))
+
+
+def axis_keys(volatility_below: bool = False) -> list[str]:
+    return list(dict.fromkeys(base + op for base, op, _ in _axes(volatility_below).values()))
+
+
+def axis_value(fkey: str, state: dict[str, Column]) -> Column:
+    """An axis of a state (field -> column)."""
+    value = AXIS_BASES[fkey.rstrip("<>=")](state)
+    return -value if fkey.endswith("<") else value
 
 
 def _previous() -> list[Column]:
@@ -185,105 +211,136 @@ def _previous() -> list[Column]:
             F.coalesce(F.lag(F.lit(True)).over(bw), F.lit(False)).alias("prev_known")]
 
 
+def _first_passage(conds: DataFrame, peaks: DataFrame) -> DataFrame:
+    """``conds`` with ``first``: the first bucket whose peak passes the threshold.
+
+    A series' running maximum grows with time, so its *records* (buckets whose peak
+    is above all before) are in one order by time and by value, and the first
+    passage of a threshold is the least record above it.  Records and
+    thresholds are matched in value order, by ranges of the value: inside each
+    range by one running pass, from the next range with a record otherwise."""
+    before = F.max("peak").over(Window.partitionBy("symbol", "fkey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    records = (peaks.withColumn("before", before).filter(F.col("before").isNull() | (F.col("peak") > F.col("before")))
+               .select("symbol", "fkey", F.col("peak").alias("y"), "bucket"))
+    both = conds.withColumn("bucket", F.lit(None).cast(peaks.schema["bucket"].dataType)).unionByName(records, allowMissingColumns=True)
+    # grows with the value: ranges of a few thousandths of it
+    both = both.withColumn("_range", F.floor(F.signum("y") * F.log1p(F.abs("y")) * 256))
+    # a record that equals a threshold passes it only where the test is '>='
+    tie = F.when(F.col("bucket").isNull() == F.col("fkey").endswith(">="), 1).otherwise(0)
+    inside = Window.partitionBy("symbol", "fkey", "_range").orderBy(F.desc("y"), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy("symbol", "fkey").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (both.groupBy("symbol", "fkey", "_range").agg(F.min("bucket").alias("_least"))
+              .select("symbol", "fkey", "_range", F.last("_least", ignorenulls=True).over(above).alias("_next")))
+    own = both.withColumn("_own", F.last("bucket", ignorenulls=True).over(inside)).filter(F.col("id").isNotNull())
+    return own.join(ranges, ["symbol", "fkey", "_range"]).select(*conds.columns, F.coalesce("_own", "_next").alias("first"))
+
+
+def _check_bucket(pairs, rows):
+    """The first instant of a bucket at which all conditions of an alert hold, for
+    each alert (id, symbols, bases, signs, strict, ys) on the bucket's rows.  Rows
+    with ``carry`` hold the state of a symbol without any update in the bucket."""
+    import numpy as np
+    import pandas as pd
+
+    rows = rows.sort_values(["ts", "event_id"], kind="stable", na_position="first")
+    updates = rows[~rows["carry"]]
+    instants = updates[["ts", "event_id"]].drop_duplicates()
+    rows["at"] = -1
+    rows.loc[~rows["carry"], "at"] = updates.groupby(["ts", "event_id"], sort=False, dropna=False).ngroup()
+    by_symbol = dict(list(rows.groupby("symbol", sort=False)))
+    found = []
+    for own, alerts in pairs.groupby(pairs["symbols"].map(lambda s: tuple(sorted(set(s)))), sort=False):
+        states = {s: by_symbol[s] for s in own if s in by_symbol}
+        if len(states) < len(own):
+            continue  # a symbol without any state yet
+        # the alerts' instants, and for each symbol the row that is valid at each of them
+        at = np.unique(np.concatenate([x["at"].to_numpy() for x in states.values()]))
+        at = at[at >= 0]
+        valid = {s: np.searchsorted(x["at"].to_numpy(), at, side="right") - 1 for s, x in states.items()}
+        values = {}
+
+        def series(symbol, base):
+            if (symbol, base) not in values:
+                x, place = states[symbol], valid[symbol]
+                before = x["was_" + base].iloc[0]
+                values[symbol, base] = np.where(place >= 0, x[base].to_numpy(float)[np.maximum(place, 0)], np.nan if before is None else before)
+            return values[symbol, base]
+
+        for a in alerts.itertuples(index=False):
+            held = np.ones(len(at), bool)
+            for symbol, base, sign, strict, y in zip(a.symbols, a.bases, a.signs, a.strict, a.ys, strict=True):
+                u = sign * series(symbol, base)
+                held &= (u > y) if strict else (u >= y)
+            if held.any():
+                found.append((a.id, int(at[held.argmax()])))
+    where = instants.iloc[[i for _, i in found]]
+    return pd.DataFrame({"id": np.array([i for i, _ in found], object), "ts": where["ts"].to_numpy(), "event_id": where["event_id"].to_numpy()})
+
+
+PER_TASK = 50_000      # alerts that one task looks at together
+
+
 def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = False,
-                  volatility_below: bool = False, block_rows=DEFAULT_BLOCK_ROWS) -> DataFrame:
+                  volatility_below: bool = False, block_rows=DEFAULT_BLOCK_ROWS, bucket: str = "hour") -> DataFrame:
     """L4: first ``(ts, event_id)`` at which all conditions of each active
     alert hold simultaneously; later instants are ignored (one-shot).
 
     ``timeline``: ``symbol, ts, event_id`` + ``STATE_FIELDS`` (+ ``prev_*`` and
     ``prev_known``, the state before the update; computed here when absent) – see
-    ``state_timeline``.  The state of a symbol between its updates is its
+    ``state_timeline``.  It is read three times, so pass a written table where it
+    is dear.  The state of a symbol between its updates is its
     last update; before its first update the symbol is unknown (conditions
-    false).  Returns ``id, name, email, trigger_ts, trigger_event_id``.
+    false).  ``bucket``: the time unit whose rows one task looks at; it changes no value.
+    Returns ``id, name, email, trigger_ts, trigger_event_id``.
     """
     active = alerts.filter(~F.coalesce(F.col("triggered"), F.lit(False)))
-    conds = explode_conditions(active)
+    need = active.select("id", "name", "email", F.size("conditions").alias("n"))
+    conds = threshold_conditions(active, volatility_below)
     order = ["ts", "event_id"]
     if not all(c in timeline.columns for c in ["prev_known", *("prev_" + f for f in STATE_FIELDS)]):
         b = with_row_blocks(timeline.drop("prev_known", *("prev_" + f for f in STATE_FIELDS)),
                             keys=["symbol"], order=order, halo=1, block_rows=block_rows)
         timeline = drop_blocks(b.select("*", *_previous()))
     zd = (lambda c: F.coalesce(c, F.lit(0.0))) if zero_default else (lambda c: c)
+    now = {f: zd(F.col(f)) for f in STATE_FIELDS}
     # before its first update a symbol is unknown, not zero
-    was = lambda f: F.when(F.col("prev_known"), zd(F.col("prev_" + f)))
-    tl = timeline.select("symbol", *order,
-                         *[zd(F.col(f)).alias(f) for f in STATE_FIELDS],
-                         *[was(f).alias("prev_" + f) for f in STATE_FIELDS])
-
-    axes = dict(_AXES)
-    if volatility_below:
-        axes["volatility_below"] = ("volatility", "<", None)
-    fkey_of = F.create_map(*[x for k, (fld, op, _) in axes.items()
-                             for x in (F.lit(k), F.lit(fld + op))])
-    fixed_y = F.create_map(*[x for k, (_, _, y) in axes.items() if y is not None
-                             for x in (F.lit(k), F.lit(y))])
-    c = conds.select("id", "cond_idx", F.col("cond.symbol").alias("symbol"),
-                     F.col("cond.type").alias("type"), F.col("cond.threshold").alias("thr"),
-                     fkey_of[F.col("cond.type")].alias("fkey"))
-    x = _threshold(F.col("thr"))
-    y = F.coalesce(fixed_y[F.col("type")],
-                   F.when(F.col("fkey").endswith("<") & ~F.col("fkey").endswith("<="), -x)
-                    .otherwise(x))
-    # conditions that can ever hold: known type, parsable threshold
-    tc = c.filter(F.col("fkey").isNotNull()).withColumn("y", y).filter(F.col("y").isNotNull())
-
-    # distinct thresholds per (symbol, axis), ranked; the sorted list is one
-    # small row per (symbol, axis) of the alert registry
-    ranks = (tc.select("symbol", "fkey", "y").distinct()
-               .withColumn("j", F.row_number().over(
-                   Window.partitionBy("symbol", "fkey").orderBy("y"))))
-    # sorted thresholds per (symbol, axis) with every K-th one as a bucket
-    # start, K ~ sqrt(m): a level lookup costs O(sqrt(m)), not O(m)
-    levels = ranks.groupBy("symbol", "fkey").agg(F.array_sort(F.collect_list("y")).alias("ys"))
-    levels = levels.withColumn("K", F.greatest(F.lit(16), F.ceil(F.sqrt(F.size("ys"))).cast("int")))
-    levels = levels.withColumn("bounds", F.filter("ys", lambda yy, i: i % F.col("K") == 0))
-
-    # per update and axis: level L (thresholds the value passes) now, P before
-    keys = list(dict.fromkeys(fld + op for fld, op, _ in axes.values()))
-    # only the axes that the registry tests for the symbol (at most one per type)
-    used = tc.groupBy("symbol").agg(F.collect_set("fkey").alias("_used"))
-    on = lambda k: F.array_contains("_used", k)
-    long_tl = tl.join(used, "symbol").select("symbol", *order, F.explode(F.array_compact(F.array(*[
-        F.when(on(k), F.struct(F.lit(k).alias("fkey"),
-                               _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):]).alias("u"),
-                               _axis_value(k.rstrip("<>="), k[len(k.rstrip("<>=")):], "prev_").alias("pu")))
-        for k in keys]))).alias("v")).select("symbol", *order, "v.fkey", "v.u", "v.pu")
-    # an unchanged value (or NULL before and after) cannot cross a threshold
-    long_tl = long_tl.filter(~F.col("u").eqNullSafe(F.col("pu")))
-
-    def count_below(u, le):
-        below = (lambda yy: yy <= u) if le else (lambda yy: yy < u)
-        i = F.size(F.filter("bounds", below))          # buckets starting below u
-        k = F.col("K")
-        inside = F.size(F.filter(F.slice("ys", (i - 1) * k + 1, k), below))
-        return F.when(i == 0, F.lit(0)).otherwise((i - 1) * k + inside)
-
-    def level(u):
-        return F.when(u.isNull(), F.lit(0)).when(F.col("fkey").endswith(">="),
-                                                 count_below(u, True)) \
-                .otherwise(count_below(u, False))
-    lv = long_tl.join(levels, ["symbol", "fkey"], "inner").select(
-        "symbol", "fkey", *order, level(F.col("u")).alias("L"), level(F.col("pu")).alias("P"))
-    flips = lv.filter(F.col("L") != F.col("P")).select(
-        "symbol", "fkey", *order,
-        F.explode(F.sequence(F.least("L", "P") + 1, F.greatest("L", "P"))).alias("j"),
-        F.when(F.col("L") > F.col("P"), 1).otherwise(-1).alias("delta"))
-    deltas = (flips.join(ranks, ["symbol", "fkey", "j"], "inner")
-                   .join(tc.select("id", "cond_idx", "symbol", "fkey", "y"),
-                         ["symbol", "fkey", "y"], "inner")
-                   .select("id", "cond_idx", *order, "delta"))
-
-    # running count of held conditions per alert: a chunked prefix sum, so
-    # an alert whose conditions flip on every update of a hot symbol is still
-    # spread over many tasks
-    need = active.select("id", "name", "email", F.size("conditions").alias("n"))
-    run = running_total(deltas, ["id"], order, "delta", "held") \
-        .join(need.select("id", "n"), "id")
-    hits = run.filter(F.col("held") == F.col("n")).groupBy("id").agg(
-        F.min(F.struct(*order)).alias("first"))
-    fired = hits.join(need, "id").select("id", "name", "email",
-                                         F.col("first.ts").alias("trigger_ts"),
-                                         F.col("first.event_id").alias("trigger_event_id"))
+    was = {f: F.when(F.col("prev_known"), zd(F.col("prev_" + f))) for f in STATE_FIELDS}
+    time = timeline.schema["ts"].dataType
+    floor = F.lit("0001-01-01 00:00:00").cast(time)     # rows without a time come first
+    tl = timeline.withColumn("bucket", F.coalesce(F.date_trunc(bucket, "ts").cast(time), floor))
+
+    # the highest value of each axis in each bucket, the one it begins with included
+    keys = axis_keys(volatility_below)
+    wide = tl.groupBy("symbol", "bucket").agg(*[F.max(F.greatest(axis_value(k, now), axis_value(k, was))).alias(k) for k in keys])
+    peaks = (wide.select("symbol", "bucket", F.explode(F.array(*[F.struct(F.lit(k).alias("fkey"), F.col(f"`{k}`").alias("peak")) for k in keys])).alias("a"))
+             .select("symbol", "bucket", "a.*").filter(F.col("peak").isNotNull()))
+
+    # no alert holds before the last first passage of its conditions; one with a
+    # single condition holds right there, others perhaps, or in a later bucket in
+    # which each condition holds at some time (a symbol without an update there
+    # keeps its state, which the task looks at)
+    own = Window.partitionBy("id")
+    test = F.struct("symbol", F.rtrim("fkey", F.lit("<>=")).alias("base"), F.when(F.col("fkey").endswith("<"), -1.0).otherwise(1.0).alias("sign"),
+                    (~F.col("fkey").endswith("=")).alias("strict"), "y")
+    passed = (_first_passage(conds, peaks).withColumns({"start": F.max("first").over(own), "passed": F.count("first").over(own), "tests": F.collect_list(test).over(own)})
+              .filter(F.col("passed") == F.col("n")))
+    holds = (F.col("peak") > F.col("y")) | (F.col("fkey").endswith("=") & (F.col("peak") == F.col("y")))
+    pairs = (passed.join(peaks, ["symbol", "fkey"]).filter((F.col("bucket") == F.col("start")) | ((F.col("n") > 1) & (F.col("bucket") > F.col("start"))))
+             .groupBy("id", "bucket").agg(F.bool_and(holds).alias("may"), F.first("tests").alias("c")).filter("may"))
+    slices = F.greatest(need.agg(F.ceil(F.count("*") / PER_TASK).cast("int")).scalar(), F.lit(1))
+    tests = pairs.select("bucket", F.pmod(F.hash("id"), slices).alias("slice"), "id", *[
+        F.col(f"c.{a}").alias(b) for a, b in (("symbol", "symbols"), ("base", "bases"), ("sign", "signs"), ("strict", "strict"), ("y", "ys"))])
+
+    bases = [f(now).alias(k) for k, f in AXIS_BASES.items()]
+    state = tl.select("symbol", "bucket", *order, F.lit(False).alias("carry"), *bases, *[f(was).alias("was_" + k) for k, f in AXIS_BASES.items()])
+    rows = state.unionByName(_carried(conds, tl.select("symbol", "bucket", *order, *bases), bucket, floor), allowMissingColumns=True)
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    kinds = {c: timeline.schema[c].dataType.simpleString() for c in order}
+    hits = (tests.groupBy("bucket", "slice").cogroup(rows.groupBy("bucket", "slice"))
+            .applyInPandas(lambda pairs, rows: _check_bucket(pairs, rows), f"id string, ts {kinds['ts']}, event_id {kinds['event_id']}"))
+    early = hits.groupBy("id").agg(F.min(F.struct(*order)).alias("first"))
+    fired = early.join(need, "id").select("id", "name", "email", F.col("first.ts").alias("trigger_ts"),
+                                          F.col("first.event_id").alias("trigger_event_id"))
     # zero-condition alerts fire at the first instant of the timeline
     first_any = timeline.select(*order).agg(F.min(F.struct(*order)).alias("f"))
     zero = need.filter(F.col("n") <= 0).select(
@@ -292,6 +349,23 @@ def first_trigger(alerts: DataFrame, timeline: DataFrame, zero_default: bool = F
     return fired.unionByName(zero)
 
 
+def _carried(conds: DataFrame, state: DataFrame, bucket: str, floor: Column) -> DataFrame:
+    """The state of each symbol in each bucket in which it has no update, for the
+    symbols of alerts that name several: such an alert can hold by another symbol's update."""
+    several = conds.groupBy("id").agg(F.min("symbol").alias("a"), F.max("symbol").alias("b")).filter("a < b").select("id")
+    symbols = conds.join(several, "id", "left_semi").select("symbol").distinct()
+    last = (state.join(symbols, "symbol", "left_semi").groupBy("symbol", "bucket")
+            .agg(F.max_by(F.struct(*AXIS_BASES), F.struct("ts", "event_id")).alias("s")))
+    ends = state.agg(F.struct(F.min("ts"), F.max("ts")).alias("e"))
+    lowest, highest = (F.date_trunc(bucket, ends.select(f"e.col{i}").scalar()).cast(state.schema["bucket"].dataType) for i in (1, 2))
+    unit = F.expr(f"interval 1 {bucket}")
+    after = F.when(F.col("bucket") == floor, lowest).otherwise(F.col("bucket") + unit)
+    following = F.lead("bucket").over(Window.partitionBy("symbol").orderBy("bucket"))
+    ranges = last.withColumn("following", following).withColumns({"after": after, "until": F.coalesce("following", highest + unit) - unit})
+    gaps = ranges.filter("after <= until").select("symbol", "s", F.explode(F.sequence("after", "until", unit)).alias("bucket"))
+    return gaps.select("symbol", "bucket", F.lit(True).alias("carry"), "s.*")
+
+
 def running_window_stats(t: DataFrame, stats_width: str = "5 minutes",
                          chunk: str = "1 minute") -> DataFrame:
     """Running trade count (``volume``) and sample stddev (``volatility``) of

@@ -20,6 +20,7 @@ from marketlens.plans.common import TRADES_CTE, load_trades, r6
 from marketlens.plans.q_indicators import _ind_cte, _W
 from marketlens.plans.registry import register
 from marketlens.schemas import CONDITION
+from marketlens.session import scratch_dir
 
 # ------------------------------------------------------------------ rules
 
@@ -209,9 +210,20 @@ _MET_SQL = """CASE
       ELSE FALSE END, FALSE) END"""
 
 
+BUCKET = "day"     # of first_trigger: the tables hold a few updates an hour
+
+
+def _written(spark, df, name):
+    """``df`` as a table below the shared checkpoint folder: read more than once, made once."""
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _timeline(spark, sf_dir):
+    """The derived registry and the state timeline, both written."""
     t = load_trades(spark, sf_dir)
-    return t, al.state_timeline(t)
+    return _written(spark, derive_alerts(t), "registry"), _written(spark, al.state_timeline(t), "timeline")
 
 
 @register("evaluate_alerts", f"""
@@ -253,8 +265,8 @@ held AS (SELECT id, name, its, iev FROM metd GROUP BY id, name, its, iev HAVING
 SELECT id, name, arg_min(its, its) AS trigger_ts, arg_min(iev, its) AS trigger_event_id
 FROM held GROUP BY id, name""")
 def q_first_trigger(spark, sf_dir):
-    t, tl = _timeline(spark, sf_dir)
-    out = al.first_trigger(derive_alerts(t), tl)
+    alerts, tl = _timeline(spark, sf_dir)
+    out = al.first_trigger(alerts, tl, bucket=BUCKET)
     return out.select("id", "name", "trigger_ts", "trigger_event_id")
 
 
@@ -285,8 +297,8 @@ WITH {_FIRST_SQL.replace('inst AS', _ZERO_TL, 1).replace('tl st', 'tl0 st')}
 SELECT id, name, trigger_ts, trigger_event_id FROM fired""")
 def q_first_trigger_zero(spark, sf_dir):
     """L4 with missing state values read as 0."""
-    t, tl = _timeline(spark, sf_dir)
-    out = al.first_trigger(derive_alerts(t), tl, zero_default=True)
+    alerts, tl = _timeline(spark, sf_dir)
+    out = al.first_trigger(alerts, tl, zero_default=True, bucket=BUCKET)
     return out.select("id", "name", "trigger_ts", "trigger_event_id")
 
 
@@ -303,9 +315,8 @@ SELECT 'alert_triggered' AS type, f.id AS alert_id, f.name AS alert_name, 'trigg
        {_MAIL_SQL} AS body
 FROM fired f LEFT JOIN txt ON f.id = txt.id""")
 def q_trigger_notices(spark, sf_dir):
-    t, tl = _timeline(spark, sf_dir)
-    alerts = derive_alerts(t)
-    return al.trigger_notices(al.first_trigger(alerts, tl), alerts)
+    alerts, tl = _timeline(spark, sf_dir)
+    return al.trigger_notices(al.first_trigger(alerts, tl, bucket=BUCKET), alerts)
 
 
 @register("alert_status", f"""
@@ -316,9 +327,8 @@ SELECT ids.id, ids.name, ids.email,
        f.id IS NOT NULL AS triggered
 FROM ids LEFT JOIN fired f ON ids.id = f.id""")
 def q_alert_status(spark, sf_dir):
-    t, tl = _timeline(spark, sf_dir)
-    alerts = derive_alerts(t)
-    return al.alert_status(alerts, al.first_trigger(alerts, tl))
+    alerts, tl = _timeline(spark, sf_dir)
+    return al.alert_status(alerts, al.first_trigger(alerts, tl, bucket=BUCKET))
 
 
 _REG_SQL = f"""{TRADES_CTE},

@@ -25,9 +25,13 @@ from marketlens.streaming import jobs, sinks, stateful
 NOW = {"availableNow": True}
 
 
-def _stream(spark, path: str):
-    """The files of a Parquet table as a file stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+FILES = 10     # bounded files of a replay, one micro-batch each
+
+
+def _stream(spark, path: str, files: int | None = None):
+    """The files of a Parquet table as a file stream, ``files`` a micro-batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def _trade_stream(spark, sf_dir):
@@ -37,6 +41,34 @@ def _trade_stream(spark, sf_dir):
     return trades_from_events(_stream(spark, path))
 
 
+class _Replay:
+    """A table as a folder of ``files`` bounded files that arrive in the order of
+    ``order``, some of them only after a first run: ``arrive`` writes the next ones."""
+
+    def __init__(self, df, order: list[str], files: int = FILES):
+        self.spark, self.files, self.written = df.sparkSession, files, 0
+        self.path, staged = scratch_dir(self.spark, "replay"), scratch_dir(self.spark, "staged")
+        # range parts, so a file holds a stretch of time, whatever the symbols
+        df.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn("_file", F.spark_partition_id()).write.parquet(staged)
+        self.staged = self.spark.read.parquet(staged)
+        self.schema = df.schema
+
+    def arrive(self, n: int) -> None:
+        # a file source goes by the files' times: one after another
+        for k in range(self.written, min(self.files, self.written + n)):
+            self.staged.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(self.path)
+        self.written += n
+
+    def stream(self):
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.path)
+
+    def run(self, start) -> None:
+        """Starts the query on half the files, stops, and goes on from its checkpoint with the rest."""
+        for n in (self.files // 2, self.files - self.files // 2):
+            self.arrive(n)
+            start(self.stream()).awaitTermination()
+
+
 def _sink(spark, fmt: str = "parquet") -> sinks.SinkConfig:
     out = scratch_dir(spark, "out")
     return sinks.SinkConfig(format=fmt, path=out + "/table", checkpoint=out + "/checkpoint", trigger=NOW)
@@ -89,31 +121,58 @@ def q_stream_arbitrage(spark, sf_dir):
     return r6(out.select("symbol", "window_start", "window_end", "buy_exchange", "sell_exchange", *_FL), _FL)
 
 
-@register("stream_indicators", f"""
+_IND_SQL = f"""
 WITH {_ind_cte()}
 SELECT event_id, symbol, price, {_round_sql(['rsi', 'macd_line', 'signal_line', 'macd_histogram', 'upper_band', 'lower_band', 'bb_position'])}
-FROM e WHERE price IS NOT NULL""")
-def q_stream_indicators(spark, sf_dir):
-    """Indicators of a stream of ticks."""
-    cfg = _sink(spark)
-    ticks = _trade_stream(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp").alias("timestamp"), "event_id", "price")
-    sinks._start(stateful.stream_indicators(ticks), cfg, "append", "indicators").awaitTermination()
+FROM e WHERE price IS NOT NULL"""
+
+
+def _ticks(trades):
+    return trades.select("symbol", F.col("ts").cast("timestamp").alias("timestamp"), "event_id", "price")
+
+
+def _rounded_indicators(df):
     cols = [c for c in INDICATOR_COLUMNS if c in ("rsi", "macd_line", "signal_line", "macd_histogram", "upper_band", "lower_band", "bb_position")]
-    out = r6(spark.read.parquet(cfg.path).select("event_id", "symbol", "price", *cols), cols)
+    out = r6(df.select("event_id", "symbol", "price", *cols), cols)
     # numpy's means may leave a negative zero where an exact zero is due
     return out.withColumns({c: F.col(c) + F.lit(0.0) for c in cols})
 
 
+@register("stream_indicators", _IND_SQL)
+def q_stream_indicators(spark, sf_dir):
+    """Indicators of a stream of ticks, ten bounded files, stopped and restarted after half of them."""
+    cfg = _sink(spark)
+    replay = _Replay(_ticks(load_trades(spark, sf_dir)), ["timestamp", "event_id"])
+    replay.run(lambda ticks: sinks._start(stateful.stream_indicators(ticks), cfg, "append", "indicators"))
+    return _rounded_indicators(spark.read.parquet(cfg.path))
+
+
+@register("stream_indicators_watermark", _IND_SQL + " AND ts < (SELECT max(ts) FROM trades) - INTERVAL '2 days'")
+def q_stream_indicators_watermark(spark, sf_dir):
+    """T9 with a watermark: every file is out of order (by event id inside a day), and
+    so are neighbouring files; closed minutes come out as in the batch."""
+    cfg = _sink(spark)
+    ticks = _ticks(load_trades(spark, sf_dir))
+    # shuffled within each day: files arrive by day, then by a hash of the id
+    mixed = ticks.withColumns({"_day": F.date_trunc("day", "timestamp"), "_mix": F.xxhash64("event_id")})
+    replay = _Replay(mixed, ["_day", "_mix"])
+    replay.run(lambda s: sinks._start(stateful.stream_indicators(s.drop("_day", "_mix"), watermark="1 day", slot_ms=6 * 3_600_000), cfg, "append", "indicators"))
+    last = ticks.agg(F.max("timestamp")).select(F.col("max(timestamp)") - F.expr("interval 2 days")).scalar()
+    return _rounded_indicators(spark.read.parquet(cfg.path).where(F.col("timestamp") < last))
+
+
 @register("stream_alert_latch", f"""
 WITH {_FIRST_SQL}
-SELECT id, trigger_ts, trigger_event_id FROM fired WHERE id NOT IN (SELECT id FROM conds WHERE n = 0)""")
+SELECT id, trigger_ts, trigger_event_id FROM fired""")
 def q_stream_latch(spark, sf_dir):
-    """First triggers on a stream of state updates (alerts with conditions)."""
-    t = load_trades(spark, sf_dir)
-    path, cfg = scratch_dir(spark, "updates"), _sink(spark)
-    al.state_timeline(t).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", *al.STATE_FIELDS).write.parquet(path)
-    fired = stateful.stream_alert_latch(_stream(spark, path), derive_alerts(t))
-    sinks._start(fired, cfg, "append", "latch").awaitTermination()
+    """First triggers on a stream of state updates, several micro-batches, stopped
+    and restarted on the way."""
+    t, cfg = load_trades(spark, sf_dir), _sink(spark)
+    updates = al.state_timeline(t).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", *al.STATE_FIELDS)
+    replay = _Replay(updates, ["ts", "event_id"], files=6)
+    alerts = scratch_dir(spark, "registry")
+    derive_alerts(t).write.parquet(alerts)
+    replay.run(lambda s: sinks._start(stateful.stream_alert_latch(s, spark.read.parquet(alerts)), cfg, "append", "latch"))
     return _utc(spark.read.parquet(cfg.path), "trigger_ts")
 
 
