@@ -21,6 +21,7 @@ from marketlens.plans.registry import register
 from marketlens.session import scratch_dir
 from marketlens.sources.tables import trades_from_events
 from marketlens.streaming import jobs, sinks, stateful
+from marketlens.streaming.progress import ProgressTotals
 
 NOW = {"availableNow": True}
 
@@ -45,12 +46,15 @@ class _Replay:
     """A table as a folder of ``files`` bounded files that arrive in the order of
     ``order``, some of them only after a first run: ``arrive`` writes the next ones."""
 
-    def __init__(self, df, order: list[str], files: int = FILES):
+    def __init__(self, df, order: list[str], files: int = FILES, part: str | None = None):
         self.spark, self.files, self.written = df.sparkSession, files, 0
         self.path, staged = scratch_dir(self.spark, "replay"), scratch_dir(self.spark, "staged")
-        # range parts, so a file holds a stretch of time, whatever the symbols
-        df.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn("_file", F.spark_partition_id()).write.parquet(staged)
+        # range parts, so a file holds a stretch of time, whatever the symbols; or one for each value of ``part``
+        parts = df.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn("_file", F.spark_partition_id() if part is None else F.col(part))
+        parts.write.parquet(staged)
         self.staged = self.spark.read.parquet(staged)
+        if part is not None:
+            self.files = self.staged.agg(F.max("_file")).first()[0] + 1
         self.schema = df.schema
 
     def arrive(self, n: int) -> None:
@@ -176,6 +180,66 @@ def q_stream_latch(spark, sf_dir):
     return _utc(spark.read.parquet(cfg.path), "trigger_ts")
 
 
+EVERY = 1000
+
+
+@register("stream_progress", f"""
+WITH {TRADES_CTE}
+SELECT count(*) AS messages, count(*) // {EVERY} AS reports, arg_max(symbol, ts) AS last_symbol, arg_max(price, ts) AS last_price FROM trades""")
+def q_stream_progress(spark, sf_dir):
+    """Message counters added up batch by batch, over a restart."""
+    cfg = _sink(spark)
+    replay = _Replay(_ticks(load_trades(spark, sf_dir)), ["timestamp", "event_id"])
+    for n in (4, FILES - 4):
+        replay.arrive(n)
+        with ProgressTotals(spark, cfg.checkpoint + "-totals", every=EVERY) as totals:
+            query = sinks._start(sinks.observe_trades(replay.stream()), cfg, "append", "progress")
+            totals.finish(totals.follow(query))
+    return totals.table().select("messages", "reports", "last_symbol", "last_price")
+
+
+@register("stream_late_rows", f"""
+WITH {TRADES_CTE},
+first AS (SELECT min(date_trunc('day', ts)) AS day FROM trades)
+SELECT count(*) AS late_rows FROM trades, first WHERE event_id % 25 = 0 AND date_diff('day', day, date_trunc('day', ts)) >= 6""")
+def q_stream_late(spark, sf_dir):
+    """Every 25th trade is sent again with a time long past, three days of trades a
+    file: all such rows are late but those of the first two files (a batch drops what
+    was late when the one before it began).  Each falls into a window of its own, so none are combined before they are counted."""
+    cfg = _sink(spark)
+    t = load_trades(spark, sf_dir).select("symbol", "ts", "event_id", "price")
+    day = t.agg(F.min(F.date_trunc("day", "ts"))).scalar()
+    arrival = F.floor(F.datediff(F.date_trunc("day", "ts"), day) / 3).cast("int")
+    again = t.where("event_id % 25 = 0").withColumns({"file": arrival, "ts": F.date_trunc("day", "ts") - F.make_dt_interval(F.lit(400), mins=F.col("event_id") * 5)})
+    sent = t.withColumn("file", arrival).unionByName(again)
+    replay = _Replay(sent.withColumn("ts", F.col("ts").cast("timestamp")), ["ts", "event_id"], part="file")
+    for n in (5, replay.files):
+        replay.arrive(n)
+        with ProgressTotals(spark, cfg.checkpoint + "-totals") as totals:
+            stats = jobs.stats_stream(replay.stream().drop("file"), ts_col="ts")
+            totals.finish(totals.follow(sinks.write_stats_stream(stats, cfg)))
+    return totals.table().select("late_rows")
+
+
+@register("stream_stats_records", f"""
+WITH {TRADES_CTE},
+{stats_cte('1 hour')}
+SELECT symbol, window_start, window_end, round(avg_price, 6) AS avg_price, min_price, max_price,
+       trade_count, round(coalesce(volatility, 0), 6) AS volatility, round(coalesce(trend, 0), 6) AS trend FROM stats""")
+def q_stream_records(spark, sf_dir):
+    """The keyed JSON records of an update-mode stream that stops and goes
+    on from its checkpoint; a window's last record is its statistics."""
+    from marketlens.schemas import STATS_MESSAGE
+    cfg = _sink(spark)
+    replay = _Replay(load_trades(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), ["ts", "event_id"])
+    replay.run(lambda s: sinks.write_stats_stream(jobs.stats_stream(s, width="1 hour", ts_col="ts"), cfg))
+    sent = spark.read.parquet(cfg.path).select("batch_id", F.from_json("value", STATS_MESSAGE).alias("m"))
+    last = sent.groupBy("m.symbol", "m.window_start").agg(F.max_by("m", "batch_id").alias("m")).select("m.*")
+    numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("avg_price", "min_price", "max_price", "volatility", "trend")}
+    out = last.withColumns(numbers | {"trade_count": F.col("trade_count").cast("long")} | {c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")})
+    return r6(_utc(out, "window_start", "window_end"), ["avg_price", "volatility", "trend"])
+
+
 @register("stream_alert_records", f"""
 WITH {TRADES_CTE},
 {stats_cte('1 hour')}

@@ -100,8 +100,8 @@ def run_arbitrage_job(spark, source: SourceConfig, sink: SinkConfig, width: str
 
 def late_rows(query) -> int:
     """Rows dropped behind the watermark in the batches whose progress the
-    query still keeps (``spark.sql.streaming.numRecentProgressUpdates``); a
-    running total needs a ``StreamingQueryListener``."""
+    query still keeps (``spark.sql.streaming.numRecentProgressUpdates``); the
+    running total over all batches and restarts is ``progress.ProgressTotals``."""
     total = 0
     for p in query.recentProgress:
         for op in p["stateOperators"] or []:

@@ -60,6 +60,10 @@ def _start(df: DataFrame, cfg: SinkConfig, mode: str, default_name: str,
         return w.start()
     if cfg.format == "memory":
         return w.format("memory").queryName(cfg.query_name or default_name).start()
+    if cfg.format in ("parquet", "json") and mode == "update":
+        # file sinks only append: a folder for each batch, which a replay replaces
+        return w.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").format(cfg.format)
+                              .save(f"{cfg.path.rstrip('/')}/batch_id={batch_id}")).start()
     if cfg.format in ("parquet", "json"):
         return w.format(cfg.format).start(cfg.path)
     raise ValueError(f"unsupported sink format {cfg.format!r}")
@@ -126,13 +130,14 @@ def fan_out_topics(t: DataFrame) -> DataFrame:
 
 
 def observe_trades(df: DataFrame, name: str = "trade_progress") -> DataFrame:
-    """Progress counters (rows seen, last symbol and price by event
-    time) attached with ``observe``; read them from
-    ``query.lastProgress['observedMetrics']`` or a StreamingQueryListener."""
+    """Progress counters (rows seen; last symbol, price and event
+    time) attached with ``observe``; ``progress.ProgressTotals`` adds them up over
+    batches and restarts."""
     ts = "timestamp" if "timestamp" in df.columns else "ts"
     return df.observe(name, F.count(F.lit(1)).alias("messages"),
                       F.max_by("symbol", ts).alias("last_symbol"),
-                      F.max_by("price", ts).alias("last_price"))
+                      F.max_by("price", ts).alias("last_price"),
+                      F.max(F.col(ts).cast("timestamp")).alias("last_time"))
 
 
 def _snapshots(spark, path: str):

@@ -321,3 +321,31 @@ def test_stream_alert_latch_out_of_order_with_watermark(spark, scratch):
     got = got[got.trigger_event_id >= 0]
     assert list(got.index) == list(exp.index)
     assert (got.trigger_event_id.values == exp.trigger_event_id.values).all()
+
+
+def test_progress_totals_over_replays_and_restarts(spark, scratch):
+    """Totals outlive the kept progress records; a batch that comes twice counts once."""
+    import datetime as dt
+    from types import SimpleNamespace
+    from marketlens.streaming.progress import ProgressTotals
+
+    folder = os.path.join(scratch, "totals")
+
+    def event(batch, messages, late, symbol=None, at=None, run="r1"):
+        own = {"messages": messages, "last_symbol": symbol, "last_price": 1.5, "last_time": at}
+        return SimpleNamespace(progress=SimpleNamespace(batchId=batch, runId=run, observedMetrics={"trade_progress": own}, stateOperators=[SimpleNamespace(numRowsDroppedByWatermark=late)]))
+
+    day = dt.datetime(2024, 1, 1)
+    seen = []
+    totals = ProgressTotals(spark, folder, every=100, report=seen.append)
+    totals.onQueryProgress(event(0, 80, 1, "A", day))           # before it is known which run counts
+    totals.follow(SimpleNamespace(runId="r1"))
+    totals.onQueryProgress(event(1, 50, 2, "B", day + dt.timedelta(1)))
+    totals.onQueryProgress(event(0, 999, 999, run="another"))
+    again = ProgressTotals(spark, folder, every=100, report=seen.append)
+    again.follow(SimpleNamespace(runId="r2"))
+    again.onQueryProgress(event(1, 50, 2, "B", day + dt.timedelta(1), run="r2"))   # run again after a crash
+    again.onQueryProgress(event(2, 200, 4, "C", day, run="r2"))     # its last time is older
+    got = again.totals()
+    assert (got["batch_id"], got["messages"], got["late_rows"], got["reports"], got["last_symbol"]) == (2, 330, 7, 3, "B")
+    assert [r["messages"] for r in seen] == [130, 130, 330] and again.error is None
