@@ -98,7 +98,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocab
             columns[-2] = [first + s for s in columns[-2]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for run, texts in slices(batches, budget=8 << 20, hold=True):
+        for run, texts in slices(batches, budget=4 << 20, hold=True):
             ids, bounds = known.texts(texts)
             out = []
             for doc, lo, hi in zip(run.column(run.schema.get_field_index("doc_id")).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -84,7 +84,7 @@ def write_token_files(docs: DataFrame, path: str, length: int = 2048, end_id: in
             part, parts, doc_ids, sizes, held = part + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
-        for run, texts in slices(batches, budget=8 << 20, hold=True):
+        for run, texts in slices(batches, budget=4 << 20, hold=True):
             ids, bounds = known.texts(texts)
             for doc, lo, hi in zip(run.column(run.schema.get_field_index("doc_id")).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 parts.append(np.append(ids[lo:hi], end_id).astype("<u2"))

@@ -36,23 +36,25 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class PartIds(dict):
-    """White-space part (UTF-8 bytes) -> its ids as little-endian uint16 bytes.
+class PartIds:
+    """White-space parts (UTF-8) and their ids, as Arrow and numpy arrays.
 
-    Holds two generations of at most ``limit`` parts each: a full one becomes
-    the old one, and what is met again moves on from there."""
+    Some 30 bytes a part; beyond ``limit`` bytes the parts that have not been met for
+    the longest time go."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 24 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.old: dict[bytes, bytes] = {}
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids beyond 16 bits")
+        self.limit, self.run = limit, 0
+        self.parts = pa.array([], pa.large_binary())
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u2")  # ids of part i: ids[start[i]:start[i + 1]]
+        self.met = np.zeros(0, np.int32)                                   # the last run that had it
 
     def _new(self, part: bytes) -> bytes:
         """Ids of a part that is not one of its own simpler forms."""
@@ -69,44 +71,76 @@ class PartIds(dict):
                 return np.array([t.id for t in self.tokenizer.model.tokenize(chars)], "<u2").tobytes()
         return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u2").tobytes()
 
-    def __missing__(self, part: bytes) -> bytes:
-        if not part:
-            return b""
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        if part in self.old:
-            self[part] = ids = self.old.pop(part)
-            return ids
-        low = part.lower()
-        base = part.rstrip(_MARKS)
-        if low != part and part.isalpha():  # ASCII letters: the vocabulary folds their case
-            known, ids = low in self or low in self.old, self[low]
-        elif base and base != part and (base.isalpha() or self.tokenizer.normalizer.normalize_str(base.decode()).isalpha()):  # letters end where marks start
-            known, ids = base in self or base in self.old, self[base] + self[part[len(base):]]
-        else:
-            known, ids = True, self._new(part)
-        if known:  # forms of a word met for the first time are not worth the memory
-            self[part] = ids
-        return ids
+    def _lookup(self, keys: pa.Array) -> np.ndarray:
+        """Places of different keys in the table; those that are not in it are added."""
+        place = pc.fill_null(pc.index_in(keys, value_set=self.parts), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = place < 0
+        self.met[place[~new]] = self.run
+        if new.any():
+            added = keys.filter(pa.array(new))
+            ids = [self._new(k) if k else b"" for k in added.to_pylist()]
+            place[new] = len(self.parts) + np.arange(len(ids))
+            self.parts = pa.concat_arrays([self.parts, added])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) // 2 for x in ids])])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u2")])
+            self.met = np.concatenate([self.met, np.full(len(ids), self.run, np.int32)])
+        return place
+
+    def _split(self, parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each part as a simple one and the marks after it (empty for most).
+
+        The vocabulary folds the case of ASCII letters, and letters end where marks
+        start, so both have the part's ids in a row."""
+        base = pc.ascii_rtrim(parts, characters=_MARKS.decode())
+        size, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (base, parts))
+        marked = (size > 0) & (size < whole)
+        letters = pc.ascii_is_alpha(base).to_numpy(zero_copy_only=False)
+        ends = marked & letters
+        other = np.flatnonzero(marked & ~letters)
+        ends[other] = [self.tokenizer.normalizer.normalize_str(b).isalpha() for b in base.take(pa.array(other)).to_pylist()]
+        body = pc.if_else(pa.array(ends), base, parts)
+        body = pc.if_else(pc.ascii_is_alpha(body), pc.ascii_lower(body), body)
+        offsets = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset:parts.offset + len(parts) + 1]
+        rest = np.where(ends, whole - size, 0)
+        at = np.concatenate([[0], np.cumsum(rest)])
+        data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)[np.repeat(offsets[1:] - at[1:], rest) + np.arange(at[-1])]
+        marks = pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(at), pa.py_buffer(data)])
+        return body.cast(pa.large_binary()), marks
+
+    def _shrink(self) -> None:
+        """Keeps the half that has been met last."""
+        if self.parts.nbytes + self.ids.nbytes + self.start.nbytes + self.met.nbytes <= self.limit:
+            return
+        stay = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2:])
+        self.ids, ends = _gather(self.ids, self.start[stay], np.diff(self.start)[stay])
+        self.start, self.met, self.parts = np.concatenate([[0], ends]), self.met[stay], self.parts.take(pa.array(stay))
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts (UTF-8): all ids in a row, and the bounds of each text's.
 
         The parts are told apart by Arrow, so that each different part of the
         run is looked up once; the ids are then gathered by numpy."""
+        self.run += 1
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         parts = split.flatten().dictionary_encode()
-        known = list(map(self.__getitem__, parts.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)))
-        flat = np.frombuffer(b"".join(known), "<u2")
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 2
-        start = np.cumsum(size) - size
+        body, marks = self._split(parts.dictionary)
+        n = len(body)
+        keys = pa.concat_arrays([body, marks]).dictionary_encode()
+        place = self._lookup(keys.dictionary)[keys.indices.to_numpy()]
+        # a part's ids: its body's, then its marks'
+        place = place.reshape(2, n).T.ravel()
+        flat, ends = _gather(self.ids, self.start[place], self.start[place + 1] - self.start[place])
+        self._shrink()
+        first = np.concatenate([[0], ends])[0::2]
         which = parts.indices.to_numpy()
-        length = size[which]
-        after = np.cumsum(length)
-        total = int(after[-1]) if len(after) else 0
-        at = np.repeat(start[which] - after + length, length) + np.arange(total)
-        return flat[at], np.concatenate([[0], after])[split.offsets.to_numpy()]
+        ids, ends = _gather(flat, first[which], first[which + 1] - first[which])
+        return ids, np.concatenate([[0], ends])[split.offsets.to_numpy()]
+
+
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ids in a row, and the end of each."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 _KEPT: dict[str, PartIds] = {}
