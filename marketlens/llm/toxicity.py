@@ -24,8 +24,8 @@ round a quarter as many harmless ones, those of the largest values so far.  Scor
 document whole, in one pass without a shuffle.
 
 Rows: a null or empty text has no strings and gets the lowest score; labels
-without a toxic value are ignored, of repeated label rows each counts; documents that are
-repeated, unlabelled or without a doc_id are scored like any others; without
+without a toxic value are ignored; a doc_id that several texts or label
+rows share trains with one text (the least) for each label; documents that are repeated, unlabelled or without a doc_id are scored like any others; without
 labels of both kinds every document gets the share of toxic ones (0 without labels) as
 its score; an empty table gives no rows; further columns are ignored.
 """
@@ -45,17 +45,16 @@ from pyspark.sql import functions as F
 from marketlens.llm.shared import cut
 from marketlens.llm.text import slices
 
-ORDER, SPAN, DECAY = 4, 6, 0.6
+ORDER, SPAN, DECAY = 4, 6, 0.75
 SAMPLE, STRINGS, LANDMARKS = 4000, 12_000, 512
 ROUNDS = 3  # of the fit, each with the worst harmless strings under the last one
 LONGEST = 64  # letters of one string; a longer word is scored in overlapping pieces
 
-#: Byte -> letter code 1 to 30, 0 for what is left out.  Letters outside ASCII
-#: fall into four classes by their last byte; the lead bytes are left out.
-#: Code 31 stands before the first letter of each string.
+#: ASCII letter -> code 1 to 26, 0 for what is left out; code 31 stands before the
+#: first letter of each string.  A character outside ASCII gets one of the codes 1 to 30
+#: by its number, so neighbours in an alphabet differ.
 _CODE = np.zeros(256, np.uint8)
 _CODE[65:91] = _CODE[97:123] = np.arange(1, 27)
-_CODE[0x80:0xC0] = 27 + np.arange(64) % 4
 _CODE[10] = 31
 _PLACES = [(0, *c) for c in combinations(range(1, SPAN), ORDER - 1)]
 _MASS = [DECAY ** (c[-1] + 1) for c in _PLACES]
@@ -66,6 +65,10 @@ def letters(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of all strings in a row, and each string's bounds."""
     raw = np.frombuffer(b"".join(b"\n" + x for x in strings), np.uint8)  # no string holds a line end
     code = _CODE[raw]
+    after = np.flatnonzero((raw[:-1] & 0xC0 == 0x80) & (raw[1:] & 0xC0 != 0x80))  # the last byte of each such character
+    if raw[-1:].size and raw[-1] & 0xC0 == 0x80:
+        after = np.append(after, len(raw) - 1)
+    code[after] = 1 + (raw[after - 1].astype(np.int64) * 64 + (raw[after] & 63)) % 30
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)) + 1)])
     return code[code > 0], np.concatenate([[0], np.cumsum(code > 0)])[at]
 
@@ -167,7 +170,7 @@ def _pieces(word: bytes) -> list[bytes]:
 
 def document_strings(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different strings of some texts, and (string, document) of every one found."""
-    split = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_binary()).cast(pa.large_string()))
+    split = pc.ascii_split_whitespace(pa.array([t.lower() if t.isascii() else t.decode().lower().encode() for t in texts], pa.large_binary()).cast(pa.large_string()))
     flat = split.flatten()
     doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
     coded = flat.dictionary_encode()
@@ -208,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
     part = lambda t: known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = part(0).unionByName(part(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text").withColumn("own", F.xxhash64("text"))
-    # copies of one text are one witness
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen.distinct(), "doc_id")
+    # one text of each doc_id, so that the sample stays one; copies of one text are one witness
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("own", F.xxhash64("text"))
     rows = cut(rows.groupBy("own", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:

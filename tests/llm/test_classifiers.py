@@ -143,3 +143,68 @@ def test_toxicity_on_the_given_labels(spark):
     sf = "/root/testdata/sf0.1"
     rows = QUERIES["op5_string_kernel_toxicity"](spark, sf).join(spark.read.parquet(sf + "/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.94
+
+
+def test_toxicity_in_other_alphabets(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for bad, syllables in ((["придурок", "болван"], "на ко ли ста вер пом дру год".split()), (["μαλακας", "ηλιθιος"], "κα λο τρι μεν σπι θαλ νερ".split())):
+        plain = [a + b for a in syllables for b in syllables]
+        for _ in range(300):
+            t, toxic, i = [rng.choice(plain) for _ in range(rng.randint(5, 30))], len(rows) % 4 == 0, len(rows)
+            if toxic:
+                t.insert(rng.randrange(len(t)), rng.choice(bad))
+            rows.append((i, " ".join(t)))
+            labels.append((i, 1, int(toxic)))
+    made = {9000: "на ко ПРИДУРОК лина", 9001: "коли прижду.рок стана", 9002: "κατρι μα-λακας λοκα"}
+    d = spark.createDataFrame([*rows, *made.items()], "doc_id long, text string").repartition(3)
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(d, model).collect()}
+    out = [(i, t) for i, _, t in labels if held(i)]
+    assert len(out) > 80 and all(got[i] == t for i, t in out) and all(got[i] for i in made)
+
+
+def test_the_sample_bounds_what_reaches_the_driver(spark, monkeypatch):
+    """One doc_id with very many texts is one text to the fit."""
+    many = spark.range(30_000).selectExpr("1L as doc_id", "concat('copy number ', id, ' of one document') as text")
+    docs = many.unionByName(spark.createDataFrame([(i, f"plain words {i} here") for i in range(2, 60)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 1)] + [(i, i % 2, i % 2) for i in range(2, 60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, *a: seen.append(len(rows)) or (lambda: None))
+    quality.train(docs, labels, sample=10)
+    assert seen[0] <= quality.GRADES * 10
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: seen.append(len(x)) or (1.0, 0.0))
+    toxicity.train(docs, labels)
+    assert len(seen) < 2 or seen[1] <= 40
+
+
+def test_kernel_equals_an_explicit_count():
+    """Values and feature vectors against all subsequences of a string, written out."""
+    from itertools import combinations
+
+    def explicit(word):
+        code = [31, *(ord(c) - 96 for c in word)]
+        out = {}
+        for at in combinations(range(len(code)), toxicity.ORDER):
+            if at[-1] - at[0] < toxicity.SPAN:
+                number = 0
+                for i in at:
+                    number = number << 5 | code[i]
+                # a subsequence in several places counts in each of them
+                out.setdefault(number, []).append(toxicity.DECAY ** (at[-1] - at[0] + 1))
+        return out
+
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(1 << 20) + 1)
+    words = ["blockhead", "abc", "banana", "nitwit", "zzzzzzz", "a"]
+    want, norms = [], []
+    for w in words:
+        own = explicit(w)
+        norms.append(np.sqrt(sum(m * m for masses in own.values() for m in masses)))
+        want.append(sum(weights[n] * sum(masses) for n, masses in own.items()) / max(norms[-1], 1e-6))
+    assert np.allclose(toxicity.values([w.encode() for w in words], weights), want, rtol=1e-5)
+    known = np.unique([n for w in words for n in explicit(w)])
+    rows = toxicity.kernel_rows([w.encode() for w in words], known)
+    for w, row, norm in zip(words, rows, norms, strict=True):
+        assert np.allclose(row, [sum(explicit(w).get(n, [])) / max(norm, 1e-6) for n in known.tolist()], atol=1e-5)
