@@ -15,8 +15,8 @@ document whole, in one pass without a shuffle.
 
 Rows: a null or empty text has no features and gets the score of the thresholds
 alone, and is rejected, as it holds nothing to train on; labels without a
-quality are ignored and a null toxic counts as not toxic; of repeated label rows each counts; documents without a
-label, repeated or without a doc_id are scored like any others; without labels
+quality are ignored and a null toxic counts as not toxic; a doc_id that several texts or label rows share
+trains with one text (the least) for each grade; documents without a label, repeated or without a doc_id are scored like any others; without labels
 of two grades every document gets the prior (expected grade of the labels, or the
 highest without labels); an empty table gives no rows; further columns are ignored.
 """
@@ -131,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for g in range(GRADES):
         part = graded.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = chosen.distinct()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, texts in slices(batches, budget=1 << 20):
@@ -142,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([run.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key % DIMENSIONS, pa.int32())),
                                               pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.float32()))], ["grade", "dims", "values"])
 
-    rows = (docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("grade", "text")
+    rows = (docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+            # one text of each doc_id, so that the sample stays one
+            .groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
             .mapInArrow(extract, "grade int, dims array<int>, values array<float>"))
     got = rows.toArrow()  # at most GRADES * sample rows, each of at most DIMENSIONS features
     return fit([(g, d.values.to_numpy(), v.values.to_numpy()) for g, d, v in zip(got["grade"].to_pylist(), got["dims"], got["values"], strict=True) if len(d)])
