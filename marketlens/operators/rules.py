@@ -87,17 +87,14 @@ def evaluate_rules(df: DataFrame, rules=None, timestamp: Column | None = None,
                                     F.coalesce(F.expr(r["condition"]), F.lit(False)).alias("fired"))
                            for r in rules])
     fired = F.filter(checks, lambda x: x["fired"])
-    out = df.select(F.col(symbol_col).alias("_sym"), ts.alias("_ts"),
-                    F.to_json(F.struct(*[F.col(c) for c in data_cols])).alias("_data"),
-                    *[F.col(c).alias(f"_in_{c}") for c in data_cols],
-                    F.explode(fired).alias("_a"))
-    return out.select(F.col("_a.rule_name").alias("rule_name"), F.col("_sym").alias("symbol"),
-                      F.col("_a.message").alias("message"), F.col("_a.severity").alias("severity"),
-                      F.col("_ts").alias("timestamp"), F.col("_data").alias("data"),
-                      F.col("_a.channels").alias("channels"),
-                      *[F.col(f"_in_{c}").alias(c) for c in data_cols if c not in
-                        ("symbol", "rule_name", "message", "severity", "timestamp", "data",
-                         "channels")])
+    # rows without a firing rule go before anything is built from them
+    hits = df.withColumn("_rules_fired", fired).filter(F.size("_rules_fired") > 0).select("*", F.explode("_rules_fired").alias("_rule"))
+    own = ("rule_name", "symbol", "message", "severity", "timestamp", "data", "channels")
+    return hits.select(F.col("_rule.rule_name").alias("rule_name"), F.col(symbol_col).alias("symbol"),
+                       F.col("_rule.message").alias("message"), F.col("_rule.severity").alias("severity"),
+                       ts.alias("timestamp"), F.to_json(F.struct(*[F.col(c) for c in data_cols])).alias("data"),
+                       F.col("_rule.channels").alias("channels"),
+                       *[F.col(c) for c in data_cols if c not in own])
 
 
 # Wording of the mail and chat notices; it must read as it always did.

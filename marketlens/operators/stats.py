@@ -47,14 +47,23 @@ def with_trend(stats: DataFrame) -> DataFrame:
         F.try_divide(F.col("max_price") - F.col("min_price"), F.col("avg_price")) * 100)
 
 
-def with_volume_baseline(stats: DataFrame) -> DataFrame:
+def with_volume_baseline(stats: DataFrame, chunk: str = "day") -> DataFrame:
     """W13 (our definition): ``avg_trade_count`` = mean ``trade_count`` of the
     symbol's earlier windows (NULL for its first window).
 
-    The frame runs over the *statistics* table, which holds one row per
-    (symbol, window): its size per symbol is bounded by time span / width,
-    not by trade volume, so a hot symbol does not make this partition large.
+    Counts and sums run inside each (symbol, ``chunk`` of time); those of the
+    symbol's earlier chunks are prefix sums over the chunk table, which
+    holds one row per symbol and chunk.  So narrow windows of one busy symbol
+    spread over as many tasks as it has chunks.
     """
-    w = (Window.partitionBy("symbol").orderBy("window_start")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return stats.withColumn("avg_trade_count", F.avg("trade_count").over(w))
+    from marketlens.operators.frames import _surrogates
+    kind = stats.schema["window_start"].dataType
+    s, sk = _surrogates(stats, ["symbol"])
+    s = s.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, "window_start").cast(kind), F.lit("0001-01-01 00:00:00").cast(kind)))
+    inside = Window.partitionBy(*sk, "_chunk").orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*sk).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({"_n": F.count("trade_count").over(inside), "_sum": F.coalesce(F.sum("trade_count").over(inside), F.lit(0))})
+    chunks = s.groupBy(*sk, "_chunk").agg(F.count("trade_count").alias("_cn"), F.sum("trade_count").alias("_csum"))
+    before = chunks.select(*sk, "_chunk", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_csum").over(earlier), F.lit(0)).alias("_sum0"))
+    out = s.join(before, [*sk, "_chunk"])
+    return out.select(*stats.columns, F.try_divide((F.col("_sum0") + F.col("_sum")).cast("double"), F.col("_n0") + F.col("_n")).alias("avg_trade_count"))

@@ -158,3 +158,20 @@ def test_an_update_reads_and_writes_what_it_crosses(monkeypatch):
     assert set(p.index.read) <= {(49,), (50,)}
     p.index.read.clear()
     assert len(step(501.0)) == 0 and p.index.read == []  # nothing moved
+
+
+def test_volume_baseline_spreads_over_chunks(spark):
+    from marketlens.operators.stats import with_volume_baseline
+    rng = random.Random(2)
+    rows = [("B" if rng.random() < 0.9 else None, T0 + dt.timedelta(seconds=5 * i), rng.randint(0, 9)) for i in range(40_000)]
+    s = spark.createDataFrame(rows, "symbol string, window_start timestamp_ntz, trade_count long")
+    got = {(r.symbol, r.window_start): r.avg_trade_count for r in with_volume_baseline(s, "hour").collect()}
+    seen = {}
+    for symbol, at, n in rows:
+        own = seen.setdefault(symbol, [0, 0])
+        want = own[1] / own[0] if own[0] else None
+        assert got[symbol, at] == (None if want is None else pytest.approx(want, rel=1e-12))
+        own[0], own[1] = own[0] + 1, own[1] + n
+    plan = with_volume_baseline(s, "hour")._jdf.queryExecution().optimizedPlan().toString()
+    # the frame over the rows is cut by time; only the table of chunks has one per symbol
+    assert plan.count("_chunk") and len([x for x in plan.splitlines() if "Window" in x and "trade_count" in x and "_chunk" in x]) >= 1
