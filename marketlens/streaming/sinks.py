@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -85,14 +85,42 @@ def write_arbitrage_stream(arb: DataFrame, cfg: SinkConfig, as_kv: bool = True)
                   os.getenv("KAFKA_TOPIC_ARBITRAGE", "arbitrage-opportunities"))
 
 
-def alerts_to_kafka(alerts: DataFrame, topic: str | None = None) -> DataFrame:
-    """Alert rows -> Kafka records ``(topic, key=symbol, value=JSON)``."""
+RECORD_ID = "record-id"
+
+
+def alerts_to_kafka(alerts: DataFrame, topic: str | None = None, batch: str | None = None) -> DataFrame:
+    """Alert rows -> Kafka records ``(topic, key=symbol, value=JSON)``.
+
+    With ``batch`` (a name of the query and its micro-batch) each record has the
+    header ``record-id``: the batch, a digest of the rule and the row it fired on, and
+    a number among equal ones.  A batch that runs again gives the same ids, whatever the order
+    of its rows and the time of evaluation; see ``unique_records``."""
+    if batch is not None:
+        digest = F.sha1(F.to_json(F.struct("rule_name", "symbol", "data")))
+        nth = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))
+        alerts = alerts.withColumn("_digest", digest).withColumn("_id", F.concat_ws(":", F.lit(batch), "_digest", nth))
     t = topic or os.getenv("KAFKA_TOPIC_ALERTS", "binance-alerts")
     value = F.to_json(F.struct("rule_name", "symbol", "message", "severity",
                                F.col("timestamp").cast("string").alias("timestamp"),
                                "data", "channels"))
-    return alerts.select(F.lit(t).alias("topic"), F.col("symbol").cast("string").alias("key"),
-                         value.alias("value"))
+    record = [F.lit(t).alias("topic"), F.col("symbol").cast("string").alias("key"), value.alias("value")]
+    if batch is not None:
+        record.append(F.array(F.struct(F.lit(RECORD_ID).alias("key"), F.col("_id").cast("binary").alias("value"))).alias("headers"))
+    return alerts.select(*record)
+
+
+def unique_records(records: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Records with ``headers`` (read with ``includeHeaders``), each ``record-id`` once;
+    records without one all stay.  On a stream give ``watermark`` on ``timestamp``: copies
+    within it are dropped, and ids are forgotten after it."""
+    own = F.get(F.filter("headers", lambda h: h["key"] == RECORD_ID), F.lit(0))["value"].cast("string")
+    named = records.withColumn("_id", own)
+    if watermark is None:
+        first = Window.partitionBy("_id").orderBy("_id")
+        kept = named.where("_id is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        return kept.unionByName(named.where("_id is null")).drop("_id")
+    named = named.withColumn("_id", F.coalesce("_id", F.uuid()))
+    return named.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
 
 
 def write_alerts_stream(df: DataFrame, cfg: SinkConfig, rules=None) -> StreamingQuery:
@@ -105,7 +133,9 @@ def write_alerts_stream(df: DataFrame, cfg: SinkConfig, rules=None) -> Streaming
     def run(batch: DataFrame, batch_id: int):
         alerts = evaluate_rules(batch, rules)
         if cfg.format == "kafka":
-            (alerts_to_kafka(alerts, cfg.topic).write.format("kafka")
+            # written again on a replay, with the ids that the records had before
+            name = f"{cfg.query_name or 'alerts'}:{batch_id}"
+            (alerts_to_kafka(alerts, cfg.topic, name).write.format("kafka").option("includeHeaders", "true")
              .option("kafka.bootstrap.servers", cfg.bootstrap_servers).save())
         else:
             # idempotent on replay: one folder per batch id, overwritten
@@ -154,32 +184,18 @@ def _snapshots(spark, path: str):
     return fs, found
 
 
-def upsert_latest(path: str, keep: int = 2):
+def upsert_latest(path: str, keep: int = 2, buckets: int = 64):
     """``foreachBatch`` function keeping the latest statistics row per
-    symbol (greatest ``window_end``) in a Parquet table at ``path``.
-
-    Each batch writes a complete snapshot to ``path/batch_id=<id>`` (the
-    previous snapshot merged with the batch by ``max_by``); a replayed batch
-    overwrites its own folder, so the upsert is idempotent.  The newest ``keep``
-    committed snapshots stay (a reader may still be on the one before).
-    """
+    symbol (greatest ``window_end``) in a Parquet table at ``path``: only the buckets of
+    a batch's symbols are written again (``latest.upsert_by_key``)."""
     from marketlens.operators.serving import latest_stats
+    from marketlens.streaming.latest import upsert_by_key
 
-    def run(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        prev = read_latest(spark, path, before=batch_id)
-        merged = batch if prev is None else prev.unionByName(batch.select(*prev.columns))
-        latest_stats(merged).write.mode("overwrite").parquet(
-            f"{path.rstrip('/')}/batch_id={batch_id}")
-        fs, found = _snapshots(spark, path)
-        for old in sorted(found)[:-keep]:
-            fs.delete(found[old], True)
-    return run
-
-
-def read_latest(spark, path: str, before: int | None = None):
-    """Newest committed snapshot written by ``upsert_latest`` (None if there is
-    none): the folder of the highest batch id whose write left its success mark."""
-    _, found = _snapshots(spark, path)
-    ids = [i for i in found if before is None or i < before]
-    return spark.read.parquet(found[max(ids)].toString()) if ids else None
+    return upsert_by_key(path, latest_stats, "symbol", buckets, keep)
+
+
+def read_latest(spark, path: str):
+    """The table of ``upsert_latest`` as of its newest whole batch (None before the first)."""
+    from marketlens.streaming.latest import read_by_key
+
+    return read_by_key(spark, path)
