@@ -96,3 +96,27 @@ def test_block_offsets_join_keeps_partitioning(spark):
     # the join's large (left) input is the rank window itself: no exchange
     # between them, its (_sk0, _sn0, _chunk) partitioning is reused
     assert "Window [row_number()" in lines[smj[0] + 1]
+
+
+def test_latest_trade_sorts_nothing(spark, scratch):
+    import datetime as dt
+    path = os.path.join(scratch, "trades")
+    load_trades(spark, SF001).write.parquet(path)
+    stored = spark.read.parquet(path)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in [None, *old]:                       # with broadcasts, then without
+            if k:
+                spark.conf.set(k, "-1")
+            df = sv.latest_trade(stored)
+            p = plan(df)
+            assert "Sort [" not in p and "SortAggregate" not in p and "SortMergeJoin" not in p
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert any("GreaterThanOrEqual(ts" in line or ">= Subquery" in line or ">= ReusedSubquery" in line for line in p.split("\n"))
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("A", 1, t0, 1.0), ("A", 2, t0, 2.0), ("A", 2, t0, 2.0), ("B", 9, None, 3.0), ("B", 8, None, 4.0), (None, 1, t0, 5.0), ("C", None, t0, 6.0),
+            ("D", 5, t0 + dt.timedelta(1), 7.0), ("D", 6, t0, 8.0), ("E", 1, t0, 9.0), ("E", 1, t0, 10.0)]
+    got = sv.latest_trade(spark.createDataFrame(rows, "symbol string, event_id long, ts timestamp_ntz, price double")).collect()
+    assert {(r.symbol, r.event_id) for r in got} == {("A", 2), ("B", 9), (None, 1), ("C", None), ("D", 5), ("E", 1)} and len(got) == 6
