@@ -1,11 +1,13 @@
 """Spark-vs-DuckDB comparison used by the tests (order-insensitive)."""
 
+import datetime
+import decimal
 import math
 import os
 from collections import Counter
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -21,21 +23,30 @@ def duck(sf_dir):
 
 
 def _norm(v):
+    """A value as both engines' Arrow tables give it, whatever the width of its type."""
     if v is None:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else repr(v)
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime().replace(tzinfo=None).isoformat()
+    if isinstance(v, decimal.Decimal):
+        return int(v) if v == v.to_integral_value() else repr(float(v))
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None).isoformat()
     if hasattr(v, "isoformat"):
         return v.isoformat()
-    if hasattr(v, "tolist"):
-        return _norm(v.tolist())
+    if isinstance(v, dict):
+        return tuple(_norm(x) for x in v.values())
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v if isinstance(v, (int, bool)) else str(v)
 
 
-def multiset(df: pd.DataFrame):
-    cols = sorted(df.columns)
-    return cols, Counter(tuple(_norm(r[c]) for c in cols) for r in df.to_dict("records"))
+def multiset(table: pa.Table):
+    """Column names and counted rows of an Arrow table; Arrow keeps nullable integers whole."""
+    cols = sorted(table.column_names)
+    return cols, Counter(zip(*(map(_norm, table.column(c).to_pylist()) for c in cols), strict=True))
+
+
+def oracle_table(con, sql: str) -> pa.Table:
+    """The result of DuckDB SQL as an Arrow table."""
+    return con.sql(sql).to_arrow_table()

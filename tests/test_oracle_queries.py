@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from oracle_util import duck, multiset
+from oracle_util import duck, multiset, oracle_table
 from conftest import SF001
 
 ORACLES = entry.oracle_sql()
@@ -16,8 +16,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    sdf = entry.queries()[name](spark, SF001).toPandas()
-    odf = con.execute(ORACLES[name]).df()
+    sdf = entry.queries()[name](spark, SF001).toArrow()
+    odf = oracle_table(con, ORACLES[name])
     sc, srows = multiset(sdf)
     oc, orows = multiset(odf)
     assert sc == oc
