@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from marketlens.llm.shared import components, cut, sorted_groups
 
 SAMPLE = 20_000
-PER_CLUSTER, MOST_CLUSTERS = 1000, 4096
-SHARD, QUERIES = 1500, 16_384  # members of a shard, queries of a task, about
+PER_CLUSTER, MOST_CLUSTERS = 4000, 4096
+SHARD, QUERIES = 6000, 16_384  # members of a shard, queries of a task, about
 PROBES, MEET, HELD = 4, 0.995, 4000  # probes at least; share of pairs that meet, on so many held-out points
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
-BEAM, WIDE = 32, 8
+BEAM, WIDE = 24, 8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -143,42 +143,51 @@ def range_search(points: np.ndarray, adjacent: np.ndarray, queries: np.ndarray,
     """(query, point) pairs found with a cosine of about ``least`` or more.
 
     All queries walk the graph together: each step expands, for every query,
-    the best points of its beam that are not expanded yet, and every point in
-    range; a query ends when there are none.  ``starts``: rows of point indices, -1 for none."""
+    the best ``WIDE`` points of its beam that are not expanded yet, and every new point in
+    range; a query ends when there are none.  ``starts``: rows of point indices, -1 for none.
+
+    A query holds its beam and the points it has seen, as sorted numbers, so a
+    step costs what it expands and not the number of points."""
     n, q = len(points), len(queries)
     points, queries = points.astype(np.float32), queries.astype(np.float32)
-    like = np.full((q, n), -2, np.float32)
-    expanded = np.zeros((q, n), bool)
     who, what = np.nonzero(starts >= 0)
     what = starts[who, what]
+    seen = np.zeros(0, np.int64)
+    # the beams: (query, cosine, point, expanded), by query, best first
+    beam = [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, bool)]
     least32 = least - 1e-5
+    found = []
+    in_group = lambda w: np.arange(len(w)) - np.searchsorted(w, w)
     while len(who):
-        key = np.unique(who * n + what)
-        key = key[like.ravel()[key] == -2]
+        key = np.sort(who * n + what)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        if len(seen):
+            new &= seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
+        key = key[new]
+        seen = np.sort(np.concatenate([seen, key]), kind="stable")  # merges two sorted runs
         who, what = key // n, key % n
+        value = np.empty(len(key), np.float32)
         for lo in range(0, len(key), 1 << 16):
             part = slice(lo, lo + (1 << 16))
-            like.ravel()[key[part]] = np.einsum("ij,ij->i", queries[who[part]], points[what[part]])
-        # the beam: the best points seen, of which the best unexpanded ones go on
-        width = min(BEAM, n)
-        best = np.argpartition(-like, width - 1, axis=1)[:, :width]
-        value = np.take_along_axis(like, best, 1)
-        todo = (value > -2) & ~np.take_along_axis(expanded, best, 1)
-        value = np.where(todo, value, -3)
-        first = np.argsort(-value, axis=1)[:, :WIDE]
-        ok = np.take_along_axis(todo, first, 1)
-        a, b = np.nonzero(ok)
-        grow = np.zeros((q, n), bool)
-        grow[a, best[a, first[a, b]]] = True
-        grow |= (like >= least32) & ~expanded
-        who, node = np.nonzero(grow)
-        expanded |= grow
+            value[part] = np.einsum("ij,ij->i", queries[who[part]], points[what[part]])
+        near = value >= least32
+        found.append(key[near])
+        beam = [np.concatenate(x) for x in zip(beam, (who, value, what, near), strict=True)]
+        order = np.lexsort((-beam[1], beam[0]))
+        order = order[in_group(beam[0][order]) < BEAM]
+        beam = [x[order] for x in beam]
+        open_ = np.flatnonzero(~beam[3])
+        go = open_[in_group(beam[0][open_]) < WIDE]
+        beam[3][go] = True
+        who, node = np.concatenate([beam[0][go], who[near]]), np.concatenate([beam[2][go], what[near]])
         next_ = adjacent[node]
         who = np.repeat(who, next_.shape[1])
-        what = next_.ravel()
+        what = next_.ravel().astype(np.int64)
         there = what >= 0
         who, what = who[there], what[there]
-    return np.nonzero(like >= least32)
+    key = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return key // n, key % n
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
