@@ -1,9 +1,11 @@
 """License scans, quality and toxicity: brute force and held-out accuracy."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
+import pytest
 
 from marketlens.llm import licenses, quality, toxicity
 from marketlens.llm.queries import QUERIES
@@ -34,9 +36,10 @@ def test_license_blocks_equal_brute_force(spark):
         w = words(t)
         places = [(p, label) for phrase, label in licenses.PHRASES for p in range(len(w)) if w[p:p + len(phrase.split())] == phrase.split()]
         found = {}
-        for line in (t or "").split("\n"):
-            for label, notice in licenses.TEMPLATES:
-                c = len(set(words(notice)) & set(words(line))) / len(set(words(notice)))
+        for label, notice in licenses.TEMPLATES:
+            size = len(words(notice))
+            for start in range(0, len(w), size):  # windows of two template lengths
+                c = len(set(words(notice)) & set(w[start:start + 2 * size])) / len(set(words(notice)))
                 if c >= licenses.CONTAIN - 1e-9:
                     found[label] = max(c, found.get(label, 0))
         base = sorted({x for _, x in places})
@@ -45,6 +48,53 @@ def test_license_blocks_equal_brute_force(spark):
     assert got == sorted(want, key=lambda r: tuple(map(str, r))) or sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_wrapped_notices_are_found_and_strewn_words_are_not(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(f"x{rng.randint(0, 9999)}" for _ in range(n))
+    docs, want = [], {}
+    for i, (label, notice) in enumerate(licenses.TEMPLATES):
+        wrapped = "\n# ".join(textwrap.wrap(notice, 75))
+        docs += [(4 * i, filler(rng.randint(0, 300)) + "\n# " + wrapped + "\n" + filler(50)), (4 * i + 1, f"{filler(501)} {notice} {filler(3000)}"), (4 * i + 2, " ".join(f"{w} {filler(3)}" for w in notice.split()))]
+        want |= {4 * i: label, 4 * i + 1: label}
+    rows = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for r in rows:
+        if r.doc_id in want:
+            assert want[r.doc_id] in r.labels.split(",") and r.score == 1.0
+            m = max((m for m in r.matches if m.label == want[r.doc_id]), key=lambda m: m.containment)
+            assert m.containment == 1.0 and 0 <= m.first <= m.last < r.n_words
+        else:
+            assert r.labels == "" and not r.matches
+
+
+def test_each_filter_drops_windows_and_none_that_hold_the_template():
+    rng = np.random.default_rng(4)
+    total, need = 60, 8
+    template = licenses.Template("t", 10, np.sort(rng.choice(40, 10, replace=False)), need)
+    window = np.repeat(np.arange(4000), 14)  # some ranks twice, so the windows' sizes differ
+    rank = np.minimum(rng.integers(0, total, len(window)), rng.integers(5, total, len(window)))
+    rank[rng.random(len(rank)) < 0.3] = 0
+    rank[:14 * 200] = np.concatenate([np.concatenate([rng.choice(template.ranks, 9, replace=False), rng.integers(0, total, 5)]) for _ in range(200)])
+    found, both, (prefix, length, positional) = licenses.containing(window, rank, template, total)
+    held = [len(set(rank[window == w]) & set(template.ranks)) for w in range(4000)]
+    assert found.tolist() == [w for w in range(4000) if held[w] >= need] and both.tolist() == [held[w] for w in found]
+    assert 4000 > prefix > length > positional > len(found)
+
+
+@pytest.mark.parametrize("size", [1, 3, 10])
+def test_windows_hold_every_stretch(size):
+    for n in range(0, 45):
+        bounds = licenses.windows(np.array([n]), size)
+        of = lambda i: set(licenses.members(np.array([i]), np.array([0]), np.array([0]), bounds, size)[0].tolist())
+        assert all(of(i) & of(min(i + size - 1, n - 1)) for i in range(n)) and bounds[1] == len(set().union(*map(of, range(n))))
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    one, two = (" ".join(f"{c}{i}" for i in range(9)) for c in "pq")
+    monkeypatch.setattr(Words, "hash", property(lambda self: np.zeros(len(self.start), np.uint64), lambda self, value: None), raising=False)
+    vocabulary = licenses._Vocabulary(one.split())
+    assert vocabulary.codes(Words([two.encode(), one.encode()], ALNUM)).tolist() == [-1] * 9 + list(range(9))
+
+
 def test_licenses_without_templates_or_documents(spark):
     d = spark.createDataFrame([(1, "under the mit license")], "doc_id long, text string")
     assert [r.labels for r in licenses.scan_licenses(d, []).collect()] == ["mit"]
