@@ -6,7 +6,8 @@ again as the next stage's ``docs``; all but the last return the columns of
 ``documents``.
 
 1. quality: documents that the ordinal classifier rejects go.
-2. near_dedup: one document of each group of near-duplicates stays.
+2. near_dedup: one document of each group of near-duplicates (shingles of five
+   words, similarity 0.8 or more) stays.
 3. decontaminate: documents with too much of a benchmark item go.
 4. secrets: secrets in the texts are replaced by a mark; no document goes.
 5. pack: the documents are cut into pieces that fill token sequences.
@@ -28,7 +29,7 @@ def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, k=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

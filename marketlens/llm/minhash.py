@@ -10,6 +10,10 @@ rest is confirmed on the full sets.  A pair at the threshold of 0.8 is missed by
 38 bands with a probability of 3e-7, and by the estimate (0.18 is five
 standard deviations) with the same.
 
+Words count by two keyed hashes, of which the second decides: sets are equal
+if their sizes, a check of the first hash and one of the second agree, and
+links are confirmed on the shingles of the second, which had no part in finding them.
+
 Equal sets are one class before anything is compared.  In a bucket each class
 is compared with the bucket's smallest one; buckets whose classes are linked by that
 are done, however large.  What is left, classes of different components
@@ -38,25 +42,30 @@ from marketlens.llm.text import SPACED, Words, mix, slices
 HASHES, ROWS, BANDS = 192, 5, 38
 MARGIN = 0.18
 BLOCK = 2048
+KEYS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)  # any two numbers of 64 bits
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _XOR, _MULTIPLY = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32), (_SEEDS[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ODD_BITS = 0x5555555555555555
 
 
-def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes], k: int, key: int = KEYS[1]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles of the texts in turn, and each text's bounds."""
-    words = Words(texts, SPACED)
+    return _shingles(Words(texts, SPACED), k, key)
+
+
+def _shingles(words: Words, k: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     counts = words.counts()
+    hashes = words.spelled(key)
     n = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     bounds = np.concatenate([[0], np.cumsum(n)])
-    grams = words.grams(k)
-    doc = np.repeat(np.arange(len(texts)), n)
+    grams = words.grams(k, hashes)
+    doc = np.repeat(np.arange(len(counts)), n)
     at = words.first[doc] + np.arange(len(doc)) - bounds[doc]
     short = counts[doc] < k
     out = np.zeros(len(doc), np.uint64)
     out[~short] = grams[at[~short]]
     for i in np.flatnonzero(short).tolist():  # the whole sequence, told apart by its length
-        own = words.hash[at[i]:at[i] + counts[doc[i]]]
+        own = hashes[at[i]:at[i] + counts[doc[i]]]
         h = np.uint64(len(own))
         for x in own:
             h = mix(np.array([h]) ^ x)[0]
@@ -87,11 +96,13 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, texts in slices(batches):
-            h, bounds = shingles(texts, k)
+            words = Words(texts, SPACED)
+            (h, bounds), (other, _) = (_shingles(words, k, key) for key in KEYS)
             n, one, two = (np.zeros(len(texts), np.int64) for _ in range(3))
             for i in range(len(texts)):
                 own = np.unique(h[bounds[i]:bounds[i + 1]])
-                n[i], one[i], two[i] = len(own), mix(own).sum(dtype=np.uint64).view(np.int64), mix(own ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64).view(np.int64)
+                n[i], one[i] = len(own), mix(own).sum(dtype=np.uint64).view(np.int64)
+                two[i] = mix(np.unique(other[bounds[i]:bounds[i + 1]])).sum(dtype=np.uint64).view(np.int64)
             full = n > 0
             keys, packed = np.zeros((0, BANDS), np.int64), np.zeros((0, HASHES // 32), np.int64)
             if full.any():

@@ -10,7 +10,9 @@ ASCII bytes, so a byte-wise table is exact for any UTF-8 text:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +64,8 @@ class Words:
     ``data``: the normalised bytes of all documents, a space after each;
     ``start``/``end``: byte bounds of each word; ``first``: index of each
     document's first word, one more entry closes the last; ``hash``: 64 bits
-    per word.
+    per word, a polynomial of its bytes.  Texts can be built whose words meet in it;
+    where no words are compared afterwards, ``spelled`` with a key is used instead.
     """
 
     def __init__(self, docs: list[bytes], table: np.ndarray):
@@ -95,13 +98,30 @@ class Words:
     def word(self, i: int) -> str:
         return self.data[self.start[i]:self.end[i]].tobytes().decode()
 
-    def grams(self, k: int) -> np.ndarray:
+    def spelled(self, key: int) -> np.ndarray:
+        """64 keyed bits per word: its pieces of 8 bytes, each mixed in turn; BLAKE2b for words of over 64 bytes."""
+        length = self.end - self.start
+        out = mix(length.astype(np.uint64) ^ U(key))
+        data = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        now = np.flatnonzero(length <= 64)
+        for at in range(0, 64, 8):
+            now = now[length[now] > at]
+            piece = data[(self.start[now] + at)[:, None] + np.arange(8)].view("<u8").ravel()
+            unused = U(8) * (8 - np.minimum(length[now] - at, 8)).astype(np.uint64)
+            out[now] = mix(out[now] ^ (piece << unused))
+        for i in np.flatnonzero(length > 64).tolist():
+            digest = blake2b(self.data[self.start[i]:self.end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
+
+    def grams(self, k: int, hashes: np.ndarray | None = None) -> np.ndarray:
         """Hash of the k words from each word on (those that cross the end of
         a document are present, and meaningless)."""
-        n = max(0, len(self.hash) - k + 1)
+        hashes = self.hash if hashes is None else hashes
+        n = max(0, len(hashes) - k + 1)
         out = np.zeros(n, np.uint64)
         for j in range(k):
-            out = out * U(0xD1342543DE82EF95) + self.hash[j:j + n]
+            out = out * U(0xD1342543DE82EF95) + hashes[j:j + n]
         return mix(out ^ U(k))
 
 
@@ -114,6 +134,18 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 #: Tables that a Python worker keeps from task to task for one kind of work.
 HELD: list[dict] = []
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library, which has no such call
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 20, hold: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cuts batches into row runs of about ``budget`` text bytes (one long text
@@ -124,6 +156,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
     if not hold:
         for held in HELD:
             held.clear()
+    give_back()
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -133,3 +166,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
             yield batch.slice(lo, hi - lo), byte_texts(texts.slice(lo, hi - lo))
             lo, done = hi, int(ends[hi - 1])
         pa.default_memory_pool().release_unused()  # the next batch may be smaller
+    give_back()

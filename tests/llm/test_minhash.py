@@ -4,6 +4,7 @@ import re
 import pytest
 
 from marketlens.llm import minhash
+from marketlens.llm.text import SPACED, Words
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -79,6 +80,26 @@ def test_linked_ids_repeated_without_words(spark):
     assert len(got) == 7 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_words_built_to_share_a_polynomial_hash_stay_apart(spark):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))  # Thue-Morse
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = Words([one.encode(), two.encode()], SPACED)
+    assert words.hash[0] == words.hash[1] and len(set(words.spelled(minhash.KEYS[0]).tolist())) == 2
+    texts = [" ".join([w] * 3 + [w[:n]]) for n in (500, 1000) for w in (one, two)] + [one, two]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.kept and r.n_shingles == 1 for r in got) and len(got) == 6
+
+
+def test_keyed_hashes_tell_short_words_apart():
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("ab\x00é日") for _ in range(rng.randint(1, 40))) for _ in range(20_000)})
+    w = Words([" ".join(words).encode()], SPACED)
+    for key in minhash.KEYS:
+        assert len(set(w.spelled(key).tolist())) == len(words)
+    again = Words([("x " + " ".join(reversed(words))).encode()], SPACED).spelled(minhash.KEYS[0])
+    assert again[1:].tolist() == w.spelled(minhash.KEYS[0]).tolist()[::-1]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(none).count() == 0 and minhash.deduplicate(none).count() == 0
