@@ -35,7 +35,7 @@ def plain(spark):
     spark.conf.set(sinks.STORE, own) if own else spark.conf.unset(sinks.STORE)
 
 
-@pytest.mark.parametrize("name", ["stream_indicators", "stream_alert_latch"])
+@pytest.mark.parametrize("name", ["stream_indicators", "stream_indicators_watermark", "stream_alert_latch"])
 def test_query_in_a_session_with_the_default_store(plain, tables, name):
     found = entry.queries()[name](plain, tables).toArrow()
     assert len(found) > 0
