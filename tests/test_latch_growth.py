@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from marketlens.operators import alerts as al
@@ -109,6 +110,63 @@ def test_rows_do_not_grow_with_the_conditions(spark, scratch):
     assert made[1000] < 2 * made[100], made
 
 
+@pytest.mark.parametrize("piece", [1, 3, 50])
+def test_first_trigger_in_pieces_of_a_bucket(spark, monkeypatch, piece):
+    # several symbols move at one instant, so that pieces end inside instants
+    monkeypatch.setattr(al, "CHECK_ROWS", piece)
+    rng = random.Random(piece)
+    rows = [(r[0], T0 + dt.timedelta(seconds=60 * (i // 3)), i // 3, *r[3:]) for i, r in enumerate(timeline(rng, 600, symbols=4))]
+    rows = list({(r[0], r[2]): r for r in rows}.values())
+    alerts = registry(rng, 100, symbols=4)
+    got = al.first_trigger(spark.createDataFrame(alerts, ALERTS), spark.createDataFrame(rows, FIELDS), bucket="day")
+    # all updates of an instant hold together
+    state, fired = {}, {}
+    for i in sorted({r[2] for r in rows}):
+        state.update({r[0]: r[3:] for r in rows if r[2] == i})
+        for a in alerts:
+            if a[0] not in fired and all(holds(c, state) for c in a[2]):
+                fired[a[0]] = i
+    assert {r.id: r.trigger_event_id for r in got.collect()} == fired
+
+
+def test_missing_instants_and_symbols(spark):
+    row = lambda s, t, i, p: (s, t, i, p, 1.0, None, None, None, None, None)
+    rows = [row("A", None, None, 1.0), row("B", None, 2 ** 53 + 1, 9.0), row(None, T0, 3, 50.0), row("A", T0, None, 7.0), row("B", T0, 2 ** 53 + 3, 3.0)]
+    alerts = [("a", "a", [("A", "price_above", "5")], "e", "active", False), ("b", "b", [("B", "price_above", "5")], "e", "active", False),
+              ("c", "c", [("A", "price_above", "5"), ("B", "price_below", "5")], "e", "active", False)]
+    got = al.first_trigger(spark.createDataFrame(alerts, ALERTS), spark.createDataFrame(rows, FIELDS))
+    assert {r.id: (r.trigger_ts, r.trigger_event_id) for r in got.collect()} == {"a": (T0, None), "b": (None, 2 ** 53 + 1), "c": (T0, 2 ** 53 + 3)}
+
+
+def test_memory_does_not_grow_with_the_rows_of_a_bucket():
+    rng, most = np.random.default_rng(1), {}
+    test = {"symbol": "A", "base": "price", "sign": 1.0, "strict": True, "y": 1e9}
+    for n in (20, 200):
+        held = []
+
+        def batches(n=n, held=held):
+            def batch(kind, rows, **own):
+                given = {"bucket": pa.array([T0] * rows, pa.timestamp("us")), "slice": pa.array([0] * rows, pa.int32()), "kind": pa.array([kind] * rows, pa.int32()),
+                         "ts": pa.nulls(rows, pa.timestamp("us")), "event_id": pa.nulls(rows, pa.int64()), "symbol": pa.nulls(rows, pa.string()),
+                         "id": pa.nulls(rows, pa.string()), "tests": pa.array([[test]] * rows), **{b: pa.nulls(rows, pa.float64()) for b in al.AXIS_BASES}}
+                return pa.RecordBatch.from_pydict(given | own)
+
+            start = pa.total_allocated_bytes()
+            yield batch(0, 1, id=pa.array(["a"]))
+            for k in range(n):
+                held.append(pa.total_allocated_bytes() - start)
+                ids = np.arange(1000 * k, 1000 * k + 1000)
+                prices = {b: pa.array(rng.normal(size=1000)) for b in al.AXIS_BASES}
+                if k == n - 1:
+                    prices["price"] = pa.array([0.0] * 998 + [2e9, 3e9])
+                yield batch(2, 1000, ts=pa.array(ids, pa.timestamp("us")), event_id=pa.array(ids), symbol=pa.array(["A"] * 1000), **prices)
+
+        found = [x for part in al._check_buckets(batches(), ["ts", "event_id"], 5000) for x in part.to_pylist()]
+        assert [(x["id"], x["event_id"]) for x in found] == [("a", 1000 * n - 2)]
+        most[n] = max(held)
+    assert most[200] < 1.5 * most[20], most
+
+
 class _Value:
     def __init__(self):
         self.value = None
