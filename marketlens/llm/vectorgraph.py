@@ -9,8 +9,10 @@
    point is.  The adjacency lists of a point's shards are united.
 4. Every point searches the shards of all centroids whose cosine is within a
    margin of its nearest one's (``PROBES`` of them at least): greedily from the
-   shard's medoid (and from itself where it is a member), then on from
-   every member found within range until no new one is found.
+   best of the shard's entry points (its medoid and one member in ``ENTRY``; and from
+   itself where it is a member), then on from every member found within range until no
+   new one is found.  Where it is a member and has none in range in its list, which its
+   nearest one leads, there is nothing to find.
 5. What is found is verified in double precision.  Both ends of a link count
    it, also where only one of them searched; a task returns counts and a forest
    of its links, never the pairs.
@@ -30,6 +32,7 @@ kept; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +43,13 @@ from pyspark.sql import functions as F
 from marketlens.llm.shared import components, cut, sorted_groups
 
 SAMPLE = 20_000
-PER_CLUSTER, MOST_CLUSTERS = 4000, 4096
-SHARD, QUERIES = 6000, 16_384  # members of a shard, queries of a task, about
+PER_CLUSTER, MOST_CLUSTERS = 8000, 4096
+SHARD, QUERIES = 24_000, 16_384  # members of a shard, queries of a task, about; fewer where vectors are longer than
+LENGTH = 128
 PROBES, MEET, HELD = 4, 0.995, 4000  # probes at least; share of pairs that meet, on so many held-out points
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
-BEAM, WIDE = 24, 8
+BEAM, WIDE = 24, 12
+ENTRY, BLOCK = 8, 256  # one member in so many is an entry point; queries that walk together
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -99,24 +104,49 @@ def probe_margin(x: np.ndarray, size: np.ndarray, c: np.ndarray, least: float) -
     return margin
 
 
-def robust_prune(x: np.ndarray) -> np.ndarray:
-    """Neighbours (rows of indices, -1 where there are fewer) of unit vectors."""
+def _cosines(points: np.ndarray, what: np.ndarray, queries: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Of each pair of rows, in pieces that stay in the cache."""
+    out = np.empty(len(what), np.float32)
+    for lo in range(0, len(what), 1 << 12):
+        part = slice(lo, lo + (1 << 12))
+        out[part] = np.einsum("ij,ij->i", points.take(what[part], axis=0), queries.take(who[part], axis=0))
+    return out
+
+
+def _nearest(s: np.ndarray, m: int) -> np.ndarray:
+    """The columns of the ``m`` largest values of each row: they lie in the ``m``
+    runs of 16 columns with the largest maxima, so only those are looked at."""
+    rows, n = s.shape
+    wide = -(-n // 16)
+    if wide <= 4 * m:
+        return np.argpartition(-s, m - 1, axis=1)[:, :m]
+    full = np.full((rows, 16 * wide), -4, s.dtype)
+    full[:, :n] = s
+    best = full.reshape(rows, 16, wide).max(axis=1)
+    runs = np.argpartition(best, wide - m, axis=1)[:, wide - m:]
+    cols = (runs[:, None, :] + np.arange(16)[:, None] * wide).reshape(rows, 16 * m)
+    top = np.argpartition(np.take_along_axis(full, cols, 1), 15 * m, axis=1)[:, 15 * m:]
+    return np.take_along_axis(cols, top, 1)
+
+
+def robust_prune(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of unit vectors, the nearest first: those of row i are ``adjacent[first[i]:first[i + 1]]``."""
     n = len(x)
     x = x.astype(np.float32)
     m = min(CANDIDATES, n - 1)
-    out = np.full((n, 2 * DEGREE), -1, np.int32)
     if m < 1:
-        return out
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
     forward = np.full((n, DEGREE), -1, np.int32)
-    for lo in range(0, n, 512):
-        own = np.arange(lo, min(n, lo + 512))
+    for lo in range(0, n, 256):
+        own = np.arange(lo, min(n, lo + 256))
         s = x[own] @ x.T
         s[np.arange(len(own)), own] = -3
-        cand = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        cand = _nearest(s, m)
         order = np.argsort(-np.take_along_axis(s, cand, 1), axis=1)
         cand = np.take_along_axis(cand, order, 1)
         far = 1 - np.take_along_axis(s, cand, 1)
-        between = 1 - np.einsum("bid,bjd->bij", x[cand], x[cand], optimize=True)
+        there = x.take(cand, axis=0)
+        between = 1 - there @ there.transpose(0, 2, 1)
         dropped = np.zeros(cand.shape, bool)
         count = np.zeros(len(own), np.int64)
         for j in range(m):
@@ -125,69 +155,99 @@ def robust_prune(x: np.ndarray) -> np.ndarray:
             count += keep
             # 1 - cosine is half the squared distance, hence alpha squared
             dropped |= keep[:, None] & (ALPHA**2 * between[:, j, :] <= far)
-    # links back, nearest first, as far as there is room
+    # every link goes both ways, so no point is without a way to it
     a = np.repeat(np.arange(n), DEGREE)
     b = forward.ravel()
     a, b = a[b >= 0], b[b >= 0]
     pairs = np.unique(np.concatenate([a * n + b, b.astype(np.int64) * n + a]))
     a, b = pairs // n, pairs % n
-    order = np.lexsort((-np.einsum("ij,ij->i", x[a], x[b]), a))
-    a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    room = place < 2 * DEGREE
-    out[a[room], place[room]] = b[room]
+    order = np.lexsort((-_cosines(x, a, x, b), a))
+    return np.searchsorted(a, np.arange(n + 1)), b[order]
+
+
+def _lists(first: np.ndarray, adjacent: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of ``nodes`` one after the other, and how long each is."""
+    size = first[nodes + 1] - first[nodes]
+    return adjacent[np.arange(size.sum()) + np.repeat(first[nodes] - np.cumsum(size) + size, size)], size
+
+
+def has_near(points: np.ndarray, first: np.ndarray, adjacent: np.ndarray, nodes: np.ndarray, least: float) -> np.ndarray:
+    """Whether a member has any other in range.  Its nearest one leads its list, so the list tells."""
+    out = np.zeros(len(nodes), bool)
+    for lo in range(0, len(nodes), 4096):
+        some = nodes[lo:lo + 4096]
+        what, size = _lists(first, adjacent, some)
+        who = np.repeat(np.arange(len(some)), size)
+        out[lo + who[_cosines(points, what, points, some[who]) >= least - 1e-5]] = True
     return out
 
 
-def range_search(points: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, starts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def entries(points: np.ndarray) -> np.ndarray:
+    """Where searches enter a shard: its medoid and every ``ENTRY``-th member."""
+    return np.union1d(np.arange(0, len(points), ENTRY), np.argmax(points @ points.mean(axis=0)))
+
+
+def range_search(points: np.ndarray, first: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, enter: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, point) pairs found with a cosine of about ``least`` or more.
 
-    All queries walk the graph together: each step expands, for every query,
+    Point i's neighbours are ``adjacent[first[i]:first[i + 1]]``.  A query starts
+    from the best ``BEAM`` of the points ``enter``, and from the point ``own`` (-1 for
+    none).  All queries walk the graph together: each step expands, for every query,
     the best ``WIDE`` points of its beam that are not expanded yet, and every new point in
-    range; a query ends when there are none.  ``starts``: rows of point indices, -1 for none.
+    range; a query ends when there are none.
 
-    A query holds its beam and the points it has seen, as sorted numbers, so a
-    step costs what it expands and not the number of points."""
+    A step costs what it expands; one bit of a query and point tells what was seen
+    (the caller asks with blocks of ``BLOCK`` queries)."""
     n, q = len(points), len(queries)
-    points, queries = points.astype(np.float32), queries.astype(np.float32)
-    who, what = np.nonzero(starts >= 0)
-    what = starts[who, what]
-    seen = np.zeros(0, np.int64)
-    # the beams: (query, cosine, point, expanded), by query, best first
-    beam = [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, bool)]
-    least32 = least - 1e-5
+    least32 = np.float32(least - 1e-5)
+    s = queries @ points[enter].T
+    k = min(BEAM, len(enter))
+    who = np.concatenate([np.repeat(np.arange(q), k), np.flatnonzero(own >= 0)])
+    what = np.concatenate([enter[np.argpartition(-s, k - 1, axis=1)[:, :k]].ravel(), own[own >= 0]])
+    seen = np.zeros(q * n, bool)
+    # the beams, best first; an empty place counts as expanded
+    value, point, done = np.full((q, BEAM), -3, np.float32), np.zeros((q, BEAM), np.int64), np.ones((q, BEAM), bool)
     found = []
-    in_group = lambda w: np.arange(len(w)) - np.searchsorted(w, w)
-    while len(who):
+
+    def new(who, what):
         key = np.sort(who * n + what)
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        if len(seen):
-            new &= seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
-        key = key[new]
-        seen = np.sort(np.concatenate([seen, key]), kind="stable")  # merges two sorted runs
-        who, what = key // n, key % n
-        value = np.empty(len(key), np.float32)
-        for lo in range(0, len(key), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            value[part] = np.einsum("ij,ij->i", queries[who[part]], points[what[part]])
-        near = value >= least32
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        key = key[~seen[key]]
+        seen[key] = True
+        return key
+
+    key = new(who, what)
+    while len(key):
+        who, what = np.divmod(key, n)
+        cosine = _cosines(points, what, queries, who)
+        near = cosine >= least32
         found.append(key[near])
-        beam = [np.concatenate(x) for x in zip(beam, (who, value, what, near), strict=True)]
-        order = np.lexsort((-beam[1], beam[0]))
-        order = order[in_group(beam[0][order]) < BEAM]
-        beam = [x[order] for x in beam]
-        open_ = np.flatnonzero(~beam[3])
-        go = open_[in_group(beam[0][open_]) < WIDE]
-        beam[3][go] = True
-        who, node = np.concatenate([beam[0][go], who[near]]), np.concatenate([beam[2][go], what[near]])
-        next_ = adjacent[node]
-        who = np.repeat(who, next_.shape[1])
-        what = next_.ravel().astype(np.int64)
-        there = what >= 0
-        who, what = who[there], what[there]
+        up = cosine > value[who, -1]
+        w = who[up]
+        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else w
+        size = np.diff(np.append(starts, len(w)))
+        for lo in range(0, len(starts), 64):  # few at a time, as one crowd makes all of them wide
+            rows, count = w[starts[lo:lo + 64]], size[lo:lo + 64]
+            part = slice(starts[lo], starts[lo] + count.sum())
+            at = np.repeat(np.arange(len(rows)), count), BEAM + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            merged = [np.concatenate([old[rows], np.full((len(rows), count.max()), blank, old.dtype)], axis=1) for old, blank in ((value, -3), (point, 0), (done, True))]
+            for m, now in zip(merged, (cosine[up][part], what[up][part], near[up][part]), strict=True):
+                m[at] = now
+            top = np.argpartition(-merged[0], BEAM - 1, axis=1)[:, :BEAM]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(merged[0], top, 1), axis=1), 1)
+            value[rows], point[rows], done[rows] = (np.take_along_axis(m, top, 1) for m in merged)
+        go = ~done
+        go &= np.cumsum(go, axis=1) <= WIDE
+        done |= go
+        by, spot = np.nonzero(go)
+        by, nodes = np.concatenate([by, who[near]]), np.concatenate([point[by, spot], what[near]])
+        fresh = [np.zeros(0, np.int64)]
+        for lo in range(0, len(nodes), 1 << 15):  # a crowd is expanded a part at a time
+            next_, size = _lists(first, adjacent, nodes[lo:lo + (1 << 15)])
+            fresh.append(new(np.repeat(by[lo:lo + (1 << 15)], size), next_))
+        key = np.sort(np.concatenate(fresh)) if len(fresh) > 2 else fresh[-1]
     key = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return key // n, key % n
+    return np.divmod(key, n)
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -225,7 +285,8 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
     spark = points.sparkSession
     sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD).select("vec", "size").toArrow()
     fitted = sample.slice(0, SAMPLE)
-    centres = centroids(_unit(_matrix(fitted["vec"], width)), max(1, min(MOST_CLUSTERS, -(-n // PER_CLUSTER), fitted.num_rows)))
+    long = max(1.0, width / LENGTH)
+    centres = centroids(_unit(_matrix(fitted["vec"], width)), max(1, min(MOST_CLUSTERS, math.ceil(n * long / PER_CLUSTER), fitted.num_rows)))
     held = sample.slice(max(0, sample.num_rows - HELD))  # a small table has no others than the fitted ones
     margin = probe_margin(_unit(_matrix(held["vec"], width)), held["size"].to_numpy(), centres, least)
 
@@ -242,7 +303,7 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
     # one row a cluster, at most MOST_CLUSTERS of them
     cell = F.posexplode("cells").alias("rank", "cell")
     load = placed.select(cell).groupBy("cell").agg(F.sum(F.when(F.col("rank") < 2, 1).otherwise(0)).alias("held"), F.count("*").alias("asked")).select(
-        "cell", F.greatest(F.lit(1), F.ceil(F.col("held") / SHARD)).cast("int").alias("shards"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("chunks"))
+        "cell", F.greatest(F.lit(1), F.ceil(F.col("held") * long / SHARD)).cast("int").alias("shards"), F.ceil(F.col("asked") * long / QUERIES).cast("int").alias("chunks"))
 
     dealt = placed.select("*", cell).join(load, "cell")
     own = F.pmod(F.xxhash64("id", "cell"), "shards").cast("int")
@@ -254,9 +315,8 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 2):
             ids = group.column("id").to_numpy()
-            adjacent = robust_prune(_unit(_matrix(group.column("vec"), width)))
-            size = (adjacent >= 0).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids[adjacent[adjacent >= 0]]))], ["id", "near"])
+            first, adjacent = robust_prune(_unit(_matrix(group.column("vec"), width)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids[adjacent]))], ["id", "near"])
 
     lists = stay.select("cell", "shard", "id", "vec").repartition("cell", "shard").sortWithinPartitions("cell", "shard", "id").mapInArrow(build, "id long, near array<long>")
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # of three shards at most
@@ -291,19 +351,23 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
             flat = near.flatten().to_numpy()
             at = np.searchsorted(ids, flat)
             at[at == len(ids)] = 0
-            at = np.where(ids[at] == flat, at, -1).astype(np.int32)
-            adjacent = np.full((len(ids), max(1, int(sizes.max()))), -1, np.int32)
-            adjacent[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = at
-            medoid = int(np.argmax(x @ x.mean(axis=0)))
+            here_too = ids[at] == flat
+            adjacent = at[here_too]
+            first = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(ids)), sizes)[here_too], minlength=len(ids)))])
+            x32, y32, enter = x.astype(np.float32), y.astype(np.float32), entries(x)
             n_m, n_q = np.zeros(len(ids), np.int64), np.zeros(len(asked), np.int64)
             root, link = np.arange(len(ids)), np.full(len(asked), -1)
-            for lo in range(0, len(asked), 512):
-                block = slice(lo, min(len(asked), lo + 512))
-                self_at = np.searchsorted(ids, asked[block])
-                self_at[self_at == len(ids)] = 0
-                self_at = np.where(ids[self_at] == asked[block], self_at, -1)
-                who, what = range_search(x, adjacent, y[block], np.column_stack([np.full(len(self_at), medoid), self_at]), least)
-                who = who + lo
+            self_at = np.searchsorted(ids, asked)
+            self_at[self_at == len(ids)] = 0
+            self_at = np.where(ids[self_at] == asked, self_at, -1)
+            # a member with none in range is done
+            lone = self_at >= 0
+            lone[lone] = ~has_near(x32, first, adjacent, self_at[lone], least)
+            walk = np.flatnonzero(~lone)
+            for lo in range(0, len(walk), BLOCK):
+                block = walk[lo:lo + BLOCK]
+                who, what = range_search(x32, first, adjacent, y32[block], enter, self_at[block], least)
+                who = block[who]
                 ok = (ids[what] != asked[who]) & (size[what] == size_q[who])
                 who, what = who[ok], what[ok]
                 exact = np.empty(len(who))
@@ -319,10 +383,10 @@ def _search(points: DataFrame, n: int, width: int, least: float) -> DataFrame:
                 np.add.at(n_m, what[blind], weight_q[who[blind]])
                 # points found by one query are one tree
                 while len(who):
-                    low = np.full(block.stop - lo, len(ids))
-                    np.minimum.at(low, who - lo, root[what])
+                    low = np.full(block[-1] - block[0] + 1, len(ids))
+                    np.minimum.at(low, who - block[0], root[what])
                     rename = np.arange(len(ids))
-                    np.minimum.at(rename, root[what], low[who - lo])
+                    np.minimum.at(rename, root[what], low[who - block[0]])
                     if (rename[root] == root).all():
                         break
                     root = rename[root]

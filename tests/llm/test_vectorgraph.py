@@ -74,6 +74,60 @@ def test_recall_holds_with_hundreds_of_cells(spark, monkeypatch):
     assert r.links >= 3000 and r.found >= 0.97 * r.links
 
 
+def just_in_range(rng, x, cosine=0.903):
+    aside = rng.normal(size=x.shape)
+    aside = vectorgraph._unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    return cosine * x + np.sqrt(1 - cosine**2) * aside
+
+
+def test_search_cost_does_not_follow_the_shard(monkeypatch):
+    # cosines that the walk takes, on unstructured vectors: a lone member takes those of its list, an outsider hardly more in a larger shard
+    counted, plain = [0], vectorgraph._cosines
+
+    def cosines(points, what, queries, who):
+        counted[0] += len(what)
+        return plain(points, what, queries, who)
+
+    rng = np.random.default_rng(12)
+    each = {}
+    for n in (2000, 8000):
+        x = vectorgraph._unit(rng.normal(size=(n, 64)))
+        first, adjacent = vectorgraph.robust_prune(x)
+        asked = rng.choice(n, 500, replace=False)
+        outside = just_in_range(rng, x[asked]).astype(np.float32)
+        x = x.astype(np.float32)
+        with monkeypatch.context() as m:
+            m.setattr(vectorgraph, "_cosines", cosines)
+            counted[0] = 0
+            assert not vectorgraph.has_near(x, first, adjacent, np.arange(n), 0.9).any()
+            assert counted[0] == len(adjacent) <= 2 * vectorgraph.DEGREE * n
+            counted[0] = 0
+            who, what = vectorgraph.range_search(x, first, adjacent, outside, vectorgraph.entries(x), np.full(500, -1), 0.9)
+            each[n] = counted[0] / 500
+        assert (what == asked[who]).sum() >= 0.98 * 500  # four in five when the medoid is the only entry
+    print(each)
+    assert each[8000] < 1.4 * each[2000] and each[8000] < 8000 / 8
+
+
+def test_all_links_of_a_group_are_found_in_its_shard():
+    # members at a group's rim: no list that has them may be shortened
+    rng = np.random.default_rng(13)
+    group = rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.3
+    x = vectorgraph._unit(np.concatenate([group, rng.normal(size=(1600, 64))]))
+    first, adjacent = vectorgraph.robust_prune(x)
+    assert {*zip(np.repeat(np.arange(2000), np.diff(first)).tolist(), adjacent.tolist(), strict=True)} == {*zip(adjacent.tolist(), np.repeat(np.arange(2000), np.diff(first)).tolist(), strict=True)}
+    x = x.astype(np.float32)
+    true = (x @ x.T >= 0.9) & ~np.eye(2000, dtype=bool)
+    assert (vectorgraph.has_near(x, first, adjacent, np.arange(2000), 0.9) == true.any(axis=1)).all()
+    got = 0
+    for lo in range(0, 400, 100):
+        own = np.arange(lo, lo + 100)
+        who, what = vectorgraph.range_search(x, first, adjacent, x[own], vectorgraph.entries(x), own, 0.9)
+        got += true[own[who], what].sum()
+    print(got, true.sum())
+    assert true.sum() > 20_000 and got == true[:400].sum()
+
+
 def test_no_vectors_and_no_ids(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectorgraph.links(none).count() == 0
