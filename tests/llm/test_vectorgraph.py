@@ -128,6 +128,14 @@ def test_all_links_of_a_group_are_found_in_its_shard():
     assert true.sum() > 20_000 and got == true[:400].sum()
 
 
+def test_longer_vectors_make_smaller_shards(spark, rows, monkeypatch):
+    monkeypatch.setattr(vectorgraph, "LENGTH", 1)
+    monkeypatch.setattr(vectorgraph, "SHARD", 2000)
+    v = spark.createDataFrame([(i, x) for i, x in rows], "vec_id long, embedding array<double>").repartition(4)
+    true, found = (sum(r[1] for r in x) for x in (brute(rows), vectorgraph.links(v).collect()))
+    assert 0.97 * true <= found <= true
+
+
 def test_no_vectors_and_no_ids(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectorgraph.links(none).count() == 0
